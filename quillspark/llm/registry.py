@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("exact_dedup", "decontaminate")
+MODULES = ("exact_dedup", "decontaminate", "token_files", "packing")
 
 
 def queries() -> dict:
