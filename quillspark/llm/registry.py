@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("exact_dedup", "decontaminate", "token_files", "packing")
+MODULES = ("exact_dedup", "decontaminate", "token_files", "packing", "near_dedup")
 
 
 def queries() -> dict:
