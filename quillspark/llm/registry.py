@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("exact_dedup", "decontaminate", "token_files", "packing", "near_dedup", "lm_score", "license_scan")
+MODULES = ("exact_dedup", "decontaminate", "token_files", "packing", "near_dedup", "lm_score", "license_scan", "toxicity", "quality")
 
 
 def queries() -> dict:
