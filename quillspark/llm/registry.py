@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("exact_dedup", "decontaminate", "token_files", "packing", "near_dedup", "lm_score", "license_scan", "toxicity", "quality")
+MODULES = ("exact_dedup", "license_scan", "line_dedup", "decontaminate", "token_files", "packing", "near_dedup", "lm_score", "toxicity", "quality")
 
 
 def queries() -> dict:
