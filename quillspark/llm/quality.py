@@ -149,16 +149,25 @@ def fit(x: np.ndarray, y: np.ndarray, epochs: int = 40) -> Network:
     return Network(mean, scale, p[0], p[1], p[2], p[3], float(best))
 
 
+#: A document with a lower score is rejected.
+LEAST = 0.3
+
+
+def fitted(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> tuple[np.ndarray, Network]:
+    """Bucket vectors from all documents, and the network."""
+    vectors = word_vectors(docs)
+    texts, y = sample(docs, labels, "quality", rows, CHARS)
+    return vectors, fit(document_vectors(texts, vectors), y)
+
+
 def scored(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
-    """One row per row of docs: doc_id, held_out, score, predicted (1 if score >= 0.3).
+    """One row per row of docs: doc_id, held_out, score, predicted (1 if score >= LEAST).
 
     Null, empty and blank texts have the zero vector and its score. Without labels of both kinds every
     score is the smoothed share of good labels. Rows that repeat a doc_id are scored each; an empty
     table gives no rows; extra columns are ignored.
     """
-    vectors = word_vectors(docs)
-    texts, y = sample(docs, labels, "quality", rows, CHARS)
-    net = fit(document_vectors(texts, vectors), y)
+    vectors, net = fitted(docs, labels, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -166,7 +175,19 @@ def scored(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(net.score(document_vectors(column(batch, "text").to_pylist(), vectors)))], names=["doc_id", "score"])
 
     found = texts_of(docs).mapInArrow(run, "doc_id long, score double")
-    return found.select("doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return found.select("doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= LEAST).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
+    """The rows of docs, all columns as they are, whose score reaches LEAST; scored as by `scored`."""
+    vectors, net = fitted(docs, labels, rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = column(batch, "text").fill_null("").to_pylist()
+            yield batch.filter(pa.array(net.score(document_vectors(texts, vectors)) >= LEAST))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

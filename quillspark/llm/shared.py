@@ -39,18 +39,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the working tables written so far; only when no DataFrame made from them is read again."""
+def checkpointed(df: DataFrame) -> DataFrame:
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def mark() -> int:
+    """A place in the list of working tables, for paths_since."""
+    return len(_WRITTEN)
+
+
+def paths_since(place: int) -> list[str]:
+    return _WRITTEN[place:]
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete working tables; only when no DataFrame made from them is read again."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def without(docs: DataFrame, dropped: DataFrame, name: str, most: int = 500_000) -> DataFrame:
+    """docs without the rows whose doc_id is in dropped(doc_id). The ids are sent to all tasks while they are
+    few, and joined by shuffling beyond that; a null id is never dropped."""
+    ids = written(dropped.select("doc_id").distinct(), name)
+    return docs.join(F.broadcast(ids) if ids.count() <= most else ids, docs["doc_id"] == ids["doc_id"], "left_anti")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
