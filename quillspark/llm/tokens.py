@@ -24,6 +24,10 @@ REMEMBERED = 400_000
 
 _CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
+_RUNS = ("  ", "\n\n", " \n", "\n ")
+#: Punctuation that is cut off a chunk's end where a Latin letter stands before it.
+_TAIL = ".,;:!?*%&$#|"
+_LETTER = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]")
 
 
 def vocabulary_path(path: str | None = None) -> str:
@@ -46,14 +50,36 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, chunks: set[str]) -> None:
+        """Encode the chunks that aren't known: bodies and tails of new chunks once each."""
+        new = chunks.difference(self.known)
+        cut, fresh = {}, set()
+        for c in new:
+            body = c.rstrip(_TAIL)
+            if len(body) < len(c) and body and _LETTER.match(body[-1]):
+                cut[c] = body
+                fresh.update((body, c[len(body) :]))
+            else:
+                fresh.add(c)
+        todo = list(fresh.difference(self.known))
+        self.known.update(zip(todo, self._ids(todo), strict=True))
+        for c, body in cut.items():
+            self.known[c] = self.known[body] + self.known[c[len(body) :]]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text and the end id, as little-endian bytes."""
-        cut = [None if _OTHER_SPACE.search(t) else _CHUNK.findall(t) for t in texts]
-        chunks = {c for parts in cut if parts for c in parts}
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = list(chunks.difference(self.known))
-        self.known.update(zip(new, self._ids(new), strict=True))
+        cut: list[list[str] | None] = []
+        for t in texts:
+            if _OTHER_SPACE.search(t):
+                cut.append(None)
+            elif any(r in t for r in _RUNS) or t[:1] in (" ", "\n") or t[-1:] in (" ", "\n"):
+                cut.append(_CHUNK.findall(t))
+            else:
+                # single blanks and line feeds only: a feed is a chunk of its own, a blank opens its word
+                cut.append(t.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if "\0" not in t else _CHUNK.findall(t))
+        self._learn({c for parts in cut if parts for c in parts})
         whole = iter(self._ids([t for t, parts in zip(texts, cut, strict=True) if parts is None]))
         get = self.known.__getitem__
         return [(next(whole) if parts is None else b"".join(map(get, parts))) + self.end for parts in cut]
