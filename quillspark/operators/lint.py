@@ -11,6 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -251,7 +252,13 @@ def suppressions(c: Context) -> DataFrame:
 
 
 def lint(parsed: DataFrame, rules: list[str] | None = None, without: list[str] | None = None, least: str = "hint", extra: list[Callable[[Context], DataFrame]] | None = None) -> DataFrame:
-    """Findings with severity and rank; suppressed ones are gone. Ask for order at the sink: doc_id, start_byte, code."""
+    """Findings with severity; suppressed ones are gone. Ask for order at the sink: doc_id, start_byte, code.
+
+    Every rule reads the parsed documents, so they are persisted where they aren't yet; lost blocks are
+    parsed again.
+    """
+    if parsed.storageLevel == StorageLevel.NONE:
+        parsed = parsed.persist(StorageLevel.MEMORY_AND_DISK)
     c = Context.of(parsed)
     chosen = [r for r in (rules or RULES) if r not in (without or ())]
     found = reduce(DataFrame.union, [*(RULES[r](c) for r in chosen), *(f(c) for f in extra or [])])
