@@ -236,7 +236,7 @@ class Parser:
                 indent = len(text) - len(text.lstrip(" "))
                 if not text.strip():
                     inner.append(Line(lines[k].at, "", lines[k].end))
-                elif indent >= width or (indent >= 2 and bullet and indent > len(x[1])):
+                elif indent >= width or (indent >= 2 and indent > len(x[1])):
                     cut = min(indent, width)
                     inner.append(Line(lines[k].at + cut, text[cut:], lines[k].end))
                 elif inner[-1].text.strip() and not self._starts(text) and not _ITEM.match(text):

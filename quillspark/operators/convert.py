@@ -1,0 +1,54 @@
+"""Whole-document conversions: HTML, canonical source, nested JSON. One Arrow-batched pass each, no shuffle."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quillspark.functions import fmt
+from quillspark.functions.blocks import parse
+from quillspark.functions.render import Options, render
+
+
+def mapped(docs: DataFrame, name: str, f: Callable[[str], str]) -> DataFrame:
+    """doc_id and f(source) as `name`; a null source is the empty document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f(s or "") for s in batch.column(1).to_pylist()], pa.string())], names=["doc_id", name])
+
+    own = docs.select("doc_id", F.col("source").cast("string").alias("source"))
+    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, {name} string")
+
+
+def html(docs: DataFrame, options: Options = Options()) -> DataFrame:
+    def one(source: str) -> str:
+        root, low, _ = parse(source)
+        return render(root, low, options)
+
+    return mapped(docs, "html", one)
+
+
+def formatted(docs: DataFrame) -> DataFrame:
+    """doc_id, source, formatted, changed."""
+    return docs.join(mapped(docs, "formatted", fmt.format_source), "doc_id").select("doc_id", "source", "formatted", (F.coalesce("source", F.lit("")) != F.col("formatted")).alias("changed"))
+
+
+def tree_json(docs: DataFrame) -> DataFrame:
+    return mapped(docs, "json", lambda s: fmt.as_json(parse(s)[0]))
+
+
+def diffs(docs: DataFrame) -> DataFrame:
+    """doc_id, diff: old lines with -, new lines with +; in Catalyst expressions over both texts."""
+    marked = lambda c, sign: F.array_join(F.transform(F.split(c, "\n", -1), lambda x: F.concat(F.lit(sign), x)), "\n")
+    name = F.col("doc_id").cast("string")
+    return formatted(docs).where("changed").select("doc_id", F.concat_ws("\n", F.concat(F.lit("--- "), name), F.concat(F.lit("+++ "), name, F.lit(" (formatted)")), F.lit("@@"), marked("source", "-"), marked("formatted", "+")).alias("diff"))
+
+
+def printable(docs: DataFrame, css: str = "", options: Options = Options(heading_ids=True)) -> DataFrame:
+    """doc_id, page: the HTML page that a browser prints to PDF; the browser itself is outside this engine."""
+    shell = ("<!doctype html><html><head><meta charset=\"utf-8\"><style>", "</style></head><body>", "</body></html>")
+    return html(docs, options).select("doc_id", F.concat(F.lit(shell[0] + css + shell[1]), F.col("html"), F.lit(shell[2])).alias("page"))

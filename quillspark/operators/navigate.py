@@ -1,0 +1,199 @@
+"""Editor queries as DataFrame queries over parsed documents: positions, definitions, references, renames,
+folding, symbols, completion, code actions and semantic tokens. Queries that take positions take a
+DataFrame of them, so one run answers for any number of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from quillspark.functions.columns import attr, label, slugify
+from quillspark.functions.vocabulary import ADMONITIONS, CONTAINERS, FRONTMATTER_KEYS
+from quillspark.operators import lint as linter
+from quillspark.operators.extract import of_type, path_at, toc_tree
+from quillspark.plans import nodes as plans
+
+
+def utf16_length(text: Column) -> Column:
+    """UTF-16 units of a text: characters, and one more for each outside the basic plane."""
+    return F.length(text) + F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10FFFF}]", ""))
+
+
+def to_offsets(parsed: DataFrame, positions: DataFrame) -> DataFrame:
+    """positions(doc_id, line, character): + offset in bytes. line and character count from 0, characters in
+    UTF-16; inside a pair the character's start, past the end the line's end."""
+    lines = plans.lines(parsed).select("doc_id", (F.col("line_no") - 1).alias("line"), "start_byte", "text")
+    chars = F.filter(F.split("text", ""), lambda c: c != "")
+    walked = F.aggregate(
+        chars,
+        F.struct(F.lit(0).alias("units"), F.lit(0).alias("bytes")),
+        lambda acc, c: F.when(acc["units"] + utf16_length(c) <= F.col("character"), F.struct((acc["units"] + utf16_length(c)).alias("units"), (acc["bytes"] + F.octet_length(c)).alias("bytes"))).otherwise(F.struct(F.lit(1_000_000_000).alias("units"), acc["bytes"].alias("bytes"))),
+        lambda acc: acc["bytes"],
+    )
+    return positions.join(lines, ["doc_id", "line"]).select(*positions.columns, (F.col("start_byte") + walked).alias("offset"))
+
+
+def to_positions(parsed: DataFrame, offsets: DataFrame) -> DataFrame:
+    """offsets(doc_id, offset): + line and character from 0. The line is the last that starts at or before the offset."""
+    lines = plans.lines(parsed).select("doc_id", "line_no", "start_byte", "end_byte", "text")
+    hit = offsets.join(lines, "doc_id").where((F.col("start_byte") <= F.col("offset")) & (F.col("offset") <= F.col("end_byte")))
+    before = F.decode(F.substring(F.encode("text", "utf-8"), F.lit(1), F.col("offset") - F.col("start_byte")), "utf-8")
+    return hit.select(*offsets.columns, (F.col("line_no") - 1).alias("line"), utf16_length(before).alias("character"))
+
+
+def hover(parsed: DataFrame, offsets: DataFrame) -> DataFrame:
+    """doc_id, offset, type, card: of the deepest node with a card that holds the offset."""
+    at = path_at(parsed, offsets)
+    n = plans.nodes(parsed).select("doc_id", "node_id", "literal", "attrs", "text")
+    card = (
+        F.when(F.col("type") == "Heading", F.concat(F.lit("Heading "), attr("level"), F.lit(": #"), slugify(F.coalesce("text", F.lit("")))))
+        .when(F.col("type") == "Link", F.concat(F.lit("Link: "), F.coalesce(F.nullif(attr("href"), F.lit("")), attr("ref"))))
+        .when(F.col("type") == "Image", F.concat(F.lit("Image: "), attr("src")))
+        .when(F.col("type").isin("FootnoteRef", "FootnoteDef"), F.concat(F.lit("Footnote: "), attr("id")))
+        .when(F.col("type") == "Emoji", F.concat(F.lit(":"), attr("code"), F.lit(": "), F.col("literal")))
+        .when(F.col("type").isin("MathInline", "MathBlock"), F.concat(F.lit("Math: "), F.col("literal")))
+        .when(F.col("type") == "Admonition", F.concat(F.lit("Admonition: "), attr("type")))
+        .when(F.col("type") == "ContainerDirective", F.concat(F.lit("Container: "), attr("name")))
+        .when(F.col("type") == "AutoEmbed", F.concat(F.lit("Embed: "), attr("provider")))
+        .when(F.col("type") == "Diagram", F.concat(F.lit("Diagram: "), attr("kind")))
+        .when(F.col("type") == "TableOfContents", F.lit("Table of contents"))
+        .when(F.col("type") == "Frontmatter", F.lit("Frontmatter"))
+        .when(F.col("type") == "CodeBlock", F.lit("Code block"))
+    )
+    cards = at.join(n, ["doc_id", "node_id"]).withColumn("card", card).where("card is not null")
+    deepest = F.row_number().over(Window.partitionBy("doc_id", "offset").orderBy(F.desc("depth")))
+    return cards.withColumn("rn", deepest).where("rn = 1").select("doc_id", "offset", "type", "card")
+
+
+def symbols_used(parsed: DataFrame) -> DataFrame:
+    """doc_id, kind (anchor, label, footnote), name, role (def, use), start_byte, end_byte: every named place of a document."""
+    n = plans.nodes(parsed).where("range is not null")
+    place = lambda rows, kind, name, role: rows.select("doc_id", F.lit(kind).alias("kind"), name.alias("name"), F.lit(role).alias("role"), F.col("range.start_byte").alias("start_byte"), F.col("range.end_byte").alias("end_byte"))
+    lines = plans.lines(parsed)
+    ref = linter.REFERENCE
+    defs = lines.where(F.col("text").rlike(f"(?d){ref}")).select("doc_id", F.lit("label").alias("kind"), label(F.regexp_extract("text", ref, 1)).alias("name"), F.lit("def").alias("role"), "start_byte", "end_byte")
+    found = [
+        place(of_type(n, "Heading"), "anchor", slugify(F.coalesce("text", F.lit(""))), "def"),
+        place(of_type(n, "Link").where(attr("href").startswith("#")), "anchor", F.substring(attr("href"), 2, 1 << 20), "use"),
+        place(of_type(n, "FootnoteDef"), "footnote", attr("id"), "def"),
+        place(of_type(n, "FootnoteRef"), "footnote", attr("id"), "use"),
+        place(of_type(n, "Link", "Image").where(attr("ref") != ""), "label", label(attr("ref")), "use"),
+    ]
+    token = r"!?\[([^\]\n]+)\](?![:(\[])"
+    rows = lines.withColumn("t", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(token), F.lit(0)))))
+    at = F.octet_length(F.expr("substring_index(text, t, 1)"))
+    uses = rows.select("doc_id", label(F.regexp_replace("t", "^!", "")).alias("name"), (F.col("start_byte") + at).alias("start_byte"), (F.col("start_byte") + at + F.octet_length("t")).alias("end_byte"))
+    uses = uses.join(defs.select("doc_id", "name").distinct(), ["doc_id", "name"]).select("doc_id", F.lit("label").alias("kind"), "name", F.lit("use").alias("role"), "start_byte", "end_byte")
+    out = defs
+    for f in [*found, uses]:
+        out = out.unionByName(f)
+    return out.distinct()
+
+
+def _under(parsed: DataFrame, offsets: DataFrame) -> DataFrame:
+    s = symbols_used(parsed)
+    hit = offsets.join(s, "doc_id").where((F.col("start_byte") <= F.col("offset")) & (F.col("offset") < F.col("end_byte")))
+    narrow = F.row_number().over(Window.partitionBy("doc_id", "offset").orderBy(F.col("end_byte") - F.col("start_byte"), "start_byte", "kind"))
+    return hit.withColumn("rn", narrow).where("rn = 1").select("doc_id", "offset", "kind", "name")
+
+
+def definition(parsed: DataFrame, offsets: DataFrame) -> DataFrame:
+    """doc_id, offset, start_byte, end_byte of what is defined under each offset; a definition is its own."""
+    defs = symbols_used(parsed).where("role = 'def'")
+    first = defs.groupBy("doc_id", "kind", "name").agg(F.min_by(F.struct("start_byte", "end_byte"), "start_byte").alias("r"))
+    return _under(parsed, offsets).join(first, ["doc_id", "kind", "name"]).select("doc_id", "offset", "kind", "name", "r.start_byte", "r.end_byte")
+
+
+def references(parsed: DataFrame, offsets: DataFrame, declaration: bool = True) -> DataFrame:
+    """All places of what stands under each offset."""
+    s = symbols_used(parsed)
+    s = s if declaration else s.where("role = 'use'")
+    return _under(parsed, offsets).join(s, ["doc_id", "kind", "name"]).select("doc_id", "offset", "kind", "name", "role", "start_byte", "end_byte")
+
+
+def rename(parsed: DataFrame, targets: DataFrame) -> DataFrame:
+    """Edits for targets(doc_id, offset, new_name): doc_id, offset, start_byte, end_byte, new_text. In each place only the
+    name is replaced; anchors follow the new heading's slug."""
+    places = references(parsed, targets.select("doc_id", "offset")).join(targets, ["doc_id", "offset"]).join(parsed.select("doc_id", "source"), "doc_id")
+    own = F.decode(F.expr("substring(encode(source, 'utf-8'), start_byte + 1, end_byte - start_byte)"), "utf-8")
+    rows = places.withColumn("own", own)
+    old = F.when((F.col("kind") == "anchor") & (F.col("role") == "def"), F.trim(F.regexp_replace(F.regexp_replace("own", r"^[# ]+|[# \n]+\z", ""), r"\n.*", ""))).when(F.col("kind") == "anchor", F.concat(F.lit("#"), F.col("name"))).when(F.col("kind") == "footnote", F.col("name")).otherwise(F.regexp_extract("own", r"\[([^\[\]]+)\][^\[]*\z", 1))
+    new = F.when((F.col("kind") == "anchor") & (F.col("role") == "use"), F.concat(F.lit("#"), slugify(F.col("new_name")))).otherwise(F.col("new_name"))
+    rows = rows.withColumns({"old": old, "new_text": new}).where(F.contains("own", F.col("old")) & (F.col("old") != ""))
+    lead = F.octet_length(F.expr("substring_index(own, old, 1)"))
+    return rows.select("doc_id", "offset", (F.col("start_byte") + lead).alias("start_byte"), (F.col("start_byte") + lead + F.octet_length("old")).alias("end_byte"), "new_text").distinct()
+
+
+def folding_ranges(parsed: DataFrame) -> DataFrame:
+    """doc_id, start_line, end_line, kind: blocks of several lines, and sections under headings; distinct."""
+    n = plans.nodes(parsed).where("range is not null")
+    types = ("CodeBlock", "Diagram", "Frontmatter", "ContainerDirective", "Admonition", "Blockquote", "List", "Table", "FootnoteDef")
+    last = F.when(F.col("range.end_col") == 1, F.col("range.end_line") - 1).otherwise(F.col("range.end_line"))
+    blocks = of_type(n, *types).select("doc_id", F.col("range.start_line").alias("start_line"), last.alias("end_line"), F.when(F.col("type") == "Frontmatter", "comment").otherwise("region").alias("kind"))
+    h = of_type(n, "Heading").select("doc_id", "node_id", attr("level").cast("int").alias("level"), F.col("range.start_line").alias("start_line"))
+    total = plans.lines(parsed).groupBy("doc_id").agg((F.max("line_no") - 1).alias("total"))
+    ahead = Window.partitionBy("doc_id").orderBy("node_id").rowsBetween(1, Window.unboundedFollowing)
+    # the next heading of the same or a smaller level ends the section
+    ends = [F.min(F.when(F.col("level") <= k, F.col("start_line"))).over(ahead) for k in range(1, 7)]
+    after = F.element_at(F.array(*ends), F.col("level"))
+    sections = h.withColumn("after", after).join(total, "doc_id").select("doc_id", "start_line", F.coalesce(F.col("after") - 1, "total").alias("end_line"), F.lit("region").alias("kind"))
+    return blocks.union(sections).where("end_line > start_line").distinct()
+
+
+def document_symbols(parsed: DataFrame) -> DataFrame:
+    """doc_id, kind, name, start_byte, parent_ord: frontmatter, the heading tree, containers and footnotes."""
+    n = plans.nodes(parsed)
+    flat = of_type(n, "Frontmatter", "ContainerDirective", "FootnoteDef")
+    name = F.when(F.col("type") == "Frontmatter", "frontmatter").when(F.col("type") == "FootnoteDef", F.concat(F.lit("[^"), attr("id"), F.lit("]"))).otherwise(F.concat(F.lit(":::"), attr("name")))
+    a = flat.select("doc_id", F.col("type").alias("kind"), name.alias("name"), F.lit(None).cast("int").alias("ord"), F.lit(None).cast("int").alias("parent_ord"))
+    return a.unionByName(toc_tree(parsed).select("doc_id", F.lit("Heading").alias("kind"), F.col("text").alias("name"), "ord", "parent_ord"))
+
+
+def completions(parsed: DataFrame, emoji: dict[str, str] | None = None) -> DataFrame:
+    """doc_id (null: every document), kind, item: what may be inserted. Filter by prefix and sort at the sink."""
+    from quillspark.functions.vocabulary import EMOJI
+
+    spark = parsed.sparkSession
+    fixed = [("frontmatter", k) for k in FRONTMATTER_KEYS] + [("container", f":::{c}") for c in CONTAINERS] + [("admonition", f"[!{a.upper()}]") for a in ADMONITIONS] + [("directive", "[[toc]]"), ("directive", "[[embed:]]")] + [("emoji", f":{e}:") for e in (emoji or EMOJI)]
+    kind = parsed.schema["doc_id"].dataType
+    own = symbols_used(parsed).where("role = 'def'").select("doc_id", "kind", "name").distinct()
+    return own.select("doc_id", "kind", F.col("name").alias("item")).union(spark.createDataFrame(fixed, "kind string, item string").select(F.lit(None).cast(kind).alias("doc_id"), "kind", "item"))
+
+
+def code_actions(parsed: DataFrame) -> DataFrame:
+    """doc_id, title, start_byte, end_byte, new_text: fixes, missing definitions, references made inline."""
+    found = linter.lint(parsed)
+    size = parsed.select("doc_id", F.octet_length("source").alias("size"))
+    fixes = found.where("new_text is not null").select("doc_id", F.concat(F.lit("Fix "), F.col("code")).alias("title"), "start_byte", "end_byte", "new_text")
+    note = F.regexp_extract("message", r"\[(\^?[^\]]+)\]", 1)
+    missing = found.where("code in ('MDPP100', 'MDPP106')").join(size, "doc_id")
+    created = missing.select("doc_id", F.concat(F.lit("Define ["), note, F.lit("]")).alias("title"), F.col("size").alias("start_byte"), F.col("size").alias("end_byte"), F.concat(F.lit("\n["), note, F.lit("]: \n")).alias("new_text"))
+    return fixes.union(created).distinct()
+
+
+# Node type to token type.
+TOKENS = {
+    "Heading": "heading", "Emphasis": "emphasis", "Strong": "strong", "Strikethrough": "strikethrough", "CodeSpan": "codeSpan", "CodeBlock": "codeBlock",
+    "Link": "link", "Image": "image", "FootnoteRef": "footnoteRef", "FootnoteDef": "footnoteDef", "MathInline": "math", "MathBlock": "math", "Emoji": "emoji",
+    "Superscript": "superscript", "Subscript": "subscript", "Admonition": "admonition", "ContainerDirective": "container", "TableOfContents": "directive",
+    "AutoEmbed": "directive", "Diagram": "diagram", "Frontmatter": "frontmatter", "HTMLBlock": "html", "HTMLInline": "html", "Table": "table",
+}
+
+
+def semantic_tokens(parsed: DataFrame) -> DataFrame:
+    """doc_id, line, start, length (from 0, bytes), type, delta_line, delta_start: node ranges cut at line ends; of those
+    that overlap the innermost start holds; deltas against the token before."""
+    names = F.create_map(*(F.lit(x) for pair in TOKENS.items() for x in pair))
+    n = plans.nodes(parsed).where("range is not null").withColumn("token", names[F.col("type")]).where("token is not null").select("doc_id", "token", "depth", F.col("range.start_byte").alias("a"), F.col("range.end_byte").alias("b"), F.col("range.start_line").alias("la"), F.col("range.end_line").alias("lb"))
+    each = n.withColumn("line_no", F.explode(F.sequence("la", "lb"))).join(plans.lines(parsed), ["doc_id", "line_no"])
+    cut = each.select("doc_id", "line_no", "token", "depth", (F.greatest("a", "start_byte") - F.col("start_byte")).alias("start"), (F.least("b", "end_byte") - F.col("start_byte")).alias("stop")).where("stop > start")
+    by = Window.partitionBy("doc_id", "line_no").orderBy("start", F.desc("depth"), "token")
+    reached = F.max("stop").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    kept = cut.withColumn("reached", reached).where("reached is null or start >= reached")
+    order = Window.partitionBy("doc_id").orderBy("line_no", "start")
+    line_before, start_before = F.coalesce(F.lag("line_no").over(order), F.lit(1)), F.coalesce(F.lag("start").over(order), F.lit(0))
+    same = F.col("line_no") == line_before
+    return kept.select("doc_id", (F.col("line_no") - 1).alias("line"), "start", (F.col("stop") - F.col("start")).alias("length"), F.col("token").alias("type"), (F.col("line_no") - line_before).alias("delta_line"), F.when(same, F.col("start") - start_before).otherwise(F.col("start")).alias("delta_start"))
+
+

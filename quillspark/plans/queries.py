@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions import fmt
 from quillspark.functions.columns import attr, class_token, direct_media, escape_html, fence_language, slugify, words
 from quillspark.functions.vocabulary import CONTAINERS
-from quillspark.operators import extract, lint
+from quillspark.operators import convert, extract, lint, navigate
 from quillspark.plans import corpora
 from quillspark.plans.nodes import nodes, parsed
+from quillspark.streaming import edits
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -205,3 +207,134 @@ query("lint_duplicate_heading", f"WITH {SKIPS}, p AS (SELECT *, row_number() OVE
 def lint_all_rules(spark, d):
     """Every rule over the documents; found counts a rule and severity."""
     return lint.lint(parsed(corpora.prose(spark, d))).groupBy("code", "severity").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+
+
+# ---------------------------------------------------------------- conversions, positions, edits
+
+
+@query("html_outline", f"WITH {OUTLINE} SELECT doc_id, string_agg('<h' || level || ' id=\"' || slug || '\">' || text || '</h' || level || '>' || chr(10), '' ORDER BY ord) AS html FROM h GROUP BY 1")
+def html_outline(spark, d):
+    from quillspark.functions.render import Options
+
+    return convert.html(corpora.outline(spark, d), Options(heading_ids=True))
+
+
+@query(
+    "html_table",
+    """SELECT n_regionkey AS doc_id, '<div class="mdpp-table">' || chr(10) || '<table>' || chr(10) || '<colgroup>' || chr(10) || '<col style="text-align:left" />' || chr(10) || '<col style="text-align:right" />' || chr(10) || '</colgroup>' || chr(10)
+|| '<thead>' || chr(10) || '<tr><th scope="col" style="text-align:left">Nation</th><th scope="col" style="text-align:right">Key</th></tr>' || chr(10) || '</thead>' || chr(10) || '<tbody>' || chr(10)
+|| string_agg('<tr><td style="text-align:left">' || n_name || '</td><td style="text-align:right">' || n_nationkey || '</td></tr>' || chr(10), '' ORDER BY n_nationkey) || '</tbody>' || chr(10) || '</table>' || chr(10) || '</div>' || chr(10) AS html FROM nation GROUP BY 1""",
+)
+def html_table(spark, d):
+    return convert.html(corpora.pipe_table(spark, d))
+
+
+@query("html_tasks", "SELECT o_custkey AS doc_id, '<ul>' || chr(10) || string_agg('<li class=\"task-list-item\"><input type=\"checkbox\" disabled' || CASE WHEN o_orderstatus = 'F' THEN ' checked' ELSE '' END || ' />order ' || o_orderkey || '</li>' || chr(10), '' ORDER BY o_orderkey) || '</ul>' || chr(10) AS html FROM orders GROUP BY 1")
+def html_tasks(spark, d):
+    return convert.html(corpora.task_list(spark, d))
+
+
+@query("html_admonitions", "SELECT o_orderkey AS doc_id, '<div class=\"admonition admonition-' || CASE o_orderkey % 5 WHEN 0 THEN 'important' WHEN 1 THEN 'warning' WHEN 2 THEN 'note' WHEN 3 THEN 'tip' ELSE 'caution' END || '\"><p class=\"admonition-title\">Order ' || o_orderkey || '</p><p>status ' || o_orderstatus || chr(10) || 'lazy line</p>' || chr(10) || '</div>' || chr(10) AS html FROM orders")
+def html_admonitions(spark, d):
+    return convert.html(corpora.admonitions(spark, d))
+
+
+@query("html_embeds", f"SELECT p_partkey AS doc_id, '<div class=\"mdpp-embed mdpp-embed-' || p || '\" data-src=\"' || s || '\" data-provider=\"' || p || '\"><a href=\"' || s || '\">' || s || '</a></div>' || chr(10) AS html FROM (SELECT p_partkey, {_PROVIDER} AS p, 'https://' || CASE p_partkey % 10 {_HOST} END || p_partkey AS s FROM part)")
+def html_embeds(spark, d):
+    return convert.html(corpora.embeds(spark, d))
+
+
+UNTIDY = "'# ' || n_name || chr(10) || chr(10) || '- key ' || n_nationkey || chr(10) || '- **region** ' || n_regionkey || chr(10) || chr(10) || '``` sql' || chr(10) || 'select 1;' || chr(10) || '```' || chr(10) || '## End' || chr(10)"
+
+
+@query("formatted", f"SELECT n_nationkey AS doc_id, {UNTIDY} AS formatted, true AS changed FROM nation")
+def formatted(spark, d):
+    return convert.formatted(corpora.untidy(spark, d)).drop("source")
+
+
+@query("format_is_stable", f"SELECT n_nationkey AS doc_id, {UNTIDY} AS formatted, false AS changed FROM nation")
+def format_is_stable(spark, d):
+    once = convert.mapped(corpora.untidy(spark, d), "source", fmt.format_source)
+    return convert.formatted(once).drop("source")
+
+
+@query("format_diffs", f"""SELECT n_nationkey AS doc_id, '--- ' || n_nationkey || chr(10) || '+++ ' || n_nationkey || ' (formatted)' || chr(10) || '@@' || chr(10)
+|| '-' || replace(n_name || chr(10) || '=====' || chr(10) || chr(10) || chr(10) || chr(10) || '* key ' || n_nationkey || chr(10) || '* __region__ ' || n_regionkey || chr(10) || chr(10) || '~~~SQL' || chr(10) || 'select 1;' || chr(10) || '~~~' || chr(10) || '## End ##' || chr(10), chr(10), chr(10) || '-') || chr(10) || '+' || replace({UNTIDY}, chr(10), chr(10) || '+') AS diff FROM nation""")
+def format_diffs(spark, d):
+    return convert.diffs(corpora.untidy(spark, d))
+
+
+@query("tree_json", """SELECT o_custkey AS doc_id, '{"type":"Document","range":{"start_byte":0,' AS head, count(*) AS items FROM orders GROUP BY 1""")
+def tree_json(spark, d):
+    found = convert.tree_json(corpora.task_list(spark, d))
+    return found.select("doc_id", F.expr("substring(json, 1, 43)").alias("head"), F.size(F.regexp_extract_all("json", F.lit('"TaskListItem"'), F.lit(0))).alias("items"))
+
+
+@query("folding_ranges", "SELECT o_custkey AS doc_id, 1 AS start_line, count(*) AS end_line, 'region' AS kind FROM orders GROUP BY 1 HAVING count(*) > 1")
+def folding_ranges(spark, d):
+    return navigate.folding_ranges(parsed(corpora.task_list(spark, d)))
+
+
+@query("document_symbols", f"WITH {OUTLINE} SELECT doc_id, 'Heading' AS kind, text AS name, ord, CASE WHEN level > 1 THEN (SELECT max(b.ord) FROM h b WHERE b.doc_id = h.doc_id AND b.ord < h.ord AND b.level < h.level) END AS parent_ord FROM h")
+def document_symbols(spark, d):
+    return navigate.document_symbols(parsed(corpora.outline(spark, d)))
+
+
+@query("named_places", "SELECT l_orderkey AS doc_id, 'n' || l_linenumber AS name, CASE WHEN l_linenumber % 4 <> 0 THEN 1 ELSE 0 END AS defs, count(*) AS uses FROM lineitem GROUP BY l_orderkey, l_linenumber")
+def named_places(spark, d):
+    s = navigate.symbols_used(parsed(corpora.footnoted(spark, d))).where("kind = 'footnote'")
+    return s.groupBy("doc_id", "name").agg(F.count(F.when(F.col("role") == "def", 1)).alias("defs"), F.count(F.when(F.col("role") == "use", 1)).alias("uses"))
+
+
+@query(
+    "semantic_tokens",
+    """WITH p AS (SELECT p_partkey AS doc_id, CASE p_partkey % 6 WHEN 0 THEN 'python' WHEN 1 THEN 'Mermaid' WHEN 2 THEN 'sequence' WHEN 3 THEN 'Go' WHEN 4 THEN 'c4' ELSE 'sql' END AS g, CASE WHEN p_partkey % 6 IN (1, 2, 4) THEN 'diagram' ELSE 'codeBlock' END AS type FROM part)
+SELECT doc_id, v.line, 0 AS start, CASE v.line WHEN 0 THEN 3 + len(g) WHEN 1 THEN 5 WHEN 2 THEN 7 + len(CAST(doc_id AS VARCHAR)) ELSE 3 END AS length, type, CASE WHEN v.line = 0 THEN 0 ELSE 1 END AS delta_line, 0 AS delta_start FROM p, (VALUES (0), (1), (2), (3)) v(line)""",
+)
+def semantic_tokens(spark, d):
+    return navigate.semantic_tokens(parsed(corpora.fenced(spark, d)))
+
+
+@query("positions_to_offsets", "SELECT doc_id, 0 AS line, 7 AS character, strlen(substr(string_split(coalesce(text, ''), chr(10))[1], 1, 7)) AS \"offset\" FROM documents")
+def positions_to_offsets(spark, d):
+    docs = corpora.prose(spark, d)
+    at = docs.select("doc_id", F.lit(0).alias("line"), F.lit(7).alias("character"))
+    return navigate.to_offsets(docs, at)
+
+
+@query("definitions_at", "SELECT o_custkey AS doc_id, 3 AS \"offset\", 'label' AS kind, 'o' || min(o_orderkey) AS name FROM orders GROUP BY 1 HAVING min(o_orderkey) % 3 <> 0")
+def definitions_at(spark, d):
+    p = parsed(corpora.reference_links(spark, d))
+    at = p.select("doc_id", (F.expr("locate('][o', source)") + 1).alias("offset"))
+    return navigate.definition(p, at).select("doc_id", F.lit(3).alias("offset"), "kind", "name")
+
+
+@query("edits_replayed", "SELECT 'c' || o_custkey AS uri, string_agg(o_orderkey || ';', '' ORDER BY o_orderkey DESC) AS source, count(*) AS version FROM orders GROUP BY 1")
+def edits_replayed(spark, d):
+    """Each order writes its key at the head of its customer's document."""
+    o = corpora.table(spark, d, "orders")
+    uri = F.concat(F.lit("c"), F.col("o_custkey"))
+    none = F.lit(None).cast("int")
+    opened = o.select(uri.alias("uri")).distinct().select("uri", F.lit(0).alias("version"), F.lit(-1).cast("long").alias("seq"), F.lit("open").alias("kind"), none.alias("start_line"), none.alias("start_char"), none.alias("end_line"), none.alias("end_char"), F.lit("").alias("text"))
+    nth = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    zero = F.lit(0)
+    changes = o.select(uri.alias("uri"), nth.alias("version"), F.col("o_orderkey").cast("long").alias("seq"), F.lit("change").alias("kind"), zero.alias("start_line"), zero.alias("start_char"), zero.alias("end_line"), zero.alias("end_char"), F.concat(F.col("o_orderkey"), F.lit(";")).alias("text"))
+    found = edits.replayed(opened.union(changes))
+    return found.groupBy("uri").agg(F.max_by("source", "seq").alias("source"), F.max_by("version", "seq").alias("version"))
+
+
+@query("code_actions", f"WITH {LINKS} SELECT doc_id, CASE WHEN k % 3 = 0 THEN 'Define [o' || k || ']' END AS title, 1 AS n FROM use WHERE k % 3 = 0 UNION ALL SELECT doc_id, 'Fix MDPP105', count(*) FROM use WHERE k % 5 = 0 GROUP BY 1")
+def code_actions(spark, d):
+    return navigate.code_actions(parsed(corpora.reference_links(spark, d))).groupBy("doc_id", "title").agg(F.count("*").alias("n"))
+
+
+@query("lint_reports", f"WITH {LINKS} SELECT doc_id, '::error file=' || doc_id || ',line=' || n || ',col=5,title=MDPP106::reference link [o' || k || '] has no definition' AS report FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS n FROM use) WHERE k % 3 = 0")
+def lint_reports(spark, d):
+    found = lint.lint(parsed(corpora.reference_links(spark, d)), ["MDPP106"])
+    return lint.reported(found, "github").select("doc_id", "report")
+
+
+@query("lint_fixed", "SELECT p_partkey AS doc_id, '```' || CASE p_partkey % 6 WHEN 1 THEN 'mermaid' ELSE 'go' END || chr(10) || 'gantt' || chr(10) || '  part ' || p_partkey || chr(10) || '```' || chr(10) AS source FROM part WHERE p_partkey % 6 IN (1, 3)")
+def lint_fixed(spark, d):
+    p = parsed(corpora.fenced(spark, d))
+    return lint.fixed(p, lint.lint(p, ["MDPP300"])).where("n_edits > 0").select("doc_id", "source")
