@@ -20,7 +20,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 VOCABULARY = "byte_bpe_50k.json"
 END = 0
 #: Chunks that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 
 _CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
@@ -46,10 +46,32 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
         self.end = np.array([END], dtype=self.dtype).tobytes()
+        feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        #: The id of a line feed; -1, which no id is, in a vocabulary that has none.
+        self.feed = feed[0] if len(feed) == 1 else -1
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _ids_of_chunks(self, chunks: list[str]) -> dict[str, bytes]:
+        """The ids of each chunk. Chunks with a blank at most in front go in as lines of one text: a line feed
+        between them is a token of its own and leaves the tokens beside it as they are."""
+        lines = [c for c in chunks if c != " " and c and " " not in c[1:] and "\n" not in c]
+        rest = list(set(chunks).difference(lines))
+        out = dict(zip(rest, self._ids(rest), strict=True))
+        for i in range(0, len(lines), 4096):
+            part = lines[i : i + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            ends = np.flatnonzero(ids == self.feed)
+            if len(ends) != len(part) - 1:
+                out.update(zip(part, self._ids(part), strict=True))
+                continue
+            raw, n = ids.tobytes(), self.dtype.itemsize
+            starts = [0, *((ends + 1) * n).tolist()]
+            stops = [*(ends * n).tolist(), len(raw)]
+            out.update(zip(part, [raw[x:y] for x, y in zip(starts, stops, strict=True)], strict=True))
+        return out
+
     def _learn(self, chunks: set[str]) -> None:
         """Encode the chunks that aren't known: bodies and tails of new chunks once each."""
         new = chunks.difference(self.known)
@@ -61,8 +83,7 @@ class Encoder:
                 fresh.update((body, c[len(body) :]))
             else:
                 fresh.add(c)
-        todo = list(fresh.difference(self.known))
-        self.known.update(zip(todo, self._ids(todo), strict=True))
+        self.known.update(self._ids_of_chunks(list(fresh.difference(self.known))))
         for c, body in cut.items():
             self.known[c] = self.known[body] + self.known[c[len(body) :]]
 
