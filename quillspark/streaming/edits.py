@@ -10,12 +10,14 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 EVENTS = "uri string, version int, seq long, kind string, start_line int, start_char int, end_line int, end_char int, text string"
 RESULTS = "uri string, version int, seq long, kind string, source string, error string"
 STATE = "version int, source string"
+_ARROW = pa.schema([("uri", pa.string()), ("version", pa.int32()), ("seq", pa.int64()), ("kind", pa.string()), ("source", pa.string()), ("error", pa.string())])
 
 
 def to_index(source: str, line: int, character: int) -> int:
@@ -70,24 +72,25 @@ def _rows(frames: Iterable[pd.DataFrame]) -> list[dict]:
     return sorted(rows, key=lambda r: r["seq"])
 
 
-def _apply(uri: str, rows: list[dict], held: tuple[int, str] | None) -> tuple[tuple[int, str] | None, pd.DataFrame]:
+def _walk(uri: str, rows: list[dict], held: tuple[int, str] | None) -> tuple[tuple[int, str] | None, list[dict]]:
+    """State after all rows, and a result for each."""
     out = []
     for r in rows:
         held, error = advance(held, r)
         out.append({"uri": uri, "version": held[0] if held else r["version"], "seq": r["seq"], "kind": r["kind"], "source": held[1] if held else None, "error": error})
-    return held, pd.DataFrame(out, columns=["uri", "version", "seq", "kind", "source", "error"])
+    return held, out
 
 
 def documents(events: DataFrame) -> DataFrame:
     """uri, version, seq, kind, source, error after each event of a stream; events of a micro-batch apply in order of seq."""
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, out = _apply(key[0], _rows(frames), tuple(state.get) if state.exists else None)
+        held, out = _walk(key[0], _rows(frames), tuple(state.get) if state.exists else None)
         if held is None:
             state.remove()
         else:
             state.update((int(held[0] or 0), held[1]))
-        yield out
+        yield pd.DataFrame(out, columns=_ARROW.names)
 
     return events.groupBy("uri").applyInPandasWithState(update, RESULTS, STATE, "append", GroupStateTimeout.NoTimeout)
 
@@ -95,10 +98,11 @@ def documents(events: DataFrame) -> DataFrame:
 def replayed(events: DataFrame) -> DataFrame:
     """The same over a finished table of events: the last row of each document is its state."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return _apply(frame["uri"].iloc[0], _rows([frame]), None)[1]
+    def run(events_of_one: pa.Table) -> pa.Table:
+        rows = sorted(events_of_one.to_pylist(), key=lambda r: r["seq"])
+        return pa.Table.from_pylist(_walk(rows[0]["uri"], rows, None)[1], schema=_ARROW)
 
-    return events.groupBy("uri").applyInPandas(run, RESULTS)
+    return events.groupBy("uri").applyInArrow(run, RESULTS)
 
 
 def published(batch: DataFrame, least: str = "hint") -> DataFrame:
