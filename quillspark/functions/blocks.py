@@ -354,6 +354,7 @@ class Parser:
     # ------------------------------------------------------------ whole-tree steps, in this order
 
     def finish(self, root: Node) -> None:
+        quote_headings(root)
         self._footnotes(root)
         self._math_blocks(root)
         for kind, pattern in _PATTERNS:
@@ -446,6 +447,15 @@ def shift(nodes: list[Node], parts: list[tuple[int, str]]) -> None:
                     n.start, n.end = moved(n.start, False), moved(n.end, True)
 
 
+def quote_headings(root: Node) -> None:
+    """A quote that opens with a bracketed text has it as a strong heading."""
+    for n in root.walk():
+        if n.type == "Blockquote" and n.children and n.children[0].type == "Paragraph" and n.children[0].children:
+            inline = n.children[0].children
+            if re.fullmatch(r"\[[^\^!][\s\S]*\]", inline[0].attrs.get("raw", "")):
+                inline[0] = Node("Strong", inline[0].children)
+
+
 def cells(line: str) -> list[tuple[int, str]]:
     """(offset, text) of the cells of a pipe row; escaped pipes and those in code stay."""
     stripped = line.rstrip()

@@ -52,3 +52,14 @@ def printable(docs: DataFrame, css: str = "", options: Options = Options(heading
     """doc_id, page: the HTML page that a browser prints to PDF; the browser itself is outside this engine."""
     shell = ("<!doctype html><html><head><meta charset=\"utf-8\"><style>", "</style></head><body>", "</body></html>")
     return html(docs, options).select("doc_id", F.concat(F.lit(shell[0] + css + shell[1]), F.col("html"), F.lit(shell[2])).alias("page"))
+
+
+def previewed(docs: DataFrame) -> DataFrame:
+    """doc_id, html with heading ids and source positions, toc (array of level, id, text), version (of the frontmatter, or empty)."""
+    from quillspark.operators.extract import format_version, headings
+    from quillspark.plans.nodes import parsed
+
+    p = parsed(docs)
+    toc = headings(p).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "level", F.col("slug").alias("id"), "text"))).alias("toc"))
+    shown = html(docs, Options(heading_ids=True, source_positions=True))
+    return shown.join(toc, "doc_id", "left").join(format_version(p), "doc_id", "left").withColumn("version", F.coalesce("version", F.lit("")))

@@ -112,6 +112,14 @@ def references(parsed: DataFrame, offsets: DataFrame, declaration: bool = True)
     return _under(parsed, offsets).join(s, ["doc_id", "kind", "name"]).select("doc_id", "offset", "kind", "name", "role", "start_byte", "end_byte")
 
 
+def prepare_rename(parsed: DataFrame, offsets: DataFrame) -> DataFrame:
+    """doc_id, offset, start_byte, end_byte: what a rename at each offset would replace there; nothing where nothing has a name."""
+    targets = offsets.withColumn("new_name", F.lit(""))
+    edits = rename(parsed, targets).join(_under(parsed, offsets).select("doc_id", "offset"), ["doc_id", "offset"])
+    near = F.row_number().over(Window.partitionBy("doc_id", "offset").orderBy(F.abs(F.col("start_byte") - F.col("offset"))))
+    return edits.withColumn("rn", near).where("rn = 1").select("doc_id", "offset", "start_byte", "end_byte")
+
+
 def rename(parsed: DataFrame, targets: DataFrame) -> DataFrame:
     """Edits for targets(doc_id, offset, new_name): doc_id, offset, start_byte, end_byte, new_text. In each place only the
     name is replaced; anchors follow the new heading's slug."""

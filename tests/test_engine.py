@@ -87,6 +87,17 @@ def test_files_in_and_out(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").first().formatted == "- x\n"
 
 
+def test_rename_and_preview(spark):
+    docs = spark.createDataFrame([(1, "---\nmdpp: 0.1\n---\n# Old\n\n[x](#old)\n")], "doc_id long, source string")
+    p = parsed(docs)
+    at = spark.createDataFrame([(1, 20)], "doc_id long, offset int")
+    assert [tuple(r) for r in navigate.prepare_rename(p, at).collect()] == [(1, 20, 20, 23)]
+    edits_of = navigate.rename(p, at.selectExpr("*", "'New name' AS new_name")).orderBy("start_byte").collect()
+    assert [(r.start_byte, r.end_byte, r.new_text) for r in edits_of] == [(20, 23, "New name"), (29, 33, "#new-name")]
+    shown = convert.previewed(docs).first()
+    assert shown.version == "0.1" and shown.toc[0].id == "old" and 'id="old"' in shown.html
+
+
 def normal(rows):
     return sorted(repr([None if v is None or v != v else f"{v:.9g}" if isinstance(v, float) else str(v) for v in r]) for r in rows)
 

@@ -25,6 +25,7 @@ HTML = [
     ("3. x\n4. y\n", '<ol start="3">\n<li><p>x</p></li>\n<li><p>y</p></li>\n</ol>\n'),
     ("- [x] done\n- [ ] open\n", '<ul>\n<li class="task-list-item"><input type="checkbox" disabled checked />done</li>\n<li class="task-list-item"><input type="checkbox" disabled />open</li>\n</ul>\n'),
     ("> quoted\n> more\n", "<blockquote>\n<p>quoted\nmore</p>\n</blockquote>\n"),
+    ("> [Title] rest\n", "<blockquote>\n<p><strong>Title</strong> rest</p>\n</blockquote>\n"),
     ("> [!TIP]\n> body\n", '<div class="admonition admonition-tip"><p class="admonition-title">TIP</p><p>body</p>\n</div>\n'),
     ("```py\na < b\n```\n", '<pre><code class="language-py">a &lt; b\n</code></pre>\n'),
     ("    code\n", "<pre><code>code\n</code></pre>\n"),
