@@ -53,7 +53,7 @@ def toc_tree(spark, d):
     return extract.toc_tree(parsed(corpora.outline(spark, d)))
 
 
-@query("word_counts", f"WITH {OUTLINE}, w AS (SELECT doc_id, sum(len(list_filter(string_split(text, ' '), lambda x: x <> ''))) AS words FROM h GROUP BY 1) SELECT doc_id, words, CASE WHEN words = 0 THEN 0 ELSE greatest(1, words // 200) END AS reading_minutes FROM w")
+@query("word_counts", f"WITH {OUTLINE}, w AS (SELECT doc_id, CAST(sum(len(list_filter(string_split(text, ' '), lambda x: x <> ''))) AS BIGINT) AS words FROM h GROUP BY 1) SELECT doc_id, words, CASE WHEN words = 0 THEN 0 ELSE greatest(1, words // 200) END AS reading_minutes FROM w")
 def word_counts(spark, d):
     return extract.word_counts(parsed(corpora.outline(spark, d)))
 
@@ -190,7 +190,7 @@ query(
     "lint_unused_definition",
     f"""WITH {LINKS}, n AS (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id) AS uses, (k % 3 <> 0)::INT AS a, (k % 5 = 0)::INT AS b FROM use),
 p AS (SELECT *, sum(a + b) OVER (PARTITION BY doc_id ORDER BY k) AS upto FROM n)
-SELECT doc_id, 'MDPP105' AS code, 'warning' AS severity, 'link reference [u' || k || '] is never used' AS message, uses + 2 + upto AS line FROM p WHERE b = 1""",
+SELECT doc_id, 'MDPP105' AS code, 'warning' AS severity, 'link reference [u' || k || '] is never used' AS message, CAST(uses + 2 + upto AS BIGINT) AS line FROM p WHERE b = 1""",
 )(_linted(corpora.reference_links, "MDPP105"))
 query("lint_undefined_footnote", "SELECT l_orderkey AS doc_id, 'MDPP100' AS code, 'error' AS severity, 'undefined footnote reference [^n' || l_linenumber || ']' AS message, 1 AS line FROM lineitem WHERE l_linenumber % 4 = 0")(_linted(corpora.footnoted, "MDPP100", "MDPP101"))
 query("lint_unknown_container", f"SELECT p_partkey AS doc_id, 'MDPP104' AS code, 'warning' AS severity, 'unknown container type :::gadget' AS message, 1 AS line FROM part WHERE {KIND} NOT IN {CONTAINERS}")(_linted(corpora.containers, "MDPP104"))
