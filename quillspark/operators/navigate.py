@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillspark.functions.columns import attr, label, slugify
 from quillspark.functions.vocabulary import ADMONITIONS, CONTAINERS, FRONTMATTER_KEYS
 from quillspark.operators import lint as linter
-from quillspark.operators.extract import of_type, path_at, toc_tree
+from quillspark.operators.extract import link_definitions, of_type, path_at, toc_tree
 from quillspark.plans import nodes as plans
 
 
@@ -177,7 +177,14 @@ def code_actions(parsed: DataFrame) -> DataFrame:
     note = F.regexp_extract("message", r"\[(\^?[^\]]+)\]", 1)
     missing = found.where("code in ('MDPP100', 'MDPP106')").join(size, "doc_id")
     created = missing.select("doc_id", F.concat(F.lit("Define ["), note, F.lit("]")).alias("title"), F.col("size").alias("start_byte"), F.col("size").alias("end_byte"), F.concat(F.lit("\n["), note, F.lit("]: \n")).alias("new_text"))
-    return fixes.union(created).distinct()
+    pair = r"\[([^\[\]\n]+)\]\[([^\[\]\n]*)\]"
+    rows = plans.lines(parsed).withColumn("t", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pair), F.lit(0)))))
+    shown, named = F.regexp_extract("t", pair, 1), F.regexp_extract("t", pair, 2)
+    at = F.col("start_byte") + F.octet_length(F.expr("substring_index(text, t, 1)"))
+    uses = rows.select("doc_id", label(F.when(named == "", shown).otherwise(named)).alias("label"), shown.alias("shown"), at.alias("start_byte"), (at + F.octet_length("t")).alias("end_byte"))
+    quoted = F.when(F.col("title") != "", F.concat(F.lit(' "'), F.col("title"), F.lit('"'))).otherwise("")
+    inline = uses.join(link_definitions(plans.lines(parsed)), ["doc_id", "label"]).select("doc_id", F.lit("Convert to inline link").alias("title"), "start_byte", "end_byte", F.concat(F.lit("["), F.col("shown"), F.lit("]("), F.col("href"), quoted, F.lit(")")).alias("new_text"))
+    return fixes.union(created).union(inline).distinct()
 
 
 # Node type to token type.

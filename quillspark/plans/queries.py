@@ -323,7 +323,7 @@ def edits_replayed(spark, d):
     return found.groupBy("uri").agg(F.max_by("source", "seq").alias("source"), F.max_by("version", "seq").alias("version"))
 
 
-@query("code_actions", f"WITH {LINKS} SELECT doc_id, CASE WHEN k % 3 = 0 THEN 'Define [o' || k || ']' END AS title, 1 AS n FROM use WHERE k % 3 = 0 UNION ALL SELECT doc_id, 'Fix MDPP105', count(*) FROM use WHERE k % 5 = 0 GROUP BY 1")
+@query("code_actions", f"WITH {LINKS} SELECT doc_id, CASE WHEN k % 3 = 0 THEN 'Define [o' || k || ']' END AS title, 1 AS n FROM use WHERE k % 3 = 0 UNION ALL SELECT doc_id, 'Fix MDPP105', count(*) FROM use WHERE k % 5 = 0 GROUP BY 1 UNION ALL SELECT doc_id, 'Convert to inline link', count(*) FROM use WHERE k % 3 <> 0 GROUP BY 1")
 def code_actions(spark, d):
     return navigate.code_actions(parsed(corpora.reference_links(spark, d))).groupBy("doc_id", "title").agg(F.count("*").alias("n"))
 
