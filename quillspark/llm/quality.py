@@ -33,8 +33,8 @@ for _row in INDEX:
 # What a token's shape is made of: letters by case, digits and each other byte; runs shortened.
 _SHAPE = bytes(0x41 if 65 <= b <= 90 else 0x61 if 97 <= b <= 122 or b >= 128 else 0x30 if 48 <= b <= 57 else b for b in range(256))
 _RUN = re.compile(rb"(.)\1+", re.DOTALL)
-#: Tokens a worker remembers before it starts anew.
-REMEMBERED = 500_000
+#: Tokens a worker remembers before it starts anew; it forgets them at the end of each task.
+REMEMBERED = 200_000
 
 
 class Tokens(dict):
@@ -74,6 +74,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
                         pairs += [words[:-d] * BUCKETS + words[d:], shapes[:-d] * BUCKETS + shapes[d:]]
                 keys, n = np.unique(np.concatenate(pairs), return_counts=True)
                 near.reshape(-1)[keys] += n.astype(np.int32)
+        _known.clear()
         sums = (near @ INDEX + near.T @ INDEX).astype(np.int64)
         used = np.flatnonzero(near.any(1) | near.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(sums[used].tolist(), pa.list_(pa.int64()))], names=["bucket", "v"])
@@ -173,6 +174,7 @@ def scored(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
         for whole in batches:
             for batch in slices(whole):
                 yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(net.score(document_vectors(column(batch, "text").to_pylist(), vectors)))], names=["doc_id", "score"])
+        _known.clear()
 
     found = texts_of(docs).mapInArrow(run, "doc_id long, score double")
     return found.select("doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= LEAST).cast("int").alias("predicted"))
@@ -186,6 +188,7 @@ def accepted(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
         for batch in batches:
             texts = column(batch, "text").fill_null("").to_pylist()
             yield batch.filter(pa.array(net.score(document_vectors(texts, vectors)) >= LEAST))
+        _known.clear()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -18,6 +18,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all machines share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not given:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all machines share")
         given = f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
         spark.conf.set("spark.checkpoint.dir", given)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -111,7 +114,7 @@ _INV = np.ones(1, dtype=np.uint64)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _POW, _INV
     if len(_POW) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 20)
         _POW = np.full(size, _MULT, dtype=np.uint64)
         _INV = np.full(size, pow(_MULT, -1, 1 << 64), dtype=np.uint64)
         _POW[0] = _INV[0] = 1
