@@ -6,12 +6,13 @@ passage that stands twice has the same windows in both places and the same minim
 in each: its fingerprint. Fingerprints that stand once in the corpus can't be of a repeated passage and
 their windows go; the positions of the others are joined on the whole window to both ends of the match.
 A window whose first position in (doc_id, line) order is another one is a later repeat; overlapping
-windows merge into runs, and the lines of runs are deleted.
+windows merge into runs, and the lines of runs are deleted. With `extend`, matches are first extended line by
+line beyond their whole windows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.shared import table, texts_of, written
@@ -28,9 +29,9 @@ def line_table(docs: DataFrame) -> DataFrame:
     return clean.select("row", "doc_id", "pos", words.cast("int").alias("words"), F.struct(F.xxhash64("line").alias("x"), F.xxhash64(F.lit("second"), "line").alias("y")).alias("h"))
 
 
-def windows(lines: DataFrame, min_words: int, min_lines: int) -> DataFrame:
-    """One row a line from which a window starts: row, doc_id, pos, last (line number of its end), print (its
-    minimum), key (hash of all of it). Sorted by document once; lead() reads at most min_lines - 1 lines on."""
+def ahead_of(lines: DataFrame, min_words: int, min_lines: int) -> DataFrame:
+    """The lines from which a window starts, with size (its lines), hs and ps (hashes and line numbers of up to
+    min_lines lines from there). Sorted by document once; lead() reads at most min_lines - 1 lines on."""
     by = Window.partitionBy("row").orderBy("pos")
     ahead = lines.withColumns({f"n{i}": F.lead("words", i).over(by) for i in range(1, min_lines)} | {f"h{i}": F.lead("h", i).over(by) for i in range(1, min_lines)} | {f"p{i}": F.lead("pos", i).over(by) for i in range(1, min_lines)})
     held = F.col("words")
@@ -39,40 +40,81 @@ def windows(lines: DataFrame, min_words: int, min_lines: int) -> DataFrame:
         held = held + F.coalesce(F.col(f"n{i}"), F.lit(0))
         reached = (held >= min_words) if i < min_lines - 1 else F.lit(True)
         whole = whole.when(F.col(f"h{i}").isNotNull() & reached, i + 1)
-    hashes = F.slice(F.array("h", *(F.col(f"h{i}") for i in range(1, min_lines))), 1, F.col("size"))
-    spans = F.slice(F.array("pos", *(F.col(f"p{i}") for i in range(1, min_lines))), 1, F.col("size"))
-    found = ahead.withColumn("size", whole).where("size is not null").select("row", "doc_id", "pos", F.element_at(spans, -1).alias("last"), hashes.alias("hs"))
-    return found.select("row", "doc_id", "pos", "last", F.array_min("hs").alias("print"), F.struct(F.xxhash64(F.transform("hs", lambda h: h["x"])).alias("x"), F.xxhash64(F.lit("second"), F.transform("hs", lambda h: h["y"])).alias("y")).alias("key"))
+    hashes = F.array("h", *(F.col(f"h{i}") for i in range(1, min_lines)))
+    places = F.array("pos", *(F.col(f"p{i}") for i in range(1, min_lines)))
+    return ahead.withColumn("size", whole).where("size is not null").withColumns({"hs": hashes, "ps": places})
+
+
+def key_of(hs: Column) -> Column:
+    """Hash of a run of lines."""
+    return F.struct(F.xxhash64(F.transform(hs, lambda h: h["x"])).alias("x"), F.xxhash64(F.lit("second"), F.transform(hs, lambda h: h["y"])).alias("y"))
+
+
+def windows(lines: DataFrame, min_words: int, min_lines: int) -> DataFrame:
+    """One row a line from which a window starts: row, doc_id, pos, next (line number of the next line, null at the
+    end), last (of its end), print (its minimum), key (hash of all of it)."""
+    after = F.get("ps", F.lit(1)) if min_lines > 1 else F.lit(None).cast("int")
+    found = ahead_of(lines, min_words, min_lines).select("row", "doc_id", "pos", after.alias("next"), F.element_at("ps", F.col("size")).alias("last"), F.slice("hs", F.lit(1), F.col("size")).alias("hs"))
+    return found.select("row", "doc_id", "pos", "next", "last", F.array_min("hs").alias("print"), key_of(F.col("hs")).alias("key"))
+
+
+def later_spans(spans: DataFrame) -> DataFrame:
+    """Of spans (row, doc_id, pos, key, ...) those whose key stands at an earlier place too."""
+    at = F.struct("doc_id", "row", "pos")
+    first = spans.groupBy("key").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
+    return spans.join(first, "key").where(at != F.col("first")).drop("first")
+
+
+def extensions(lines: DataFrame, candidates: DataFrame, later: DataFrame, min_words: int, min_lines: int) -> DataFrame:
+    """row, pos, last of what matches go on for beyond their last whole windows, with any earlier place.
+
+    A match needs no extension back: the window at its first line ends no later than any other window in
+    it, so it is a matched window itself. Forward, less than a window is left after the start of the last
+    whole one, so runs of up to min_lines lines from there say it all; they are keyed like windows. A
+    window whose next line starts a later repeat is left to that one.
+    """
+    follow = later.select("row", F.col("pos").alias("next"))
+    ends = later.join(follow, ["row", "next"], "left_anti").select("key").distinct()
+    starts = candidates.join(ends, "key", "left_semi").groupBy("row").agg(F.collect_set("pos").alias("starts"))
+    near = ahead_of(lines.join(starts, "row"), min_words, min_lines).where(F.array_contains("starts", F.col("pos")))
+    held = F.size(F.filter("ps", lambda p: p.isNotNull()))
+    longer = near.where(held > F.col("size")).withColumn("n", F.explode(F.sequence(F.col("size") + 1, held)))
+    keyed = longer.select("row", "doc_id", "pos", F.element_at("ps", F.col("n")).alias("last"), key_of(F.slice("hs", F.lit(1), F.col("n"))).alias("key"))
+    return later_spans(keyed).select("row", "pos", "last")
 
 
-def repeats(docs: DataFrame, min_words: int, min_lines: int) -> DataFrame:
+def repeats(docs: DataFrame, min_words: int, min_lines: int, extend: bool = False) -> DataFrame:
     """row, runs: array of (first, last) line numbers to delete, maximal and in order."""
     spans = written(windows(line_table(docs), min_words, min_lines), "line-windows")
     # a position of a fingerprint is one line; the same line may be the minimum of several windows
     often = spans.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
     candidates = spans.join(often, "print", "left_semi")
-    at = F.struct("doc_id", "row", "pos")
-    first = candidates.groupBy("key").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
-    later = candidates.join(first, "key").where(at != F.col("first")).select("row", F.struct(F.col("pos").alias("first"), F.col("last").alias("last")).alias("span"))
+    later = later_spans(candidates)
+    found = later.select("row", "pos", "last")
+    if extend:
+        later = written(later.select("row", "pos", "next", "last", "key"), "line-repeats")
+        found = later.select("row", "pos", "last").union(extensions(line_table(docs), spans, later, min_words, min_lines))
     grown = F.aggregate(
         F.array_sort("spans"),
         F.expr("array(named_struct('first', -1, 'last', -2))"),
         lambda acc, s: F.when(s["first"] <= F.element_at(acc, -1)["last"] + 1, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["first"].alias("first"), F.greatest(F.element_at(acc, -1)["last"], s["last"]).alias("last"))))).otherwise(F.concat(acc, F.array(s))),
     )
-    merged = later.groupBy("row").agg(F.collect_list("span").alias("spans")).select("row", grown.alias("runs"))
+    span = F.struct(F.col("pos").alias("first"), F.col("last").alias("last"))
+    merged = found.groupBy("row").agg(F.collect_list(span).alias("spans")).select("row", grown.alias("runs"))
     return merged.select("row", F.filter("runs", lambda r: r["first"] >= 0).alias("runs"))
 
 
-def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, min_lines: int = MIN_LINES) -> DataFrame:
+def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, min_lines: int = MIN_LINES, extend: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_lines, n_removed, removed (runs first-last from 0), text.
 
     A run of lines is deleted where windows of it stood before, in the order of doc_id and line; blank
-    lines inside a run go with it. Lines are compared with white space collapsed. Null is the
+    lines inside a run go with it. With `extend` a run goes on line by line while an earlier place goes on
+    alike; without it ends with its last whole window, as the SQL of op3_line_dedup has it. Lines are compared with white space collapsed. Null is the
     empty text, one blank line; a text shorter than a window stays; of rows that repeat a doc_id the later
     in input order loses what the earlier holds; an empty table gives no rows; extra columns are ignored.
     """
     keyed = texts_of(docs).withColumn("row", F.monotonically_increasing_id())
-    runs = repeats(keyed, min_words, min_lines)
+    runs = repeats(keyed, min_words, min_lines, extend)
     joined = keyed.join(runs, "row", "left")
     lines = F.split("text", "\n", -1)
     gone = F.coalesce(F.flatten(F.transform("runs", lambda r: F.sequence(r["first"], r["last"]))), F.array().cast("array<int>"))
@@ -86,6 +128,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches extended; has no SQL."""
+    return deduplicated(table(spark, sf_dir, "documents"), extend=True)
+
+
 def _oracle(min_words: int, min_lines: int) -> str:
     lead = ", ".join(f"lead(words, {i}) OVER o AS n{i}, lead(line, {i}) OVER o AS l{i}, lead(pos, {i}) OVER o AS p{i}" for i in range(1, min_lines))
     cases, held = f"WHEN words >= {min_words} THEN 1", "words"
@@ -113,4 +160,4 @@ FROM d LEFT JOIN v USING (doc_id) LEFT JOIN k USING (doc_id)
 
 
 ORACLE_SQL = {"op3_line_dedup": _oracle(MIN_WORDS, MIN_LINES)}
-QUERIES = {"op3_line_dedup": op3_line_dedup}
+QUERIES = {"op3_line_dedup": op3_line_dedup, "op3_line_dedup_whole": op3_line_dedup_whole}
