@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import texts_of
+from quillspark.llm.shared import column, slices, texts_of
 
 #: Every FOLDS-th document by checksum is held out of learning.
 FOLDS = 5
@@ -18,11 +21,12 @@ def is_held_out():
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)) == 0
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, chars: int) -> tuple[list[str], np.ndarray]:
-    """Texts and labels of at most `rows` labelled documents, those with the least checksums of their ids.
+def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, describe: Callable[[list[str]], list], kind: str) -> tuple[pa.ChunkedArray, np.ndarray]:
+    """What `describe` makes of whole texts (a value of SQL type `kind` for each), and labels, of at most `rows`
+    labelled documents, those with the least checksums of their ids.
 
-    `chars` bounds what of a text is learned from; scoring always reads whole texts. Rows with a
-    null id, label or held-out id are never learned from; of labels that repeat an id the largest holds.
+    Texts are described on the executors and don't come to the driver. Rows with a null id, label or held-out
+    id are never learned from; of labels that repeat an id the largest holds.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
     known = known.where(~is_held_out())
@@ -32,9 +36,18 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, chars: int
     if n > rows:
         share = rows / n
         known = known.where(order < F.lit(int(-(1 << 63) + share * (1 << 64)))).limit(rows)
-    chosen = texts_of(docs).join(F.broadcast(known), "doc_id").select("doc_id", F.substring("text", 1, chars).alias("text"), "y").toArrow()
-    chosen = chosen.take(pa.compute.sort_indices(chosen, sort_keys=[("doc_id", "ascending"), ("text", "ascending")]))
-    return chosen.column("text").to_pylist(), chosen.column("y").to_numpy().astype(np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole):
+                found = describe(column(batch, "text").to_pylist())
+                yield pa.RecordBatch.from_arrays([column(batch, c) for c in ("doc_id", "y", "digest")] + [pa.array(found, types[kind])], names=["doc_id", "y", "digest", "found"])
+
+    types = {"array<binary>": pa.list_(pa.binary()), "array<double>": pa.list_(pa.float64())}
+    texts = texts_of(docs).join(F.broadcast(known), "doc_id").select("doc_id", "y", F.sha2("text", 256).alias("digest"), "text")
+    chosen = texts.mapInArrow(run, f"doc_id long, y int, digest string, found {kind}").toArrow()
+    chosen = chosen.take(pa.compute.sort_indices(chosen, sort_keys=[("doc_id", "ascending"), ("digest", "ascending")]))
+    return chosen.column("found"), chosen.column("y").to_numpy().astype(np.float64)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

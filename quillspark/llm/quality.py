@@ -21,8 +21,8 @@ from quillspark.llm.labelled import is_held_out, sample, sigmoid
 from quillspark.llm.shared import column, slices, table, texts_of
 
 BUCKETS, DIMS, NONZERO, REACH = 2048, 48, 6, 2
-#: Labelled rows and characters of each that are learned from, at most.
-ROWS, CHARS = 12_000, 8000
+#: Labelled rows that are learned from, at most.
+ROWS = 12_000
 HIDDEN = 32
 
 _rng = np.random.default_rng(5)
@@ -98,6 +98,13 @@ def document_vectors(texts: list[str], vectors: np.ndarray) -> np.ndarray:
     return out
 
 
+def described(texts: list[str], vectors: np.ndarray) -> list[list[float]]:
+    """document_vectors for `sample`; the tokens are forgotten again."""
+    out = document_vectors(texts, vectors).tolist()
+    _known.clear()
+    return out
+
+
 class Network:
     """One hidden layer of tanh units; temperature divides the output before the sigmoid."""
 
@@ -157,8 +164,8 @@ LEAST = 0.3
 def fitted(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> tuple[np.ndarray, Network]:
     """Bucket vectors from all documents, and the network."""
     vectors = word_vectors(docs)
-    texts, y = sample(docs, labels, "quality", rows, CHARS)
-    return vectors, fit(document_vectors(texts, vectors), y)
+    found, y = sample(docs, labels, "quality", rows, lambda texts: described(texts, vectors), "array<double>")
+    return vectors, fit(np.array(found.to_pylist(), dtype=np.float64).reshape(len(y), 4 * DIMS + 2), y)
 
 
 def scored(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:

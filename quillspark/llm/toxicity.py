@@ -20,8 +20,8 @@ from quillspark.llm.labelled import is_held_out, sample, sigmoid
 from quillspark.llm.license_scan import words_of
 from quillspark.llm.shared import column, slices, table, texts_of
 
-#: Labelled rows and characters of each that are learned from, at most.
-ROWS, CHARS = 12_000, 4000
+#: Labelled rows that are learned from, at most.
+ROWS = 12_000
 #: Features with weights, at most, the rows that must hold one, and the chi-square that it must reach.
 FEATURES, LEAST_ROWS, LEAST_CHI = 4000, 4, 14.0
 #: Bytes of a word's beginning; how often and in what share of a text's words it must stand.
@@ -76,8 +76,11 @@ def _sparse(sets: list[set[bytes]], index: dict[bytes, int]) -> tuple[np.ndarray
 
 
 def fit(texts: list[str], y: np.ndarray, steps: int = 300, penalty: float = PENALTY) -> Model:
+    return fit_features([features(t) for t in texts], y, steps, penalty)
+
+
+def fit_features(sets: list[set[bytes]], y: np.ndarray, steps: int = 300, penalty: float = PENALTY) -> Model:
     """Full-batch Adam on the log loss, the counterfactual penalty and a weight decay; no randomness."""
-    sets = [features(t) for t in texts]
     if not len(y) or y.min() == y.max():
         p = (y.sum() + 0.5) / (len(y) + 10)
         return Model({}, float(np.log(p / (1 - p))))
@@ -128,7 +131,9 @@ def scored(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
     every score is the same and low. Rows that repeat a doc_id are scored each; an empty table gives
     no rows; extra columns are ignored.
     """
-    model = fit(*sample(docs, labels, "toxic", rows, CHARS))
+    found, y = sample(docs, labels, "toxic", rows, lambda texts: [list(features(t)) for t in texts], "array<binary>")
+    one: dict[bytes, bytes] = {}  # each word is held once
+    model = fit_features([{one.setdefault(w, w) for w in row.as_py()} for row in found], y)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -194,6 +194,25 @@ def test_quality_on_held_out_rows(spark):
     assert kept == {x.doc_id for x in found if x.predicted}
 
 
+def test_classifiers_learn_from_the_ends_of_long_texts(spark):
+    """What tells the labels stands after 12,000 characters of every text."""
+    r = random.Random(8)
+    plain = ["river", "stone", "moon", "cloud", "tree", "grass", "wind", "the", "of", "and"]
+    rows, labels = [], []
+    for i in range(240):
+        start = " ".join(r.choice(plain) for _ in range(2700))
+        end = [r.choice(plain) for _ in range(600)]
+        toxic, junk = i % 4 == 0, i % 3 == 0
+        words = [*end, "idiot", "scum"] if toxic else end
+        assert len(start) > 12_000
+        rows.append((i, start + " " + " ".join(x.upper() + "!!" for x in words) if junk else start + " " + " ".join(words)))
+        labels.append((i, int(not junk), int(toxic)))
+    d, labels = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    for f, want in ((toxicity.scored, lambda i: int(i % 4 == 0)), (quality.scored, lambda i: int(i % 3 != 0))):
+        own = [x for x in f(d, labels).collect() if x.held_out]
+        assert len(own) > 30 and sum(x.predicted == want(x.doc_id) for x in own) / len(own) > 0.95
+
+
 def test_classifiers_of_odd_tables(spark, docs, no_docs, odd):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     some = spark.createDataFrame([(10, None, 1), (None, 1, 1), (11, 1, 0), (11, 0, 0), (12, 0, 1), (13, 1, 0)], "doc_id long, quality int, toxic int")
