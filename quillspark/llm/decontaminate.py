@@ -9,6 +9,7 @@ The benchmark side is fetched in blocks of a fixed number of words; each block m
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -99,8 +100,11 @@ class Index:
 SPANS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.int64())), ("spans", pa.list_(pa.list_(pa.int64())))])
 
 
-def scan(docs: DataFrame, items: list[tuple[int, str]], window: int, gram: int) -> DataFrame:
-    """Each document against a block of items: n_words, n_hit, items, and spans [item_id, first word, end word]."""
+def scan(docs: DataFrame, items: list[tuple[int, str]], window: int, gram: int, keyed: bool = False) -> DataFrame:
+    """Each document against a block of items: n_words, n_hit, items, and spans [item_id, first word, end word];
+    when keyed, digest (of the text) too."""
+    more = ["digest"] if keyed else []
+    schema = pa.schema([*SPANS, *(pa.field(c, pa.string()) for c in more)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(items, window, gram)
@@ -116,9 +120,12 @@ def scan(docs: DataFrame, items: list[tuple[int, str]], window: int, gram: int)
                         inside[a] += 1
                         inside[b] -= 1
                     rows.append((doc, len(own), int((np.cumsum(inside)[:-1] > 0).sum()) if hits else 0, sorted({index.ids[k] for k, _, _ in hits}), [[index.ids[k], a, b] for k, a, b in hits]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), SPANS, strict=True)], schema=SPANS)
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), SPANS, strict=True)] + [column(batch, c).cast(pa.string()) for c in more], schema=schema)
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, n_words long, n_hit long, items array<long>, spans array<array<long>>")
+    texts = texts_of(docs)
+    if keyed:
+        texts = texts.withColumn("digest", F.sha2("text", 256))
+    return texts.mapInArrow(run, "doc_id long, n_words long, n_hit long, items array<long>, spans array<array<long>>" + "".join(f", {c} string" for c in more))
 
 
 def blocks(bench: DataFrame, most: int) -> Iterator[list[tuple[int, str]]]:
@@ -141,16 +148,19 @@ def overlaps(docs: DataFrame, bench: DataFrame, window: int = WINDOW, gram: int
 
     A span of `window` words of an item, or a whole shorter item, counts wherever it stands. Null and
     wordless texts have no words and no hits; items without words or id never match; an empty
-    benchmark gives rows without hits; a row that repeats a doc_id gets a row of its own unless the
-    benchmark needs several blocks, which join by doc_id and text position; extra columns are ignored.
+    benchmark gives rows without hits; a row that repeats a doc_id gets a row of its own. Several blocks
+    are joined by doc_id and digest of the text, and rows equal in both come out as often as they stand in
+    docs; extra columns are ignored.
     """
-    parts = [scan(docs, block, window, gram) for block in blocks(bench, block_words)]
-    if len(parts) == 1:
-        return parts[0]
+    held = blocks(bench, block_words)
+    first, second = next(held), next(held, None)
+    if second is None:
+        return scan(docs, first, window, gram)
+    parts = [scan(docs, block, window, gram, keyed=True) for block in chain((first, second), held)]
     every = parts[0]
     for part in parts[1:]:
         every = every.union(part)
-    merged = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
+    merged = every.groupBy("doc_id", "digest").agg(F.max("n_words").alias("n_words"), F.count("*").alias("rows"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
     sorted_spans = F.array_sort(F.transform("spans", lambda s: F.struct(s[1].alias("a"), s[2].alias("b"))))
     covered = F.aggregate(
         sorted_spans,
@@ -158,7 +168,8 @@ def overlaps(docs: DataFrame, bench: DataFrame, window: int = WINDOW, gram: int
         lambda acc, s: F.struct((acc["n"] + F.greatest(F.lit(0), s["b"] - F.greatest(s["a"], acc["end"]))).alias("n"), F.greatest(acc["end"], s["b"]).alias("end")),
         lambda acc: acc["n"],
     )
-    return merged.select("doc_id", "n_words", covered.alias("n_hit"), "items", "spans")
+    merged = merged.select("doc_id", "n_words", covered.alias("n_hit"), "items", "spans", (F.col("rows") / len(parts)).cast("int").alias("rows"))
+    return merged.withColumn("row", F.explode(F.sequence(F.lit(1), "rows"))).drop("row", "rows")
 
 
 def verdicts(docs: DataFrame, bench: DataFrame) -> DataFrame:

@@ -147,6 +147,16 @@ def test_overlaps(spark, odd):
         assert got == want
 
 
+def test_overlaps_of_repeated_ids_in_several_blocks(spark):
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(12))) for k in range(6)]
+    rows = [(1, items[0][1] + " tail"), (1, "x " + items[5][1]), (1, "x " + items[5][1]), (None, items[2][1]), (None, "nothing of it"), (2, "")]
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(repr((i, *brute_hits(t, items, 8))) for i, t in rows)
+    for words_at_once in (10**6, 30):
+        found = decontaminate.overlaps(d, b, block_words=words_at_once).collect()
+        assert sorted(repr((x.doc_id, x.n_words, x.n_hit, x["items"])) for x in found) == want
+
+
 def test_overlaps_of_odd_tables(spark, docs, no_docs, odd):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.verdicts(docs, none).where("not contaminated and n_items = 0").count() == len(odd) + 1
