@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import importlib
+from quillspark.llm import decontaminate, exact_dedup, license_scan, line_dedup, lm_score, near_dedup, packing, quality, token_files, toxicity
 
-MODULES = ("exact_dedup", "license_scan", "line_dedup", "decontaminate", "token_files", "packing", "near_dedup", "lm_score", "toxicity", "quality")
+MODULES = (exact_dedup, license_scan, line_dedup, decontaminate, token_files, packing, near_dedup, lm_score, toxicity, quality)
 
 
 def queries() -> dict:
-    return {k: f for m in MODULES for k, f in importlib.import_module(f"quillspark.llm.{m}").QUERIES.items()}
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for m in MODULES for k, s in importlib.import_module(f"quillspark.llm.{m}").ORACLE_SQL.items()}
+    return {k: s for m in MODULES for k, s in m.ORACLE_SQL.items()}

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -72,7 +73,14 @@ def without(docs: DataFrame, dropped: DataFrame, name: str, most: int = 500_000)
     return docs.join(F.broadcast(ids) if ids.count() <= most else ids, docs["doc_id"] == ids["doc_id"], "left_anti")
 
 
+#: Bytes of a batch that goes to a worker, at most (but for a longer row): long texts then don't fill memory by the thousand.
+BATCH_BYTES = 4 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table; Arrow batches of the session are bounded by BATCH_BYTES unless it has a bound of its own."""
+    if "spark.sql.execution.arrow.maxBytesPerBatch" not in dict(spark.sparkContext.getConf().getAll()):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -81,6 +89,38 @@ def texts_of(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
+def released() -> None:
+    """Give back to the system what a worker has freed, so that it doesn't grow from task to task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, after: Callable[[], None] | None = None) -> DataFrame:
+    """mapInArrow; at the end of each task `after` is called and freed memory goes back."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        if after:
+            after()
+        released()
+
+    return df.mapInArrow(task, schema)
+
+
+def most_frequent(words: DataFrame, n: str, most: int) -> DataFrame:
+    """The words from some count on, as many as `most` allows: a histogram of counts finds that count, no row is sorted."""
+    level = F.floor(F.log2(F.col(n)) * 16)
+    cut, held = 1 << 30, 0
+    for level_of, rows in sorted(words.groupBy(level.alias("level")).agg(F.count("*").alias("rows")).collect(), reverse=True):
+        if held + rows > most:
+            break
+        cut, held = level_of, held + rows
+    return words.where(level >= cut)
+
+
 # ---------------------------------------------------------------- word hashing
 
 MASK = (1 << 64) - 1
@@ -198,31 +238,50 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-# ---------------------------------------------------------------- components
+# ---------------------------------------------------------------- joins and components
+
+#: A key with more than this share of all rows, and more than LEAST_HOT, is hot: fewer than HOT_KEYS keys can be.
+HOT_KEYS, LEAST_HOT = 1024, 200
+
+
+def keyed_join(rows: DataFrame, stats: DataFrame, key: str, n: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with stats, which holds a row for each key and in `n` how many of the `total` rows have it.
+
+    Hot keys, of which there are fewer than HOT_KEYS, are broadcast, so their rows stay where they are; the others are
+    joined by shuffling. A null key matches nothing.
+    """
+    least = max(total // HOT_KEYS, LEAST_HOT)
+    hot = F.broadcast(stats.where(F.col(n) > least))
+    common = rows.join(hot, key)
+    rest = rows.join(F.broadcast(stats.where(F.col(n) > least).select(key)), key, "left_anti").join(stats.where(F.col(n) <= least), key, how)
+    return common.unionByName(rest)
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """id and the smallest id reachable from it, for every id in edges(a, b).
 
     Alternating large-star and small-star steps over a distributed edge table, with a checkpoint a
-    round; a hub's neighbours are rows of aggregates that combine before the shuffle. Ends when
-    a round changes nothing; raises if that never happens.
+    round; a hub's neighbours are rows of aggregates that combine before the shuffle, and its edges meet the
+    aggregate by keyed_join. Ends when a round changes nothing; raises if that never happens.
     """
-    e = edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u < v").distinct()
-    e = checkpointed(e)
+    e = checkpointed(edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u < v").distinct())
     mark = None
+    n = e.count()
     for _ in range(rounds):
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n").persist()
         # large star: neighbours above go to the least neighbour
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct()
+        large = keyed_join(both.where("v > u"), least, "u", "n", 2 * n).select(F.col("v").alias("a"), F.col("m").alias("b"))
+        large = large.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct().persist()
         # small star: neighbours below, and the node itself, go to the least below
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
-        joined = large.join(low, "v")
+        low = large.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n")).persist()
+        joined = keyed_join(large, low, "v", "n", n)
         small = joined.select(F.col("u").alias("a"), F.col("m").alias("b")).union(low.select(F.col("v").alias("a"), F.col("m").alias("b")))
         e = checkpointed(small.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+        for kept in (least, large, low):
+            kept.unpersist()
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("v")).first()
+        n = now[0]
         if now == mark and now[0] == now[2]:
             break
         mark = now
