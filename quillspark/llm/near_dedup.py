@@ -1,17 +1,22 @@
 """MinHash near-dedup with an LSH forest.
 
-1. One pass over the texts gives each document its set's size and digest and a signature of
-   TREES x DEPTH minimum hashes. Documents with the same set form a class; one stands for it.
-2. Each tree orders the signatures by one run of DEPTH hashes. Documents that share the first `shallow`
-   hashes of a tree form a region; where a region is dense, it is cut again at the full depth. Inside a
-   region those that share prefixes are compared by estimated similarity; what survives is joined to
-   candidate clusters by a spanning set of links, never by all pairs.
-3. Clusters get their full shingle sets once, in blocks of bounded size; each pair of blocks confirms
-   links on the full sets and passes on only the links that its blocks need to hang together.
-4. Components of the confirmed links, then of all members of their classes.
-
-At similarity 0.85 a pair shares no region of depth 4 in any of 32 trees with probability 6e-11 (0.80:
-5e-8); in regions cut at depth 8, 4e-5 for a pair without other neighbours.
+1. One pass over the texts gives each document its set's size, a class (documents with the same set) and, for
+   each of TREES trees, a hash of the first SHALLOW values of its label: a run of DEPTH minimum hashes.
+2. Classes that share such a beginning with another one are read again for their labels, signatures and
+   full sets. Each tree orders them by label. In the sorted order a region is a stretch of labels that begin with
+   the same SHALLOW values, and its members are compared by the agreement of their signatures. A task walks its
+   stretch of the order and holds HELD rows of a region: when there are more, rows that agree with a
+   neighbour nearly everywhere leave it behind as their leader, and only if too many leaders are left does the
+   walk go deeper: those stay that share a longer prefix with where the walk stands. Regions at the ends of a
+   stretch hand their leaders on, and these are ordered and walked again, until one task holds them all.
+3. Links found form clusters. Every class is confirmed on its full set against the neighbour before it that agrees
+   best. Where that doesn't hold a cluster together, the classes outside its largest part are compared with
+   all others of the cluster, in blocks of bounded size.
+4. Components of the confirmed links, and the smallest doc_id of each.
+
+At similarity 0.85 a pair shares no region in any of 32 trees with probability 6e-11 (0.80: 5e-8). Only where more
+than HELD / 2 leaders of one region differ does the walk go below that depth, and there, at full depth, a pair without
+other neighbours is missed with probability 4e-5 (0.80: 2.8e-3).
 """
 
 from __future__ import annotations
@@ -24,17 +29,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import BY_SPACE, checkpointed, column, components, grams, hash_words, mix, slices, table, text_buffer, texts_of, written
+from quillspark.llm.shared import BY_SPACE, checkpointed, column, components, grams, hash_words, in_batches, keyed_join, mix, slices, table, text_buffer, texts_of, written
 
 TREES, DEPTH, SHALLOW = 32, 8, 4
-#: Regions with more members are cut at the full depth.
-DENSE = 4096
-#: Rows of a block; a task holds two.
+#: Rows of a region that a walk holds before it keeps leaders alone.
+HELD = 512
+#: Rows of one side in a task that confirms.
 BLOCK = 512
-#: Broadcast of the ids that need full sets, at most; beyond it they are joined by shuffling.
-BROADCAST_IDS = 500_000
+#: Rows of an order that one task walks when leaders are handed on.
+STRETCH = 65_536
+#: Share of places in which a row agrees with its leader, and how far it can be from it but for five deviations.
+COVERED, RADIUS = 0.95, 0.12
+#: Broadcast of the rows whose texts are read again, at most; beyond it they are joined by shuffling.
+BROADCAST_ROWS = 500_000
 
 _SEEDS = np.random.default_rng(7).integers(1, 1 << 32, (TREES * DEPTH, 2), dtype=np.uint32) | np.uint32(1)
+_LABEL = DEPTH * 4
 
 
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -61,129 +71,292 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _tree_keys(sig: np.ndarray, depth: int) -> np.ndarray:
-    """For each row and tree, a hash of the tree's first `depth` values."""
+def class_of(s: np.ndarray) -> int:
+    """The id of all documents with this set."""
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def _beginnings(sig: np.ndarray) -> np.ndarray:
+    """For each row and tree, a hash of the label's first SHALLOW values and the tree."""
     s = sig.reshape(len(sig), TREES, DEPTH).astype(np.uint64)
-    h = np.arange(TREES, dtype=np.uint64)[None, :].repeat(len(sig), 0) + np.uint64(depth * 1000)
-    for i in range(depth):
+    h = np.arange(TREES, dtype=np.uint64)[None, :].repeat(len(sig), 0) + np.uint64(SHALLOW * 1000)
+    for i in range(SHALLOW):
         h = mix(h * np.uint64(0x9E3779B97F4A7C15) + s[:, :, i])
     return h.view(np.int64)
 
 
 def described(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, digest (null: empty), sig (a byte a hash), near and far (tree keys at both depths)."""
+    """doc_id, text_hash, n_shingles, class (null: empty set), near (the beginning of its label in each tree)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
                 sets = shingle_sets(column(batch, "text"), k)
                 full = [i for i, s in enumerate(sets) if len(s)]
-                digest, sig, near, far = ([None] * len(sets) for _ in range(4))
+                own, near = [None] * len(sets), [None] * len(sets)
                 if full:
-                    rows = signatures([sets[i] for i in full])
-                    small = mix(rows.astype(np.uint64)).astype(np.uint8)
-                    shallow, deep = _tree_keys(rows, SHALLOW), _tree_keys(rows, DEPTH)
+                    found = _beginnings(signatures([sets[i] for i in full]))
                     for j, i in enumerate(full):
-                        digest[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
-                        sig[i], near[i], far[i] = small[j].tobytes(), shallow[j], deep[j]
-                yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), pa.array(near, pa.list_(pa.int64())), pa.array(far, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "sig", "near", "far"])
+                        own[i], near[i] = class_of(sets[i]), found[j]
+                yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array(own, pa.int64()), pa.array(near, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "n_shingles", "class", "near"])
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig binary, near array<long>, far array<long>")
+    return in_batches(texts_of(docs).withColumn("text_hash", F.xxhash64("text")), run, "doc_id long, text_hash long, n_shingles long, class long, near array<long>")
 
 
-def _joined(n: int, pairs: Iterator[tuple[int, int]]) -> list[int]:
-    parent = list(range(n))
-    for a, b in pairs:
-        a, b = _root(parent, a), _root(parent, b)
-        parent[max(a, b)] = min(a, b)
-    return parent
+def members_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """class, labels (of all trees), sig (a byte a hash), shingles (sorted, 8 bytes each) of the classes in
+    wanted(class, doc_id, text_hash), each from the row that stands for it."""
+    text = texts_of(docs).withColumn("text_hash", F.xxhash64("text"))
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    chosen = text.join(few.withColumnsRenamed({"doc_id": "d", "text_hash": "h"}), (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("d")))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole):
+                sets = shingle_sets(column(batch, "text"), k)
+                right = [i for i, (s, c) in enumerate(zip(sets, column(batch, "class").to_pylist(), strict=True)) if len(s) and class_of(s) == c]
+                if right:
+                    sets = [sets[i] for i in right]
+                    rows = signatures(sets)
+                    small = mix(rows.astype(np.uint64)).astype(np.uint8)
+                    labels = rows.astype(">u4")
+                    yield pa.RecordBatch.from_arrays([column(batch, "class").take(pa.array(right)), *(pa.array([x.tobytes() for x in c], pa.binary()) for c in (labels, small, sets))], names=["class", "labels", "sig", "shingles"])
+
+    found = in_batches(chosen.select("class", "text"), run, "class long, labels binary, sig binary, shingles binary")
+    return found.dropDuplicates(["class"])
+
+
+# ---------------------------------------------------------------- the walk along the sorted orders
+
+
+def _thresholds(percent: int) -> np.ndarray:
+    """Agreeing places, but for five standard deviations, of a pair at the threshold when none, one or both are leaders."""
+    n = TREES * DEPTH
+    p = np.maximum(percent / 100 - RADIUS * np.arange(3), 0.01)
+    return (n * p - 5 * (n * p * (1 - p)) ** 0.5).astype(np.int64)
+
+
+class Region:
+    """What a walk holds of one region, in the order of labels."""
+
+    def __init__(self, begins: int, whole: bool) -> None:
+        self.begins, self.whole = begins, whole
+        self.ids = np.zeros(0, dtype=np.int64)
+        self.sig, self.labels = np.zeros((0, TREES * DEPTH), dtype=np.uint8), np.zeros((0, DEPTH), dtype=">u4")
+        self.leads = np.zeros(0, dtype=bool)
+        self.joined = 0  # rows whose links are known
+        self.part = np.zeros(0, dtype=np.int64)
+
+    def add(self, ids: np.ndarray, sig: np.ndarray, labels: np.ndarray, leads: np.ndarray) -> None:
+        self.ids, self.leads = np.concatenate([self.ids, ids]), np.concatenate([self.leads, leads])
+        self.sig, self.labels = np.concatenate([self.sig, sig]), np.concatenate([self.labels, labels])
+
+    def links(self, least: np.ndarray) -> list[tuple[int, int, int]]:
+        """(id, id, agreement): for each new row its best neighbour in each part that it is alike to."""
+        out = []
+        n, part = len(self.ids), np.arange(len(self.ids)) + len(self.ids)
+        part[: self.joined] = self.part
+        for j in range(max(self.joined, 1), n):
+            agree = np.count_nonzero(self.sig[:j] == self.sig[j], axis=1)
+            found = np.flatnonzero(agree >= least[self.leads[:j].astype(np.int64) + int(self.leads[j])])
+            while len(found):
+                best = int(found[len(found) - 1 - np.argmax(agree[found][::-1])])  # of equals the nearest
+                out.append((int(self.ids[best]), int(self.ids[j]), int(agree[best])))
+                old = part[best]
+                part[:j][part[:j] == old] = part[j]
+                found = found[part[found] != part[j]]
+        self.part, self.joined = part, n
+        return out
+
+    def lead(self, most: int) -> None:
+        """Keep leaders alone, and of more than `most` those that share the longest prefixes with the last row."""
+        covered, leaders = np.zeros(len(self.ids), dtype=bool), []
+        least = int(COVERED * TREES * DEPTH)
+        for j in range(len(self.ids)):
+            if not covered[j]:
+                leaders.append(j)
+                alike = np.count_nonzero(self.sig[j:] == self.sig[j], axis=1) >= least
+                self.leads[j] |= bool(np.any(alike[1:] & ~covered[j + 1 :]))
+                covered[j:] |= alike
+        keep = np.array(leaders, dtype=np.int64)
+        shared = np.cumprod(self.labels[keep] == self.labels[-1], axis=1).sum(axis=1) if len(keep) else keep
+        depth = SHALLOW
+        while np.count_nonzero(shared >= depth) > most and depth < DEPTH:
+            depth += 1
+        keep = keep[shared >= depth][-most:]
+        self.ids, self.sig, self.labels, self.leads, self.part = self.ids[keep], self.sig[keep], self.labels[keep], self.leads[keep], self.part[keep]
+        self.joined = len(keep)
+
+
+_WALKED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("agree", pa.int32()), ("near", pa.int64()), ("label", pa.binary()), ("class", pa.int64()), ("sig", pa.binary()), ("leads", pa.bool_())])
+
+
+def walked(ordered: DataFrame, percent: int, last: bool) -> DataFrame:
+    """Links (a, b, agree) of a sorted order's stretches, and rows (near, label, class, sig, leads) of regions that
+    may go on in a neighbouring stretch; `last`: one stretch holds all."""
+    least, held = _thresholds(percent), HELD
 
-def _root(parent: list[int], x: int) -> int:
-    while parent[x] != x:
-        parent[x] = parent[parent[x]]
-        x = parent[x]
-    return x
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        region: Region | None = None
+        links: list[tuple[int, int, int]] = []
+        handed: list[Region] = []
+
+        def out() -> pa.RecordBatch:
+            a, b, agree = zip(*links, strict=True) if links else ((), (), ())
+            n, m = len(links), sum(len(r.ids) for r in handed)
+            none = [None] * n
+            rows = [
+                [*a, *[None] * m], [*b, *[None] * m], [*agree, *[None] * m], none + [r.begins for r in handed for _ in r.ids], none + [x.tobytes() for r in handed for x in r.labels],
+                none + [int(x) for r in handed for x in r.ids], none + [x.tobytes() for r in handed for x in r.sig], none + [bool(x) for r in handed for x in r.leads],
+            ]
+            links.clear()
+            handed.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _WALKED, strict=True)], schema=_WALKED)
+
+        def close(r: Region) -> None:
+            links.extend(r.links(least))
+            if not r.whole:
+                r.lead(held // 2)
+                handed.append(r)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            near = column(batch, "near").to_numpy()
+            ids, leads = column(batch, "class").to_numpy(), column(batch, "leads").to_numpy(zero_copy_only=False)
+            sig = np.frombuffer(b"".join(column(batch, "sig").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
+            labels = np.frombuffer(b"".join(column(batch, "label").to_pylist()), dtype=">u4").reshape(len(ids), -1)
+            cuts = np.concatenate(([0], np.flatnonzero(near[1:] != near[:-1]) + 1, [len(near)]))
+            for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if region is None or region.begins != near[s]:
+                    if region is not None:
+                        close(region)
+                    region = Region(int(near[s]), last or region is not None)
+                for i in range(s, e, held):
+                    j = min(i + held, e)
+                    region.add(ids[i:j], sig[i:j], labels[i:j], leads[i:j])
+                    if len(region.ids) > held:
+                        links.extend(region.links(least))
+                        region.lead(held // 2)
+            yield out()
+        if region is not None:
+            region.whole = last
+            close(region)
+        yield out()
+
+    kinds = "a long, b long, agree int, near long, label binary, class long, sig binary, leads boolean"
+    return in_batches(ordered.select("near", "label", "class", "sig", "leads"), run, kinds)
+
+
+def candidate_links(rows: DataFrame, percent: int) -> DataFrame:
+    """a, b, agree (a < b) of rows(near, label, class, sig) that look alike in an order: spanning links of each region."""
+    spark = rows.sparkSession
+    rows = written(rows.withColumn("leads", F.lit(False)), "near-order")
+    parts, found = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // (8 * STRETCH)), 1), []
+    while True:
+        by = ["near", "label", "class"]
+        ordered = rows.coalesce(1).sortWithinPartitions(*by) if parts == 1 else rows.repartitionByRange(parts, *by).sortWithinPartitions(*by)
+        step = written(walked(ordered, percent, parts == 1), "near-walk")
+        found.append(step.where("a is not null").select("a", "b", "agree"))
+        if parts == 1:
+            break
+        rows = step.where("class is not null").select("near", "label", "class", "sig", "leads")
+        n = rows.count()
+        if not n:
+            break
+        # each stretch hands on HELD rows at most, so the number of stretches falls fast
+        parts = min(parts // 2, -(-n // STRETCH))
+        parts = max(parts, 1)
+    links = found[0]
+    for f in found[1:]:
+        links = links.union(f)
+    return links.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("agree").alias("agree"))
+
+
+# ---------------------------------------------------------------- confirmation on full sets
 
 
-def _alike(sig: np.ndarray, least: int, own: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """For each row, the later rows that agree in `least` places of the signature. Rows are in order of their
-    block; with two blocks only rows of different ones are compared, each block has a task of its own."""
-    cut = int(np.searchsorted(own, own[-1]))
-    for i in range(cut or len(sig)):
-        start = max(i + 1, cut)
-        if start < len(sig):
-            yield i, np.flatnonzero(np.count_nonzero(sig[start:] == sig[i], axis=1) >= least) + start
+def shared_count(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return int(np.count_nonzero(y[at] == x)) if len(y) else 0
 
 
-def _least_agreement(percent: int) -> int:
-    """Agreeing places that a pair at the threshold has but for five standard deviations."""
-    n, p = TREES * DEPTH, percent / 100
-    return int(n * p - 5 * (n * p * (1 - p)) ** 0.5)
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    n, m = len(x), len(y)
+    if 100 * min(n, m) < percent * max(n, m):
+        return False
+    both = shared_count(x, y)
+    return 100 * both >= percent * (n + m - both)
 
 
-def in_block_pairs(members: DataFrame, key: str) -> DataFrame:
-    """members (key, doc_id, size: rows with the key, ...) dealt to pairs of blocks: + a, b (block numbers,
-    a <= b), own (in which of them the row stands). A key of up to BLOCK rows is one pair (0, 0)."""
-    n = F.ceil(F.col("size") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("doc_id"), n).cast("int")
-    others = F.explode(F.sequence(F.lit(0), n - 1))
-    dealt = members.withColumn("own", block).select("*", others.alias("other"))
-    return dealt.withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other")}).drop("other", "size")
+def _sets(t: pa.Table) -> list[np.ndarray]:
+    return [np.frombuffer(x, dtype="<u8") for x in t.column("shingles").to_pylist()]
 
 
-def candidate_links(regions: DataFrame, least: int) -> DataFrame:
-    """Spanning links (a, b) of those that look alike inside each region's pairs of blocks."""
+def _pairs(pairs: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([y for _, y in pairs], pa.int64())})
 
-    def run(t: pa.Table) -> pa.Table:
-        own = t.column("own").to_numpy()
-        order = np.argsort(own, kind="stable")
-        ids = t.column("doc_id").to_numpy()[order]
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)[order]
-        parent = _joined(len(ids), ((i, int(j)) for i, found in _alike(sig, least, own[order]) for j in found))
-        links = [(int(ids[i]), int(ids[_root(parent, i)])) for i in range(len(ids)) if _root(parent, i) != i]
-        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
-    return in_block_pairs(regions, "region").groupBy("region", "a", "b").applyInArrow(run, "a long, b long").distinct()
+def best_links(links: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (a, b) of each class with the one that agrees best among those of smaller number. The classes
+    that share such a neighbour are dealt to tasks by BLOCK, and the neighbour goes to each."""
+    best = links.groupBy("b").agg(F.max_by("a", F.struct("agree", "a")).alias("a"))
+    many = best.groupBy("a").agg(F.count("*").alias("n"), F.ceil(F.count("*") / BLOCK).cast("int").alias("salts"))
+    best, many = checkpointed(best), checkpointed(many)
+    own = keyed_join(best, many, "a", "n", best.count())
+    own = own.select("a", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), F.col("b").alias("class"))
+    to = many.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("class"))
+    rows = own.union(to).join(members.select("class", "shingles"), "class")
 
+    def run(t: pa.Table) -> pa.Table:
+        a, ids, sets = t.column("a")[0].as_py(), t.column("class").to_pylist(), _sets(t)
+        first = sets[ids.index(a)] if a in ids else np.zeros(0, dtype="<u8")
+        return _pairs([(a, b) for b, s in zip(ids, sets, strict=True) if b != a and linked(first, s, percent)])
 
-def confirmed_links(clusters: DataFrame, least: int, percent: int) -> DataFrame:
-    """Spanning links (a, b) of pairs whose full sets reach the threshold, in each cluster's pairs of blocks."""
+    return rows.groupBy("a", "salt").applyInArrow(run, "a long, b long")
 
-    def run(t: pa.Table) -> pa.Table:
-        own = t.column("own").to_numpy()
-        order = np.argsort(own, kind="stable")
-        ids = t.column("doc_id").to_numpy()[order]
-        raw = t.column("sig").to_pylist()
-        sig = np.frombuffer(b"".join(raw[i] for i in order), dtype=np.uint8).reshape(len(ids), -1)
-        raw = t.column("shingles").to_pylist()
-        sets = [np.frombuffer(raw[i], dtype="<u8") for i in order]
-        parent = list(range(len(ids)))
-        links = []
-        for i, found in _alike(sig, least, own[order]):
-            for j in found.tolist():
-                n, m = len(sets[i]), len(sets[j])
-                if 100 * min(n, m) < percent * max(n, m):
-                    continue
-                x, y = _root(parent, i), _root(parent, j)
-                if x == y:
-                    continue
-                both = shared_count(sets[i], sets[j])
-                if 100 * both >= percent * (n + m - both):
-                    parent[max(x, y)] = min(x, y)
-                    links.append((int(ids[i]), int(ids[j])))
-        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
-
-    return in_block_pairs(clusters, "cluster").groupBy("cluster", "a", "b").applyInArrow(run, "a long, b long").distinct()
 
+def other_links(parted: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Confirmed spanning links (a, b) between the parts of clusters: parted(cluster, part, class).
 
-def shared_count(x: np.ndarray, y: np.ndarray) -> int:
-    """Size of the intersection of two sorted sets."""
-    if len(x) > len(y):
-        x, y = y, x
-    at = np.searchsorted(y, x)
-    at[at == len(y)] = 0
-    return int(np.count_nonzero(y[at] == x)) if len(y) else 0
+    The largest part of a cluster needs no links inside itself. With k classes outside it, a class of it goes to
+    k / BLOCK tasks, and one outside it to all blocks of the cluster.
+    """
+    sizes = parted.groupBy("cluster", "part").agg(F.count("*").alias("n"))
+    clusters = sizes.groupBy("cluster").agg(F.max_by("part", F.struct("n", "part")).alias("largest"), F.sum("n").alias("n"), F.max("n").alias("n_largest"), F.count("*").alias("parts")).where("parts > 1")
+    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+    clusters = checkpointed(clusters.select("cluster", "largest", "n", blocks(F.col("n_largest")).alias("ins"), blocks(F.col("n") - F.col("n_largest")).alias("outs")))
+    rows = keyed_join(parted, clusters, "cluster", "n", parted.count())
+    inside = F.col("part") == F.col("largest")
+    own = F.pmod(F.xxhash64("class"), F.when(inside, F.col("ins")).otherwise(F.col("outs"))).cast("int")
+    # blocks of the largest part have negative numbers
+    rows = rows.select("cluster", "part", "class", "ins", "outs", F.when(inside, -1 - own).otherwise(own).alias("own"))
+    others = F.when(F.col("own") < 0, F.sequence(F.lit(0), F.col("outs") - 1)).otherwise(F.sequence(-F.col("ins"), F.col("outs") - 1))
+    dealt = rows.select("cluster", "part", "class", "own", F.explode(others).alias("other"))
+    dealt = dealt.select("cluster", "part", "class", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).join(members.select("class", "sig", "shingles"), "class")
+    least = int(_thresholds(percent)[0])
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("own", "ascending"), ("class", "ascending")])
+        own, ids = t.column("own").to_numpy(), t.column("class").to_pylist()
+        part = np.unique(t.column("part").to_numpy(), return_inverse=True)[1]
+        sig, sets = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint8).reshape(len(ids), -1), _sets(t)
+        cut = int(np.searchsorted(own, own[-1]))  # two blocks: only rows of different ones are compared
+        out = []
+        for i in range(cut or len(ids)):
+            start = max(i + 1, cut)
+            alike = np.flatnonzero(np.count_nonzero(sig[start:] == sig[i], axis=1) >= least) + start
+            for j in alike.tolist():
+                if part[i] != part[j] and linked(sets[i], sets[j], percent):
+                    part[part == part[j]] = part[i]
+                    out.append((ids[i], ids[j]))
+        return _pairs(out)
+
+    return dealt.groupBy("cluster", "x", "y").applyInArrow(run, "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
@@ -192,45 +365,49 @@ def near_groups(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
     Documents are linked when 100 * |A & B| >= percent * |A | B| over their sets of k-word shingles;
     component_id is the smallest doc_id that links reach. Null, empty and wordless texts have empty
     sets and stand alone; a text of fewer than k words is one shingle; rows that repeat a doc_id
-    share its component; an empty table gives no rows; extra columns are ignored.
+    link all that any of them is linked with and share a component; a row without an id has the component of
+    what it is linked with, and is kept where that has no id at all; texts of any length are taken whole; an
+    empty table gives no rows; extra columns are ignored.
     """
-    spark = docs.sparkSession
-    least = _least_agreement(percent)
     base = written(described(docs, k), "near-described")
-    classes = base.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    keyed = base.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
-    keyed = written(keyed.select("doc_id", "n_shingles", "rep"), "near-classes")
-    reps = base.join(keyed.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").where("digest is not null").dropDuplicates(["doc_id"])
-
-    # regions: (tree, prefix) of at least two; dense ones go deeper
-    rows = reps.select("doc_id", F.explode(F.arrays_zip("near", "far")).alias("x")).select("doc_id", F.col("x.near").alias("near"), F.col("x.far").alias("far"))
-    sizes = rows.groupBy("near").agg(F.count("*").alias("size")).where("size > 1")
-    sized = checkpointed(rows.join(sizes, "near"))
-    flat = sized.where(F.col("size") <= DENSE).select(F.col("near").alias("region"), "doc_id", "size")
-    deep = sized.where(F.col("size") > DENSE).select(F.col("far").alias("region"), "doc_id")
-    deep = deep.join(deep.groupBy("region").agg(F.count("*").alias("size")).where("size > 1"), "region")
-    regions = flat.union(deep.select("region", "doc_id", "size")).join(reps.select("doc_id", "sig"), "doc_id")
-
-    clusters = checkpointed(components(candidate_links(regions, least)))
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
-    members = checkpointed(clusters.join(sizes, "component").select(F.col("id").alias("doc_id"), F.col("component").alias("cluster"), "size"))
-
-    # full sets of the members alone; their ids are sent out only while they are few
-    text = texts_of(docs)
-    narrow = F.broadcast(members) if members.count() <= BROADCAST_IDS else members
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole):
-                found = [s.tobytes() for s in shingle_sets(column(batch, "text"), k)]
-                yield pa.RecordBatch.from_arrays([column(batch, c) for c in ("doc_id", "cluster", "size")] + [pa.array(found, pa.binary())], names=["doc_id", "cluster", "size", "shingles"])
-
-    full = text.join(narrow, "doc_id").select("doc_id", "cluster", "size", "text").mapInArrow(sets, "doc_id long, cluster long, size long, shingles binary")
-    links = checkpointed(confirmed_links(full.join(reps.select("doc_id", "sig"), "doc_id"), least, percent))
-    found = components(links).select(F.col("id").alias("rep"), "component")
-    result = keyed.join(found, "rep", "left")
-    component = F.coalesce("component", "rep", "doc_id")
-    return result.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    n = base.count()
+    classes = base.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("near").alias("near"), F.count("*").alias("n"))
+    classes = written(classes, "near-classes")
+
+    # classes that share a beginning of a label with another one
+    starts = classes.select("class", F.posexplode("near").alias("tree", "near"))
+    sizes = checkpointed(starts.groupBy("near").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = checkpointed(keyed_join(starts, sizes, "near", "n", TREES * n).select("class", "tree", "near"))
+    wanted = checkpointed(classes.join(shared.select("class").distinct(), "class").select("class", "row.doc_id", "row.text_hash"))
+    members = written(members_of(docs, wanted, k), "near-members")
+    label = F.expr(f"substring(labels, tree * {_LABEL} + 1, {_LABEL})")
+    order = shared.join(members.select("class", "labels", "sig"), "class").select("near", label.alias("label"), "class", "sig")
+    links = checkpointed(candidate_links(order, percent))
+
+    first = checkpointed(best_links(links, members, percent))
+    parts = checkpointed(components(first))
+    clusters = components(links).select(F.col("id").alias("class"), F.col("component").alias("cluster"))
+    parted = clusters.join(parts.select(F.col("id").alias("class"), F.col("component").alias("part")), "class", "left")
+    parted = checkpointed(parted.select("class", "cluster", F.coalesce("part", "class").alias("part")))
+    more = checkpointed(other_links(parted, members, percent))
+
+    # rows that share an id tie their classes
+    repeated = base.where("doc_id is not null and class is not null").groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("z")).where("a <> z")
+    ties = base.join(repeated, "doc_id").where("class <> a").select("a", F.col("class").alias("b"))
+    more = checkpointed(more.union(ties))
+    if more.isEmpty():
+        found = parts
+    else:
+        # what was found already is a star for each part
+        found = checkpointed(components(parts.select(F.col("component").alias("a"), F.col("id").alias("b")).union(more)))
+
+    groups = classes.select("class", "n", "doc_id").join(found.select(F.col("id").alias("class"), "component"), "class", "left")
+    groups = checkpointed(groups.select("class", "n", "doc_id", F.coalesce("component", "class").alias("component")))
+    least = groups.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("classes"))
+    least = keyed_join(groups.select("class", "n", "component"), checkpointed(least), "component", "classes", n).select("class", "n", "component_id")
+    known = keyed_join(base.where("class is not null").select("doc_id", "n_shingles", "class"), checkpointed(least), "class", "n", n).select("doc_id", "n_shingles", "component_id")
+    alone = base.where("class is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return known.union(alone).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,11 @@
 """Exact dedup, near dedup and line dedup against brute force."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
+import pytest
+
 from quillspark.llm import exact_dedup, line_dedup, near_dedup
 
 
@@ -59,7 +62,7 @@ def brute_components(rows, k, percent):
 
 
 def test_near_groups(spark, odd):
-    rows = [(i, t) for i, t in odd if t != "repeated id, other text"]
+    rows = [*odd, (95, "repeated id, other text"), (10, "one"), (96, odd[7][1]), (96, odd[9][1])]
     found = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
     want = brute_components(rows, 3, 85)
     assert len(found) == len(rows)
@@ -68,26 +71,61 @@ def test_near_groups(spark, odd):
     assert len(set(want.values())) < len(want) - 8
 
 
-def test_near_with_blocks_and_dense_regions(spark, monkeypatch):
-    """Small blocks and a low limit of density give the same components."""
-    import random
-
-    r = random.Random(9)
-    base = [f"w{r.randint(0, 400)}" for _ in range(150)]
+def variants(seed, groups, each, most):
+    """Texts of some groups, each with up to `most` of its 150 words changed."""
+    r = random.Random(seed)
     rows = []
-    for i in range(60):
-        w = list(base)
-        for _ in range(r.randint(0, 6)):
-            w[r.randrange(len(w))] = f"z{r.randint(0, 999)}"
-        rows.append((i, " ".join(w)))
+    for g in range(groups):
+        base = [f"w{r.randint(0, 400)}" for _ in range(150)]
+        for _ in range(each):
+            w = list(base)
+            for _ in range(r.randint(0, most)):
+                w[r.randrange(len(w))] = f"z{r.randint(0, 999)}"
+            rows.append((len(rows), " ".join(w)))
+    r.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize(("held", "block", "stretch"), [(512, 512, 65_536), (512, 8, 65_536), (32, 16, 40), (8, 4, 30)])
+def test_near_with_small_bounds(spark, monkeypatch, held, block, stretch):
+    """Regions that don't fit into what a walk holds, stretches that cut them, and many blocks give the same components."""
+    rows = variants(9, 2, 60, 6) + [(1000 + i, t) for i, t in variants(10, 30, 3, 4)]
     want = brute_components(rows, 5, 80)
-    import quillspark.llm.near_dedup as M
-
-    monkeypatch.setattr(M, "BLOCK", 16)
-    found = M.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
+    monkeypatch.setattr(near_dedup, "HELD", held)
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "STRETCH", stretch)
+    found = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 5, 80).collect()
     assert {x.doc_id: x.component_id for x in found} == want
 
 
+def test_near_finds_what_links_chains(spark, monkeypatch):
+    """A chain whose ends are far apart hangs together by its links alone, however small the blocks."""
+    words = [f"v{i}" for i in range(400)]
+    rows = [(i, " ".join(words[4 * i : 4 * i + 200])) for i in range(40)]
+    want = brute_components(rows, 3, 85)
+    assert len(set(want.values())) == 1
+    for block in (512, 4):
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+        found = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert {x.doc_id: x.component_id for x in found} == want
+
+
+def test_near_recall_of_every_twentieth(spark):
+    """Of all links of the rows whose id 20 divides, found by brute force, none joins two components."""
+    rows = variants(3, 150, 4, 4)
+    found = {x.doc_id: x.component_id for x in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: shingles(t, 3) for i, t in rows}
+    links = [(i, j) for i in sets if i % 20 == 0 for j in sets if i != j and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    assert len(links) > 5 and all(found[i] == found[j] for i, j in links)
+
+
+def test_near_rows_without_id(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(None, text), (5, text), (None, "other words that nobody else has at all"), (None, None), (7, "")]
+    found = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((x.doc_id or -1, x.n_shingles, x.component_id or -1, x.kept) for x in found) == [(-1, 0, -1, True), (-1, 5, -1, True), (-1, 48, 5, False), (5, 48, 5, True), (7, 0, 7, True)]
+
+
 def test_near_odd_inputs(docs, no_docs, odd):
     assert near_dedup.near_groups(docs).count() == len(odd) + 1
     assert near_dedup.near_groups(no_docs).count() == 0
@@ -144,8 +182,6 @@ def brute_extended(rows, min_words, min_lines):
 
 def test_line_dedup_extends_matches(spark):
     """Lines that go on after the last whole window of a match, with any earlier document and not only the first."""
-    import random
-
     r = random.Random(6)
     line = lambda c, n: " ".join(f"{c}{k}" for k in range(n))
     long, mid, short = line("a", 60), line("b", 30), line("c", 10)
