@@ -10,10 +10,12 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import column, slices, texts_of
+from quillspark.llm.shared import column, in_batches, slices, texts_of
 
 #: Every FOLDS-th document by checksum is held out of learning.
 FOLDS = 5
+#: Bytes of text that are described at once.
+SLICE = 1 << 18
 
 
 def is_held_out():
@@ -22,8 +24,8 @@ def is_held_out():
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, describe: Callable[[list[str]], list], kind: str) -> tuple[pa.ChunkedArray, np.ndarray]:
-    """What `describe` makes of whole texts (a value of SQL type `kind` for each), and labels, of at most `rows`
-    labelled documents, those with the least checksums of their ids.
+    """What `describe` makes of whole texts (a value of SQL type `kind` for each), and labels, of the `rows`
+    labelled documents with the least checksums of their ids; of equal checksums the smaller id comes first.
 
     Texts are described on the executors and don't come to the driver. Rows with a null id, label or held-out
     id are never learned from; of labels that repeat an id the largest holds.
@@ -31,21 +33,21 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, describe:
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
     known = known.where(~is_held_out())
     order = F.xxhash64("doc_id")
-    # the cut is where about `rows` checksums lie below, so that no task ever sorts all labels
     n = known.count()
     if n > rows:
-        share = rows / n
-        known = known.where(order < F.lit(int(-(1 << 63) + share * (1 << 64)))).limit(rows)
+        # below this checksum lie more than `rows` but not many more, so that no task sorts all labels
+        share = min(1.0, (rows + 10 * rows**0.5 + 100) / n)
+        known = known.where(order <= F.lit(int(-(1 << 63) + share * ((1 << 64) - 1)))).orderBy(order, "doc_id").limit(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, most=SLICE):
                 found = describe(column(batch, "text").to_pylist())
                 yield pa.RecordBatch.from_arrays([column(batch, c) for c in ("doc_id", "y", "digest")] + [pa.array(found, types[kind])], names=["doc_id", "y", "digest", "found"])
 
-    types = {"array<binary>": pa.list_(pa.binary()), "array<double>": pa.list_(pa.float64())}
+    types = {"array<array<binary>>": pa.list_(pa.list_(pa.binary())), "array<double>": pa.list_(pa.float64())}
     texts = texts_of(docs).join(F.broadcast(known), "doc_id").select("doc_id", "y", F.sha2("text", 256).alias("digest"), "text")
-    chosen = texts.mapInArrow(run, f"doc_id long, y int, digest string, found {kind}").toArrow()
+    chosen = in_batches(texts, run, f"doc_id long, y int, digest string, found {kind}").toArrow()
     chosen = chosen.take(pa.compute.sort_indices(chosen, sort_keys=[("doc_id", "ascending"), ("digest", "ascending")]))
     return chosen.column("found"), chosen.column("y").to_numpy().astype(np.float64)
 

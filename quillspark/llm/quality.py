@@ -1,8 +1,9 @@
 """Quality by random-indexing word vectors and a two-layer network.
 
-Tokens are hashed into BUCKETS. Every bucket has a fixed sparse ternary index vector; the vector of a
-bucket is the sum of the index vectors of its neighbours in all documents. A document is the mean
-vector of its tokens beside the mean index vector of their shapes; a two-layer network scores it, and
+The most frequent words of all documents, at most VOCABULARY, are told apart as written; any other token
+is known by its shape. Each word and each shape has a sparse ternary index vector, drawn from its own hash;
+its word vector is the sum of the index vectors of its neighbours in all documents. A document is the
+mean word vector of its tokens beside the mean index vector of their shapes; a two-layer network scores it, and
 a temperature fitted on labelled rows that the network did not learn from calibrates the score.
 """
 
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,92 +19,146 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.labelled import is_held_out, sample, sigmoid
-from quillspark.llm.shared import column, slices, table, texts_of
+from quillspark.llm.labelled import SLICE, is_held_out, sample, sigmoid
+from quillspark.llm.shared import column, in_batches, mix, most_frequent, slices, table, texts_of, written
 
-BUCKETS, DIMS, NONZERO, REACH = 2048, 48, 6, 2
+#: Words with vectors of their own, at most: the size of the table that goes to every task.
+VOCABULARY = 16_384
+#: Shapes with vectors of their own; more fall together by checksum.
+SHAPES = 1024
+DIMS, NONZERO, REACH = 48, 6, 2
 #: Labelled rows that are learned from, at most.
 ROWS = 12_000
 HIDDEN = 32
-
-_rng = np.random.default_rng(5)
-INDEX = np.zeros((BUCKETS, DIMS), dtype=np.int32)
-for _row in INDEX:
-    _row[_rng.choice(DIMS, NONZERO, replace=False)] = _rng.choice([-1, 1], NONZERO)
+#: Distinct tokens that a task counts before it passes them on, and unknown ones that it remembers.
+HELD, REMEMBERED = 200_000, 50_000
 
 # What a token's shape is made of: letters by case, digits and each other byte; runs shortened.
 _SHAPE = bytes(0x41 if 65 <= b <= 90 else 0x61 if 97 <= b <= 122 or b >= 128 else 0x30 if 48 <= b <= 57 else b for b in range(256))
 _RUN = re.compile(rb"(.)\1+", re.DOTALL)
-#: Tokens a worker remembers before it starts anew; it forgets them at the end of each task.
-REMEMBERED = 200_000
+
+
+def shape_of(token: bytes) -> int:
+    return zlib.crc32(_RUN.sub(rb"\1\1", token.translate(_SHAPE))) % SHAPES
+
+
+def index_vectors(keys: np.ndarray) -> np.ndarray:
+    """A sparse ternary vector for each key, drawn from the key alone."""
+    out = np.zeros((len(keys), DIMS), dtype=np.float32)
+    h, rows = keys.astype(np.uint64), np.arange(len(keys))
+    for _ in range(NONZERO):
+        h = mix(h + np.uint64(0x9E3779B97F4A7C15))
+        np.add.at(out, (rows, (h >> np.uint64(8)) % np.uint64(DIMS)), np.where(h & np.uint64(1), 1, -1))
+    return out
 
 
 class Tokens(dict):
-    """token -> (bucket of the word, bucket of its shape); both from checksums, so alike in every process."""
+    """token -> its number: of a known word the word's, of others their shape's, after all words."""
+
+    def __init__(self, words: list[bytes]) -> None:
+        super().__init__(zip(words, range(len(words)), strict=True))
+        self.words, self.most = words, len(words) + REMEMBERED
+        self.shapes = np.array([*map(shape_of, words), *range(SHAPES)], dtype=np.int64)
+        keys = [*(zlib.crc32(w) | zlib.crc32(w[::-1] + b"w") << 32 for w in words), *range(SHAPES)]
+        #: Index vectors of words and shapes; the last row is for the gaps between texts.
+        self.index = np.concatenate([index_vectors(np.array(keys, dtype=np.uint64)), np.zeros((1, DIMS), dtype=np.float32)])
 
     def __missing__(self, token: bytes) -> int:
-        if len(self) > REMEMBERED:
-            self.clear()
-        word = zlib.crc32(token.lower()) % (BUCKETS // 2)
-        shape = BUCKETS // 2 + zlib.crc32(_RUN.sub(rb"\1\1", token.translate(_SHAPE))) % (BUCKETS // 2)
-        self[token] = value = word * BUCKETS + shape
+        if len(self) > self.most:
+            self.forget()
+        self[token] = value = len(self.words) + shape_of(token)
         return value
 
+    def forget(self) -> None:
+        self.clear()
+        self.update(zip(self.words, range(len(self.words)), strict=True))
 
-_known = Tokens()
+    def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the texts' tokens, with REACH gaps after each text, and where each text starts."""
+        gap = [len(self.index) - 1] * REACH
+        out: list[int] = []
+        starts = [0]
+        for text in texts:
+            out.extend(map(self.__getitem__, text.encode().split()))
+            out.extend(gap)
+            starts.append(len(out))
+        return np.array(out, dtype=np.int64), np.array(starts, dtype=np.int64)
 
 
-def buckets(text: str) -> tuple[np.ndarray, np.ndarray, int]:
-    """Word and shape buckets of the text's tokens, and how many tokens repeat their predecessor."""
-    tokens = text.encode().split()
-    both = np.fromiter(map(_known.__getitem__, tokens), dtype=np.int64, count=len(tokens))
-    repeats = int(np.count_nonzero(both[1:] == both[:-1]))
-    return both // BUCKETS, both % BUCKETS, repeats
+def vocabulary(docs: DataFrame, most: int = VOCABULARY) -> list[bytes]:
+    """The most frequent tokens of all documents, in order of their bytes."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
 
-def word_vectors(docs: DataFrame) -> np.ndarray:
-    """Vector of each bucket from its neighbours in all documents: the table's size is fixed by BUCKETS and DIMS."""
+        def out() -> pa.RecordBatch:
+            found = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+            counts.clear()
+            return found
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near = np.zeros((BUCKETS, BUCKETS), dtype=np.int32)
         for whole in batches:
             for batch in slices(whole):
-                pairs = []
                 for text in column(batch, "text").to_pylist():
-                    words, shapes, _ = buckets(text)
-                    for d in range(1, REACH + 1):
-                        pairs += [words[:-d] * BUCKETS + words[d:], shapes[:-d] * BUCKETS + shapes[d:]]
-                keys, n = np.unique(np.concatenate(pairs), return_counts=True)
-                near.reshape(-1)[keys] += n.astype(np.int32)
-        _known.clear()
-        sums = (near @ INDEX + near.T @ INDEX).astype(np.int64)
-        used = np.flatnonzero(near.any(1) | near.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(sums[used].tolist(), pa.list_(pa.int64()))], names=["bucket", "v"])
-
-    parts = texts_of(docs).select("text").mapInArrow(run, "bucket int, v array<long>")
-    summed = parts.groupBy("bucket").agg(*(F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(DIMS))).toPandas()
-    out = np.zeros((BUCKETS, DIMS))
-    out[summed["bucket"].to_numpy()] = summed[[f"v{i}" for i in range(DIMS)]].to_numpy()
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
-
-
-def document_vectors(texts: list[str], vectors: np.ndarray) -> np.ndarray:
-    """Mean vector and mean index vector of words and of shapes, and what the tokens' repetition and number say."""
-    out = np.zeros((len(texts), 4 * DIMS + 2))
-    for i, text in enumerate(texts):
-        words, shapes, repeats = buckets(text)
-        n = len(words)
-        if n:
-            cw, cs = np.bincount(words, minlength=BUCKETS), np.bincount(shapes, minlength=BUCKETS)
-            out[i] = [*(cw @ vectors / n), *(cs @ vectors / n), *(cw @ INDEX / n), *(cs @ INDEX / n), repeats / n, np.log1p(n) / 10]
-    return out
+                    counts.update(text.encode().split())
+                if len(counts) > HELD:
+                    yield out()
+        yield out()
 
+    counts = written(in_batches(texts_of(docs).select("text"), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "quality-words")
+    return sorted(most_frequent(counts, "n", most).select("word").toArrow().column("word").to_pylist())
 
-def described(texts: list[str], vectors: np.ndarray) -> list[list[float]]:
-    """document_vectors for `sample`; the tokens are forgotten again."""
-    out = document_vectors(texts, vectors).tolist()
-    _known.clear()
-    return out
+
+def word_vectors(docs: DataFrame, words: list[bytes]) -> np.ndarray:
+    """Unit vector of each word and shape from its neighbours in all documents; VOCABULARY and DIMS bound what comes back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Tokens(words)
+        sums = np.zeros(known.index.shape)
+        for whole in batches:
+            for batch in slices(whole, most=SLICE):
+                own, _ = known.numbers(column(batch, "text").to_pylist())
+                vectors = known.index[own]
+                near = np.zeros_like(vectors)
+                for d in range(1, REACH + 1):
+                    near[d:] += vectors[:-d]
+                    near[:-d] += vectors[d:]
+                order = np.argsort(own, kind="stable")
+                first = np.flatnonzero(np.diff(own[order], prepend=-1))
+                sums[own[order[first]]] += np.add.reduceat(near[order], first, axis=0)
+        sums[-1] = 0
+        used = np.flatnonzero(sums.any(1))
+        flat = pa.array(sums[used].astype(np.int32).reshape(-1))
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.arange(len(used) + 1, dtype=np.int32) * DIMS), flat)], names=["word", "v"])
+
+    parts = in_batches(texts_of(docs).select("text"), run, "word int, v array<int>")
+    summed = parts.groupBy("word").agg(*(F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(DIMS))).toArrow()
+    out = np.zeros((len(words) + SHAPES + 1, DIMS))
+    out[summed.column("word").to_numpy()] = np.stack([summed.column(f"v{i}").to_numpy() for i in range(DIMS)], axis=1)
+    return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+
+
+class Pooling:
+    """A document's vector: mean word vector, mean index vector of shapes, share of repeated tokens, their number."""
+
+    SIZE = 2 * DIMS + 2
+
+    def __init__(self, words: list[bytes], vectors: np.ndarray) -> None:
+        self.known = Tokens(words)
+        shapes = self.known.index[len(words) + np.append(self.known.shapes, SHAPES)]
+        self.both = np.concatenate([vectors, shapes], axis=1)
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        own, starts = self.known.numbers(texts)
+        n = np.diff(starts) - REACH
+        out = np.zeros((len(texts), self.SIZE))
+        if len(texts):
+            same = np.zeros(len(own))
+            same[1:] = (own[1:] == own[:-1]) & (own[1:] != len(self.known.index) - 1)
+            per = np.maximum(n, 1)[:, None]
+            out[:, : 2 * DIMS] = np.add.reduceat(self.both[own], starts[:-1], axis=0) / per
+            out[:, -2] = np.add.reduceat(same, starts[:-1]) / per[:, 0]
+            out[:, -1] = np.log1p(n) / 10
+        return out
 
 
 class Network:
@@ -159,45 +215,58 @@ def fit(x: np.ndarray, y: np.ndarray, epochs: int = 40) -> Network:
 
 #: A document with a lower score is rejected.
 LEAST = 0.3
+#: Name of a column that no table has.
+SCORED = "\0scored text"
 
 
-def fitted(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> tuple[np.ndarray, Network]:
-    """Bucket vectors from all documents, and the network."""
-    vectors = word_vectors(docs)
-    found, y = sample(docs, labels, "quality", rows, lambda texts: described(texts, vectors), "array<double>")
-    return vectors, fit(np.array(found.to_pylist(), dtype=np.float64).reshape(len(y), 4 * DIMS + 2), y)
+def fitted(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> tuple[list[bytes], np.ndarray, Network]:
+    """Words and their vectors from all documents, and the network."""
+    words = vocabulary(docs)
+    vectors = word_vectors(docs, words)
+    pooling: list[Pooling] = []
+
+    def describe(texts: list[str]) -> list[list[float]]:
+        if not pooling:
+            pooling.append(Pooling(words, vectors))
+        return pooling[0](texts).tolist()
+
+    found, y = sample(docs, labels, "quality", rows, describe, "array<double>")
+    return words, vectors, fit(np.array(found.to_pylist(), dtype=np.float64).reshape(len(y), Pooling.SIZE), y)
 
 
 def scored(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted (1 if score >= LEAST).
 
-    Null, empty and blank texts have the zero vector and its score. Without labels of both kinds every
-    score is the smoothed share of good labels. Rows that repeat a doc_id are scored each; an empty
-    table gives no rows; extra columns are ignored.
+    Null, empty and blank texts have the zero vector and its score; long texts are pooled whole. Without labels of both
+    kinds every score is the smoothed share of good labels. Rows that repeat a doc_id are scored each, a null
+    id counts as the empty text for held_out; of words as frequent as the last that VOCABULARY has room for all
+    or none are known; an empty table gives no rows; extra columns are ignored.
     """
-    vectors, net = fitted(docs, labels, rows)
+    words, vectors, net = fitted(docs, labels, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pooled = Pooling(words, vectors)
         for whole in batches:
-            for batch in slices(whole):
-                yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(net.score(document_vectors(column(batch, "text").to_pylist(), vectors)))], names=["doc_id", "score"])
-        _known.clear()
+            for batch in slices(whole, most=SLICE):
+                yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(net.score(pooled(column(batch, "text").to_pylist())))], names=["doc_id", "score"])
 
-    found = texts_of(docs).mapInArrow(run, "doc_id long, score double")
+    found = in_batches(texts_of(docs), run, "doc_id long, score double")
     return found.select("doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= LEAST).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
     """The rows of docs, all columns as they are, whose score reaches LEAST; scored as by `scored`."""
-    vectors, net = fitted(docs, labels, rows)
+    words, vectors, net = fitted(docs, labels, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = column(batch, "text").fill_null("").to_pylist()
-            yield batch.filter(pa.array(net.score(document_vectors(texts, vectors)) >= LEAST))
-        _known.clear()
+        pooled = Pooling(words, vectors)
+        for whole in batches:
+            own = list(range(whole.num_columns))
+            filled = whole.append_column(SCORED, column(whole, "text").fill_null(""))
+            for batch in slices(filled, SCORED, most=SLICE):
+                yield batch.filter(pa.array(net.score(pooled(column(batch, SCORED).to_pylist())) >= LEAST)).select(own)
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs, run, docs.schema)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
