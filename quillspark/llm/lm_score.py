@@ -1,10 +1,10 @@
 """Language-model scoring with a unigram subword lattice.
 
-The pieces are those of an existing vocabulary; their scores are fitted to the training documents by
-expectation maximisation over all segmentations of their distinct words. To the segmentations of
-a word that training texts hold belongs the word as one piece, with its count less DISCOUNT; what the
-discounts free weights all others. A text's probability is the product over its words of the sum over
-their segmentations (log-space forward recursion), and of the end symbol's.
+The pieces are those of an existing vocabulary; their scores, which are ranks, are made log probabilities by
+expectation maximisation over all segmentations of the training documents' distinct words. A text's
+probability is the product over its words of the sum over their segmentations (log-space forward recursion), and of
+the end symbol's. Beside it stands a second one, word_score, in which a word that training texts hold is also one
+piece, with its count less DISCOUNT, and what the discounts free weights the segmentations.
 
 Everything is counted over all documents. The most frequent words, at most HOT of them, are looked up
 in a broadcast table; all other words of a text are joined with the table of distinct words.
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.lattice import Lattice, vocabulary
-from quillspark.llm.shared import column, slices, table, texts_of, written
+from quillspark.llm.shared import column, in_batches, most_frequent, slices, table, texts_of, written
 
 #: Default vocabulary; a parameter of `scores`.
 VOCABULARY = "piece_bpe_32k.model"
@@ -72,7 +72,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     yield out()
         yield out()
 
-    parts = texts_of(docs).mapInArrow(run, "word binary, c long, total long")
+    parts = in_batches(texts_of(docs), run, "word binary, c long, total long")
     return parts.groupBy("word").agg(F.sum("c").alias("c"), F.sum("total").alias("total"))
 
 
@@ -89,31 +89,20 @@ def fitted(words: DataFrame, vocab: str, rounds: int) -> np.ndarray:
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["piece", "e"])
 
-        rows = words.where("word is not null and c > 0").select("word").mapInArrow(run, "piece int, e double").groupBy("piece").agg(F.sum("e").alias("e")).toArrow()
+        rows = in_batches(words.where("word is not null and c > 0").select("word"), run, "piece int, e double").groupBy("piece").agg(F.sum("e").alias("e")).toArrow()
         e = np.full(len(pieces), SMOOTHING)
         e[rows.column("piece").to_numpy()] += rows.column("e").to_numpy()
         log_p = np.log(e / e.sum())
     return log_p
 
 
-def hot_words(words: DataFrame, most: int) -> pa.Table:
-    """The words from some count on, as many as `most` allows: a histogram of counts finds the count, no row is sorted."""
-    level = F.floor(F.log2("total") * 16)
-    steps = sorted(words.where("word is not null").groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), reverse=True)
-    cut, held = 1 << 30, 0
-    for level_of, n in steps:
-        if held + n > most:
-            break
-        cut, held = level_of, held + n
-    return words.where((level >= cut) & F.col("word").isNotNull()).select("word", "c", "log_p").toArrow()
-
-
 def scores(docs: DataFrame, vocabulary_path: str | None = None, hot: int = HOT, rounds: int = ROUNDS) -> DataFrame:
-    """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
+    """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, word_score (log10).
 
     Tokens are white-space words, A-Z lower-cased, and an end. A null text is empty: the end alone;
     without training documents every word has the vocabulary's first weights and base_score is 0;
-    rows that repeat a doc_id are scored each; an empty table gives no rows; extra columns are ignored.
+    rows that repeat a doc_id are scored each, a null id counts as the empty text for held_out; texts and words of any
+    length are scored whole; an empty table gives no rows; extra columns are ignored.
     """
     spark = docs.sparkSession
     vocab = vocabulary_path or public_tokenizers.path(VOCABULARY)
@@ -128,21 +117,25 @@ def scores(docs: DataFrame, vocabulary_path: str | None = None, hot: int = HOT,
         lattice = Lattice(vocabulary(vocab)[0], log_p)
         for batch in batches:
             whole = np.maximum(column(batch, "c").to_numpy() - DISCOUNT, 1e-300) / max(n, 1)
-            summed = np.logaddexp(np.log(whole), lattice.log_prob(column(batch, "word").to_pylist()) + free) / np.log(10)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(summed)], names=[*batch.schema.names, "log_p"])
-
-    words = written(counts.where("word is not null").mapInArrow(weigh, "word binary, c long, total long, log_p double"), "lm-words")
-    common = hot_words(words, hot)  # at most `hot` rows
-    sent = spark.sparkContext.broadcast((common.column("word").to_pylist(), common.column("c").to_numpy(), common.column("log_p").to_numpy()))
-    end_base, end_score = float(np.log10(ends + 0.1)), float(np.log10(max(ends - DISCOUNT, SMOOTHING) / max(n, 1)))
+            pieces = lattice.log_prob(column(batch, "word").to_pylist())
+            both = np.logaddexp(np.log(whole), pieces + free) / np.log(10)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pieces / np.log(10) + no_end), pa.array(both)], names=[*batch.schema.names, "log_p", "word_p"])
+
+    # a step of the model is the end or a word
+    p_end = (ends + SMOOTHING) / (n + 2 * SMOOTHING)
+    end_base, end_score, no_end = float(np.log10(ends + 0.1)), float(np.log10(p_end)), float(np.log10(1 - p_end))
+    end_word = float(np.log10(max(ends - DISCOUNT, SMOOTHING) / max(n, 1)))
+    words = written(in_batches(counts.where("word is not null"), weigh, "word binary, c long, total long, log_p double, word_p double"), "lm-words")
+    common = most_frequent(words, "total", hot).select("word", "c", "log_p", "word_p").toArrow()  # at most `hot` rows
+    sent = spark.sparkContext.broadcast((common.column("word").to_pylist(), *(common.column(x).to_numpy() for x in ("c", "log_p", "word_p"))))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        names, c, lp = sent.value
+        names, c, *lp = sent.value
         known = {w: i for i, w in enumerate(names)}
         log_c = np.append(np.log10(c + 0.1), 0.0)  # the last entry is for words that are not in the table
-        lp, seen = np.append(lp, 0.0), np.append(c > 0, False)
+        (lp, wp), seen = (np.append(x, 0.0) for x in lp), np.append(c > 0, False)
         row = TaskContext.get().partitionId() << 40
         last = len(names)
         for whole in batches:
@@ -151,7 +144,7 @@ def scores(docs: DataFrame, vocabulary_path: str | None = None, hot: int = HOT,
                 for doc, text in zip(column(batch, "doc_id").to_pylist(), column(batch, "text").to_pylist(), strict=True):
                     own = words_of(text)
                     at = np.fromiter((known.get(w, last) for w in own), dtype=np.int64, count=len(own))
-                    summary.append((row, doc, len(own) + 1, int(seen[at].sum()) + (ends > 0), float(log_c[at].sum()) + end_base, float(lp[at].sum()) + end_score))
+                    summary.append((row, doc, len(own) + 1, int(seen[at].sum()) + (ends > 0), float(log_c[at].sum()) + end_base, float(lp[at].sum()) + end_score, float(wp[at].sum()) + end_word))
                     tail = Counter([own[i] for i in np.flatnonzero(at == last)])
                     rest[0].extend([row] * len(tail))
                     rest[1].extend(tail)
@@ -159,34 +152,30 @@ def scores(docs: DataFrame, vocabulary_path: str | None = None, hot: int = HOT,
                     row += 1
                 k, m = len(summary), len(rest[0])
                 s = list(zip(*summary, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([*s[0], *rest[0]], pa.int64()),
-                        pa.array([*s[1], *[None] * m], pa.int64()),
-                        pa.array([None] * k + rest[1], pa.binary()),
-                        pa.array([*s[2], *rest[2]], pa.int64()),
-                        pa.array([*s[3], *[0] * m], pa.int64()),
-                        pa.array([*s[4], *[0.0] * m], pa.float64()),
-                        pa.array([*s[5], *[0.0] * m], pa.float64()),
-                    ],
-                    names=["row", "doc_id", "word", "n", "known", "base", "score"],
-                )
-
-    looked = written(texts_of(docs).mapInArrow(look_up, "row long, doc_id long, word binary, n long, known long, base double, score double"), "lm-looked-up")
-    tail = looked.where("word is not null").select("row", "word", "n").join(words.select("word", "c", "log_p"), "word")
-    tail = tail.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known"), F.sum(F.col("n") * F.log10(F.col("c") + 0.1)).alias("base"), F.sum(F.col("n") * F.col("log_p")).alias("score"))
-    docs_rows = looked.where("word is null").select("row", "doc_id", F.col("n").alias("n_tokens"), "known", "base", "score")
-    both = docs_rows.join(tail.withColumnsRenamed({"known": "k2", "base": "b2", "score": "s2"}), "row", "left")
+                longs = ([*s[0], *rest[0]], [*s[1], *[None] * m], [*s[2], *rest[2]], [*s[3], *[0] * m])
+                floats = ([*s[i], *[0.0] * m] for i in (4, 5, 6))
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in longs), *(pa.array(x, pa.float64()) for x in floats), pa.array([None] * k + rest[1], pa.binary())], names=["row", "doc_id", "n", "known", "base", "score", "word_score", "word"])
+
+    looked = written(in_batches(texts_of(docs), look_up, "row long, doc_id long, n long, known long, base double, score double, word_score double, word binary"), "lm-looked-up")
+    tail = looked.where("word is not null").select("row", "word", "n").join(words.select("word", "c", "log_p", "word_p"), "word")
+    tail = tail.groupBy("row").agg(
+        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("k2"),
+        F.sum(F.col("n") * F.log10(F.col("c") + 0.1)).alias("b2"),
+        F.sum(F.col("n") * F.col("log_p")).alias("s2"),
+        F.sum(F.col("n") * F.col("word_p")).alias("w2"),
+    )
+    both = looked.where("word is null").drop("word").join(tail, "row", "left")
     zero = F.lit(0.0)
     out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)) == 0
     return both.select(
         "doc_id",
         out.alias("held_out"),
-        "n_tokens",
+        F.col("n").alias("n_tokens"),
         (F.col("known") + F.coalesce("k2", F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("b2", zero) - F.col("n_tokens") * F.lit(float(below))).alias("base_score"),
+        (F.col("base") + F.coalesce("b2", zero) - F.col("n") * F.lit(float(below))).alias("base_score"),
         (F.col("score") + F.coalesce("s2", zero)).alias("score"),
+        (F.col("word_score") + F.coalesce("w2", zero)).alias("word_score"),
     )
 
 
