@@ -40,12 +40,12 @@ def brute_license(text):
     found = sorted((i, label) for p, label in license_scan.PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split())
     labels, score = {x for _, x in found}, 1.0 if found else 0.0
     for name, t in license_scan.TEMPLATES.items():
-        s = {x.decode() for x in license_scan.words_of(t)}
-        for a, _ in license_scan.blocks_of(w, license_scan.BLOCK, license_scan.STEP):
-            c = len(s.intersection(w[a : a + license_scan.BLOCK])) / len(s)
-            if c >= license_scan.THRESHOLD:
-                labels.add(name)
-                score = max(score, c)
+        own = [x.decode() for x in license_scan.words_of(t)]
+        n = license_scan.block_length(len(own))
+        c = max((len(set(own).intersection(w[a : a + n])) for a in range(max(len(w) - n, 0) + 1)), default=0) / len(set(own))
+        if c >= license_scan.THRESHOLD:
+            labels.add(name)
+            score = max(score, c)
     return (len(w), len(found), found[0][0] if found else None, found[-1][0] if found else None, ",".join(sorted({x for _, x in found})), ",".join(sorted(labels)), round(score, 9))
 
 
@@ -55,6 +55,8 @@ def test_license_scan(spark, odd):
     for i, (name, t) in enumerate(license_scan.TEMPLATES.items()):
         filler = " ".join(f"f{r.randint(0, 99)}" for _ in range(90))
         rows += [(1000 + i, f"{filler} {t} {filler}"), (1100 + i, t.upper()), (1200 + i, " ".join(t.split()[:-3])), (1300 + i, f"{t}\n{t}")]
+        rows.append((1400 + i, " ".join(x for k, x in enumerate(t.split()) if k % 12 != 5)))
+    rows += [(1500, "the table was reserved for all of them and they had rights to it")]
     rows += [(2000, "MIT-License, apache   license; general/public/license MIT mit license")]
     found = license_scan.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     got = sorted((x.doc_id, x.n_words, x.n_base, x.first_word or -1, x.last_word or -1, x.base_labels, x.labels, round(x.score, 9)) for x in found)
@@ -62,6 +64,7 @@ def test_license_scan(spark, odd):
     assert [(*x[:3], *x[5:]) for x in got] == [(*x[:3], *x[5:]) for x in want]
     assert [x[3:5] for x in got] == [x[3:5] for x in want]
     labels = {x.doc_id: x.labels for x in found}
+    assert labels[1500] == ""
     assert all(name in labels[1000 + i].split(",") and name in labels[1100 + i].split(",") for i, name in enumerate(license_scan.TEMPLATES))
 
 
