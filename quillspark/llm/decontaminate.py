@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import BY_PUNCT, column, grams, hash_words, slices, table, text_buffer, texts_of
+from quillspark.llm.shared import BY_PUNCT, column, grams, hash_words, in_batches, slices, table, text_buffer, texts_of
 
 WINDOW = 8
 GRAM = 4
@@ -125,7 +125,7 @@ def scan(docs: DataFrame, items: list[tuple[int, str]], window: int, gram: int,
     texts = texts_of(docs)
     if keyed:
         texts = texts.withColumn("digest", F.sha2("text", 256))
-    return texts.mapInArrow(run, "doc_id long, n_words long, n_hit long, items array<long>, spans array<array<long>>" + "".join(f", {c} string" for c in more))
+    return in_batches(texts, run, "doc_id long, n_words long, n_hit long, items array<long>, spans array<array<long>>" + "".join(f", {c} string" for c in more))
 
 
 def blocks(bench: DataFrame, most: int) -> Iterator[list[tuple[int, str]]]:
@@ -147,7 +147,7 @@ def overlaps(docs: DataFrame, bench: DataFrame, window: int = WINDOW, gram: int
     """doc_id, n_words, n_hit, items (sorted ids), spans: what each document shares with the benchmark.
 
     A span of `window` words of an item, or a whole shorter item, counts wherever it stands. Null and
-    wordless texts have no words and no hits; items without words or id never match; an empty
+    wordless texts have no words and no hits; long texts are searched whole; items without words or id never match; an empty
     benchmark gives rows without hits; a row that repeats a doc_id gets a row of its own. Several blocks
     are joined by doc_id and digest of the text, and rows equal in both come out as often as they stand in
     docs; extra columns are ignored.

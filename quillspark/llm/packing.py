@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import column, slices, table, texts_of, written
+from quillspark.llm.shared import column, in_batches, slices, table, texts_of, written
 from quillspark.llm.tokens import encoder, vocabulary_path
 
 WINDOW = 1024
@@ -39,7 +39,7 @@ def encoded(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
                 k = batch.num_rows
                 yield pa.RecordBatch.from_arrays([pa.array([part] * k, pa.int32()), column(batch, "doc_id"), pa.array(at[:-1], pa.int64()), pa.array(n, pa.int64()), pa.array([enc.dtype.itemsize == 4] * k), pa.array(ids, pa.binary())], names=["part", "doc_id", "at", "n_tokens", "wide", "ids"])
 
-    return texts_of(docs).mapInArrow(run, "part int, doc_id long, at long, n_tokens long, wide boolean, ids binary")
+    return in_batches(texts_of(docs), run, "part int, doc_id long, at long, n_tokens long, wide boolean, ids binary", lambda: encoder(vocab).forget())
 
 
 def cut(placed: DataFrame, window: int) -> DataFrame:
@@ -59,14 +59,14 @@ def cut(placed: DataFrame, window: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=PIECES)
 
-    return placed.mapInArrow(run, ", ".join(f"{f.name} long" for f in PIECES))
+    return in_batches(placed, run, ", ".join(f"{f.name} long" for f in PIECES))
 
 
 def packed(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every sequence but the last of the corpus is full, so no id is padding. A null or empty text is the
-    end id alone; rows that repeat a doc_id are packed each; an empty table gives no rows; extra columns
+    end id alone; a text longer than a window goes through several; rows that repeat a doc_id are packed each; an empty table gives no rows; extra columns
     are ignored.
     """
     ids = written(encoded(docs, vocabulary), "packing-ids")

@@ -19,7 +19,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import column, new_path, slices, table, texts_of, written
+from quillspark.llm.shared import column, in_batches, new_path, slices, table, texts_of, written
 from quillspark.llm.tokens import encoder, vocabulary_path
 
 SEQ_LEN = 1024
@@ -109,7 +109,7 @@ def write_token_files(docs: DataFrame, out_dir: str, vocabulary: str | None = No
     (file, part, doc_id, at: first id in the file's stream, n_tokens with the end id).
 
     A null or empty text is the end id alone; rows that repeat a doc_id follow one another, in order of
-    their texts; an empty table gives no rows. out_dir must be a folder that all machines share.
+    their texts, those without an id come first; a long text goes through several sequences; an empty table gives no rows. out_dir must be a folder that all machines share.
     """
     vocab = vocabulary_path(vocabulary)
     spark = docs.sparkSession
@@ -142,7 +142,7 @@ def write_token_files(docs: DataFrame, out_dir: str, vocabulary: str | None = No
             sink.close()
             where.move(f"{folder}/.{name}", f"{folder}/{name}")
 
-    return written(rows.mapInArrow(run, MANIFEST), "token-manifest")
+    return written(in_batches(rows, run, MANIFEST, lambda: encoder(vocab).forget()), "token-manifest")
 
 
 def part_starts(manifest: DataFrame) -> DataFrame:
@@ -164,7 +164,7 @@ def read_back(manifest: DataFrame) -> DataFrame:
                 crcs.append(zlib.crc32(opened[1].ids(at, n).astype("<u4")))
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "part"), column(batch, "at"), column(batch, "n_tokens"), pa.array(crcs, pa.int64())], names=["doc_id", "part", "at", "n_tokens", "ids_crc32"])
 
-    found = manifest.mapInArrow(run, "doc_id long, part int, at long, n_tokens long, ids_crc32 long")
+    found = in_batches(manifest, run, "doc_id long, part int, at long, n_tokens long, ids_crc32 long")
     # a row a file: a few bytes for each, the number of shuffle partitions bounds it
     return found.join(F.broadcast(part_starts(manifest)), "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 

@@ -2,14 +2,16 @@
 
 The byte-level vocabulary never joins what stands before a white-space run with the run itself, so
 texts are cut there and each distinct chunk is encoded once per worker. Texts with white space other
-than blanks and line feeds are encoded whole, since there the cut isn't certain.
+than blanks and line feeds or with a special token are encoded whole, since there the cut isn't certain.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -19,8 +21,10 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Default vocabulary; every operator takes another path as a parameter.
 VOCABULARY = "byte_bpe_50k.json"
 END = 0
-#: Chunks that a worker remembers before it starts anew.
-REMEMBERED = 500_000
+# The way of splitting for which the cuts hold.
+SPLITTING = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+#: Chunks that a worker remembers before it starts anew, and of those the first ones that it keeps after a task.
+REMEMBERED, KEPT = 300_000, 100_000
 
 _CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
@@ -39,7 +43,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = json.loads(self.tokenizer.to_str())
+        #: Texts that hold a special token are encoded whole, as the library does it.
+        self.special = [t["content"] for t in added["added_tokens"]]
+        #: Cuts are proved for this way of splitting alone; with another one every text is encoded whole.
+        self.cuts = added["pre_tokenizer"] is not None and {k: added["pre_tokenizer"].get(k) for k in SPLITTING} == SPLITTING and added["normalizer"] is None
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         #: Two bytes an id where the vocabulary allows it.
@@ -87,13 +95,18 @@ class Encoder:
         for c, body in cut.items():
             self.known[c] = self.known[body] + self.known[c[len(body) :]]
 
+    def forget(self) -> None:
+        """Keep what was learned first: by and large the most frequent chunks."""
+        if len(self.known) > KEPT:
+            self.known = dict(islice(self.known.items(), KEPT))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text and the end id, as little-endian bytes."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.forget()
         cut: list[list[str] | None] = []
         for t in texts:
-            if _OTHER_SPACE.search(t):
+            if not self.cuts or _OTHER_SPACE.search(t) or any(x in t for x in self.special):
                 cut.append(None)
             elif any(r in t for r in _RUNS) or t[:1] in (" ", "\n") or t[-1:] in (" ", "\n"):
                 cut.append(_CHUNK.findall(t))

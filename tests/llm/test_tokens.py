@@ -16,7 +16,6 @@ from quillspark.llm.tokens import encoder, vocabulary_path
 @pytest.fixture(scope="module")
 def ids():
     t = Tokenizer.from_file(vocabulary_path())
-    t.encode_special_tokens = True
     return lambda text: np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], dtype="<u4")
 
 
