@@ -132,21 +132,20 @@ def test_near_odd_inputs(docs, no_docs, odd):
 
 
 def brute_lines(rows, min_words, min_lines):
-    """Removed line numbers of each document."""
-    seen, gone = set(), defaultdict(set)
-    for i, t in sorted(rows):
+    """Removed line numbers of each document: for every pair of places what is equal from there on, if it is a passage."""
+    gone, before = defaultdict(set), []
+    for i, t in sorted(rows, key=lambda x: (x[0], x[1] or "")):
         lines = [(p, " ".join(x.split())) for p, x in enumerate((t or "").split("\n"))]
         lines = [(p, x) for p, x in lines if x]
-        for a in range(len(lines)):
-            n = 0
-            for b in range(a, min(len(lines), a + min_lines)):
-                n += len(lines[b][1].split())
-                if n >= min_words or b == a + min_lines - 1:
-                    key = tuple(x for _, x in lines[a : b + 1])
-                    if key in seen:
-                        gone[i].update(range(lines[a][0], lines[b][0] + 1))
-                    seen.add(key)
-                    break
+        before.append(lines)
+        for other in before:
+            for a in range(len(lines)):
+                for c in range(a if other is lines else len(other)):
+                    z = 0
+                    while a + z < len(lines) and c + z < len(other) and lines[a + z][1] == other[c + z][1]:
+                        z += 1
+                    if z >= min_lines or sum(len(x.split()) for _, x in lines[a : a + z]) >= min_words:
+                        gone[i].update(range(lines[a][0], lines[a + z - 1][0] + 1))
     return gone
 
 
@@ -162,39 +161,33 @@ def test_line_dedup(spark):
     assert want[2] and want[3] and want[8] and not want[1] and not want[5]
 
 
-def brute_extended(rows, min_words, min_lines):
-    """brute_lines and, for every pair of equal windows, what lies around them and is equal too."""
-    gone, before = brute_lines(rows, min_words, min_lines), []
-    for i, t in sorted(rows):
-        lines = [(p, " ".join(x.split())) for p, x in enumerate((t or "").split("\n"))]
-        lines = [(p, x) for p, x in lines if x]
-        before.append(lines)
-        for other in before:
-            for a in range(len(lines)):
-                for c in range(a if other is lines else len(other)):
-                    z = 0
-                    while a + z < len(lines) and c + z < len(other) and lines[a + z][1] == other[c + z][1]:
-                        z += 1
-                    if z >= min_lines or sum(len(x.split()) for _, x in lines[a : a + z]) >= min_words:
-                        gone[i].update(range(lines[a][0], lines[a + z - 1][0] + 1))
-    return gone
-
-
 def test_line_dedup_extends_matches(spark):
     """Lines that go on after the last whole window of a match, with any earlier document and not only the first."""
     r = random.Random(6)
     line = lambda c, n: " ".join(f"{c}{k}" for k in range(n))
     long, mid, short = line("a", 60), line("b", 30), line("c", 10)
     rows = [(1, f"{long}\n{mid}\n\n{short}\nend one"), (2, f"{long}\n{mid}\n{short}\nother end"), (3, f"{long}\nx\ny"), (4, f"{long}\nx\nz")]
-    rows += [(10 + i, "\n".join(line(r.choice("pqr"), r.choice([1, 10, 30, 60])) for _ in range(r.randint(1, 9)))) for i in range(40)]
-    found = line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), extend=True).collect()
-    want = brute_extended(rows, 50, 6)
+    rows += [(10 + i, "\n".join(line(r.choice("pqr"), r.choice([1, 10, 30, 60])) for _ in range(r.randint(1, 9)))) for i in range(60)]
+    found = line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute_lines(rows, 50, 6)
     assert {x.doc_id: x.n_removed for x in found} == {i: len(want[i]) for i, _ in rows}
     for x in found:
         assert x.text == "\n".join(t for p, t in enumerate(dict(rows)[x.doc_id].split("\n")) if p not in want[x.doc_id])
     assert [want[i] for i in (1, 2, 3, 4)] == [set(), {0, 1, 2}, {0}, {0, 1}]
 
 
+def test_line_dedup_selects_few_positions(spark):
+    """Of the windows of prose with lines of some words, less than half of the lines are fingerprints, and every window holds one."""
+    r = random.Random(2)
+    rows = [(i, "\n".join(" ".join(f"w{r.randint(0, 5000)}" for _ in range(9)) for _ in range(60))) for i in range(20)]
+    keyed = line_dedup.with_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = keyed.select("ls", line_dedup.selected(50, 6).alias("f")).collect()
+    lines, prints = sum(len(x.ls) for x in found), sum(len(x.f) for x in found)
+    assert prints < 0.5 * lines
+    for x in found:
+        assert [(f.lo, f.hi) for f in x.f] == list(zip([0, *(f.hi for f in x.f[:-1])], [f.hi for f in x.f], strict=True)) and x.f[-1].hi == 55
+
+
 def test_line_dedup_odd_inputs(docs, no_docs, odd):
     assert line_dedup.deduplicated(docs).count() == len(odd) + 1
     assert line_dedup.deduplicated(no_docs).count() == 0
