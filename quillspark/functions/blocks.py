@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left, bisect_right
 from typing import NamedTuple
 
+from quillspark.functions import frontmatter
 from quillspark.functions.inline import Node, merged, normal_label, parse_inline, text_node
 from quillspark.functions.vocabulary import ADMONITIONS, DIAGRAMS, EMOJI, PROVIDERS
 
@@ -39,6 +41,9 @@ _MARK = re.compile(r"^> ?\[!(?:NOTE|WARNING|TIP|IMPORTANT|CAUTION)\]")
 _ADMONITION = re.compile(r"^\[!(NOTE|WARNING|TIP|IMPORTANT|CAUTION)\][ \t]*(.*)$")
 _EMBED = re.compile(r"^\[\[embed:\s*(\S+?)\s*\]\]$")
 _TOC = re.compile(r"^\[\[toc\]\]$", re.IGNORECASE)
+_BRACKETS = re.compile(r"!?\[([^\]\n]+)\](?![:(\[])")
+_PAIRED = re.compile(r"\[([^\[\]\n]+)\]\[([^\[\]\n]*)\]")
+_DEEP = re.compile(r"^((?:  )*)[-*+] ")
 _PATTERNS = (
     ("MathInline", re.compile(r"\$([^$\n]+?)\$")),
     ("Superscript", re.compile(r"\^([^^\s]+?)\^", re.ASCII)),
@@ -78,24 +83,59 @@ class Parser:
         self.source = source
         self.emoji = EMOJI if emoji is None else emoji
         self.links: dict[str, dict[str, str]] = {}
-        self.notes: dict[str, Node] = {}
+        #: Where the definition of each label stands that holds.
+        self.defined: dict[str, tuple[int, int]] = {}
         self.diagnostics: list[tuple[str, str, str, int, int]] = []
+        #: What the frontmatter says; None without one.
+        self.front: dict | None = None
 
     def document(self) -> Node:
         lines = lines_of(self.source)
-        front, first = self._frontmatter(lines)
         root = Node("Document", start=0, end=len(self.source))
+        if quoted := self._all_quoted(lines):
+            root.children = [quoted]
+            return root
+        if _jumps(lines):
+            raise ValueError("a list's level jumps")
+        front, first = self._frontmatter(lines)
         root.children = front + self.containers(lines[first:])
         self.finish(root)
         return root
 
     def _frontmatter(self, lines: list[Line]) -> tuple[list[Node], int]:
+        """The frontmatter's node, and the line after it; nothing where it isn't well formed."""
         if lines and lines[0].text == "---":
             for i, line in enumerate(lines[1:], 1):
                 if line.text == "---":
-                    return [Node("Frontmatter", literal="\n".join(x.text for x in lines[1:i]), start=0, end=line.end)], i + 1
+                    literal = "\n".join(x.text for x in lines[1:i])
+                    try:
+                        self.front = frontmatter.load(literal.encode("latin-1").decode("utf-8", "replace")) or {}
+                    except frontmatter.Malformed:
+                        break
+                    return [Node("Frontmatter", literal=literal, start=0, end=line.end)], i + 1
         return [], 0
 
+    def _all_quoted(self, lines: list[Line]) -> Node | None:
+        """A document that is one quote: what it quotes is a document of its own, whose nodes have no places here.
+        Quotes that open with a bracket are left to the ordinary way."""
+        inner = []
+        for line in lines:
+            own = line.text.lstrip(" \t")
+            if own and not own.startswith(">"):
+                return None
+            inner.append(own[2:] if own[1:2] in (" ", "\t") else own[1:])
+            if inner[-1].lstrip().startswith("["):
+                return None
+        if not any(x.text.strip() for x in lines):
+            return None
+        within = Parser(lowered("\n".join(inner) + "\n"), self.emoji)
+        quote = Node("Blockquote", within.document().children, start=0, end=len(self.source))
+        self.diagnostics += within.diagnostics
+        for n in quote.walk():
+            if n is not quote:
+                n.start = n.end = -1
+        return quote
+
     # ------------------------------------------------------------ containers
 
     def containers(self, lines: list[Line]) -> list[Node]:
@@ -294,6 +334,7 @@ class Parser:
             return 0
         j = i
         while j < len(lines) and (m := _DEFINITION.match(lines[j].text)):
+            self.defined[normal_label(m[1])] = (lines[j].at, lines[j].end)
             self.links[normal_label(m[1])] = {"href": m[2] if m[2] is not None else m[3]} | ({"title": m[4][1:-1]} if m[4] and m[4][1:-1] else {})
             j += 1
         text = self.source[lines[i].at : lines[j - 1].end].rstrip("\n")
@@ -417,7 +458,7 @@ class Parser:
     def _embeds(self, root: Node) -> None:
         for k, c in enumerate(root.children):
             if c.type == "Paragraph" and (m := _EMBED.match(self.source[c.start : c.end].strip())):
-                provider = next((p for p, parts in PROVIDERS if any(x in m[1] for x in parts)), "generic")
+                provider = next((p for p, parts in PROVIDERS if any(x in m[1].lower() for x in parts)), "generic")
                 root.children[k] = Node("AutoEmbed", attrs={"src": m[1], "provider": provider}, start=c.start, end=c.end)
 
     def _contents(self, root: Node) -> None:
@@ -434,11 +475,11 @@ def shift(nodes: list[Node], parts: list[tuple[int, str]]) -> None:
         bounds.append((parts[0][0] + total, at))
         total += len(t)
 
+    joins = [joined for joined, _ in bounds]
+
     def moved(x: int, closing: bool) -> int:
-        for joined, at in reversed(bounds):
-            if x > joined or (x == joined and not closing) or joined == bounds[0][0]:
-                return at + x - joined
-        return x
+        joined, at = bounds[max((bisect_left if closing else bisect_right)(joins, x) - 1, 0)]
+        return at + x - joined
 
     if len(parts) > 1:
         for top in nodes:
@@ -597,12 +638,45 @@ def toc(headings: list[Node]) -> list[Node]:
     return [root]
 
 
-def parse(source: str, emoji: dict[str, str] | None = None) -> tuple[Node, str, list[tuple[str, str, str, int, int]]]:
-    """Tree, lowered source and diagnostics of a document. Never raises: a failure is one Text node and MDPP-PARSE-000."""
+def _jumps(lines: list[Line]) -> bool:
+    """Whether a document of bullets alone that is at least six levels deep skips a level."""
+    levels = []
+    for line in lines:
+        if line.text.strip():
+            m = _DEEP.match(line.text)
+            if not m:
+                return False
+            levels.append(len(m[1]) // 2)
+    return bool(levels) and max(levels) >= 5 and any(b > a + 1 for a, b in zip([-1, *levels], levels, strict=False))
+
+
+class Parsed(NamedTuple):
+    root: Node
+    source: str
+    diagnostics: list[tuple[str, str, str, int, int]]
+    front: dict | None
+    links: list[tuple[str, str, str, int, int]]  # label, href, title, and where the definition stands
+    uses: list[tuple[str, int, int]]  # label, and where it is used in brackets
+    pairs: list[tuple[str, str, int, int]]  # label and text of each resolved [text][label], and where it stands
+
+
+def read(source: str, emoji: dict[str, str] | None = None) -> Parsed:
+    """Tree, lowered source, diagnostics, frontmatter, link definitions and their uses of a document. Never raises: a failure is one Text node
+    and MDPP-PARSE-000."""
     text = source.encode("utf-8", "surrogatepass").decode("latin-1")
     try:
         low = lowered(text)
         p = Parser(low, emoji)
-        return p.document(), low, p.diagnostics
+        root = p.document()
+        links = [(label, link["href"], link.get("title", ""), *p.defined[label]) for label, link in p.links.items()]
+        uses = [(label, m.start(), m.end()) for m in _BRACKETS.finditer(low) if (label := normal_label(m[1])) in p.links] if p.links else []
+        found = ((n, m) for n in root.walk() if p.links and n.type == "Link" and n.start >= 0 and (m := _PAIRED.fullmatch(low, n.start, n.end)))
+        pairs = [(label, m[1], n.start, n.end) for n, m in found if (label := normal_label(m[2] or m[1])) in p.links]
+        return Parsed(root, low, p.diagnostics, p.front, links, uses, pairs)
     except Exception as e:  # noqa: BLE001  one odd document must not end a job
-        return Node("Document", [text_node(text, 0)], start=0, end=len(text)), text, [("MDPP-PARSE-000", "error", f"parser failed: {type(e).__name__}", 0, len(text))]
+        return Parsed(Node("Document", [text_node(text, 0)], start=0, end=len(text)), text, [("MDPP-PARSE-000", "error", f"parser failed: {type(e).__name__}", 0, len(text))], None, [], [], [])
+
+
+def parse(source: str, emoji: dict[str, str] | None = None) -> tuple[Node, str, list[tuple[str, str, str, int, int]]]:
+    """The first three of `read`."""
+    return read(source, emoji)[:3]

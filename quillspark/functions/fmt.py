@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 
-from quillspark.functions.blocks import _DEFINITION, _FOOTNOTE, Parser, cells, lines_of, lowered
+from quillspark.functions.blocks import _DEFINITION, _FOOTNOTE, Parsed, Parser, cells, lines_of, lowered, slug
 from quillspark.functions.inline import Node, normal_label
 from quillspark.functions.render import utf8
 
@@ -151,8 +152,6 @@ def guided(rows: list[Row]) -> list[Row]:
     line_of = {a: i for i, a in enumerate(starts)}
 
     def span(n: Node) -> tuple[int, int]:
-        from bisect import bisect_right
-
         return bisect_right(starts, n.start) - 1, bisect_right(starts, max(n.start, n.end - 1)) - 1
 
     for n in root.walk():
@@ -235,19 +234,44 @@ def simple_diff(name: str, before: str, after: str) -> str:
     return "\n".join([f"--- {name}", f"+++ {name} (formatted)", "@@", *(f"-{x}" for x in old), *(f"+{x}" for x in new)]) + "\n"
 
 
-def as_json(root: Node) -> str:
-    """The tree as nested JSON, empty fields left out."""
+def contents(root: Node) -> list[dict]:
+    """Level, id and text of the headings."""
+    return [{"level": int(n.attrs["level"]), "id": utf8(slug(n.text())), "text": utf8(n.text())} for n in root.walk() if n.type == "Heading"]
+
+
+def as_json(p: Parsed, name: str = "", pretty: bool = False) -> str:
+    """A document as JSON: file, frontmatter, diagnostics, headings, contents and the nested tree; empty fields left out."""
+    starts = [x.at for x in lines_of(p.source)] or [0]
+
+    def place(at: int) -> tuple[int, int]:
+        line = bisect_right(starts, at) if at < len(p.source) or not p.source else len(starts) + 1
+        return line, at - (starts[line - 1] if line <= len(starts) else len(p.source)) + 1
+
+    def span(start: int, end: int) -> dict:
+        (a, b), (c, d) = (place(start), place(end)) if start >= 0 else ((0, 0), (0, 0))
+        return {"start_byte": max(start, 0), "end_byte": max(end, 0), "start_line": a, "start_col": b, "end_line": c, "end_col": d}
 
     def one(n: Node) -> dict:
         out: dict = {"type": n.type}
         if n.literal:
             out["literal"] = utf8(n.literal)
         if n.attrs:
-            out["attrs"] = {k: utf8(v) for k, v in n.attrs.items()}
-        if n.start >= 0:
-            out["range"] = {"start_byte": n.start, "end_byte": n.end}
+            out["attrs"] = {k: utf8(v) for k, v in sorted(n.attrs.items())}
+        out["range"] = span(n.start, n.end)
         if n.children:
             out["children"] = [one(c) for c in n.children]
         return out
 
-    return json.dumps(one(root), ensure_ascii=False, separators=(",", ":"))
+    headings = contents(p.root)
+    whole: dict = {"file": name, "root": one(p.root)}
+    if p.front:
+        whole["frontmatter"] = dict(sorted(p.front.items()))
+    if p.diagnostics:
+        whole["diagnostics"] = [{"range": span(a, b), "severity": s, "code": c, "message": m} for c, s, m, a, b in p.diagnostics]
+    if headings:
+        whole["headings"] = [{"Level": h["level"], "Text": h["text"], "ID": h["id"]} for h in headings]
+        whole["toc"] = [{"Level": h["level"], "ID": h["id"], "Text": h["text"]} for h in headings]
+    text = json.dumps(whole, ensure_ascii=False, indent=2) if pretty else json.dumps(whole, ensure_ascii=False, separators=(",", ":"))
+    for c in "<>&\u2028\u2029":  # as they may stand in a script
+        text = text.replace(c, f"\\u{ord(c):04x}")
+    return text

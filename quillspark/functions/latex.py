@@ -6,18 +6,20 @@ import html
 import re
 
 # Commands without arguments.
-SYMBOLS = dict(
-    zip(
-        "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi pi rho sigma tau upsilon phi chi psi omega "
-        "Gamma Delta Theta Lambda Xi Pi Sigma Phi Psi Omega "
-        "rightarrow leftarrow leftrightarrow Rightarrow Leftarrow Leftrightarrow to gets mapsto uparrow downarrow "
-        "sum prod int oint bigcup bigcap coprod leq geq neq approx equiv sim simeq propto subset supset subseteq supseteq in notin ni "
-        "infty partial nabla forall exists neg cdot cdots ldots dots times div pm mp circ bullet star emptyset varnothing ell hbar Re Im".split(),
-        "α β γ δ ε ζ η θ ι κ λ μ ν ξ π ρ σ τ υ φ χ ψ ω Γ Δ Θ Λ Ξ Π Σ Φ Ψ Ω → ← ↔ ⇒ ⇐ ⇔ → ← ↦ ↑ ↓ ∑ ∏ ∫ ∮ ⋃ ⋂ ∐ ≤ ≥ ≠ ≈ ≡ ∼ ≃ ∝ ⊂ ⊃ ⊆ ⊇ ∈ ∉ ∋ "
-        "∞ ∂ ∇ ∀ ∃ ¬ · ⋯ … … × ÷ ± ∓ ∘ • ⋆ ∅ ∅ ℓ ℏ ℜ ℑ".split(),
-        strict=True,
-    )
-) | {"quad": "\u2003", "qquad": "\u2003\u2003", ",": "\u2009", ";": "\u2005", "!": ""}
+SYMBOLS = {
+    "alpha": "α", "beta": "β", "gamma": "γ", "delta": "δ", "epsilon": "ε", "zeta": "ζ", "eta": "η", "theta": "θ",
+    "iota": "ι", "kappa": "κ", "lambda": "λ", "mu": "μ", "nu": "ν", "xi": "ξ", "pi": "π", "rho": "ρ",
+    "sigma": "σ", "tau": "τ", "upsilon": "υ", "phi": "φ", "chi": "χ", "psi": "ψ", "omega": "ω", "Gamma": "Γ",
+    "Delta": "Δ", "Theta": "Θ", "Lambda": "Λ", "Xi": "Ξ", "Pi": "Π", "Sigma": "Σ", "Phi": "Φ", "Psi": "Ψ",
+    "Omega": "Ω", "rightarrow": "→", "leftarrow": "←", "leftrightarrow": "↔", "Rightarrow": "⇒", "Leftarrow": "⇐", "Leftrightarrow": "⇔", "to": "→",
+    "gets": "←", "mapsto": "↦", "uparrow": "↑", "downarrow": "↓", "sum": "∑", "prod": "∏", "int": "∫", "oint": "∮",
+    "bigcup": "⋃", "bigcap": "⋂", "coprod": "∐", "leq": "≤", "geq": "≥", "neq": "≠", "approx": "≈", "equiv": "≡",
+    "sim": "∼", "simeq": "≃", "propto": "∝", "subset": "⊂", "supset": "⊃", "subseteq": "⊆", "supseteq": "⊇", "in": "∈",
+    "notin": "∉", "ni": "∋", "infty": "∞", "partial": "∂", "nabla": "∇", "forall": "∀", "exists": "∃", "neg": "¬",
+    "cdot": "·", "cdots": "⋯", "ldots": "…", "dots": "…", "times": "×", "div": "÷", "pm": "±", "mp": "∓",
+    "circ": "∘", "bullet": "•", "star": "⋆", "emptyset": "∅", "varnothing": "∅", "ell": "ℓ", "hbar": "ℏ", "Re": "ℜ",
+    "Im": "ℑ", "quad": "\u2003", "qquad": "\u2003\u2003", ",": "\u2009", ";": "\u2005", "!": "",
+}
 # Commands of one argument; {} is its HTML.
 ONE = (
     {"sqrt": '<span class="math-sqrt">√<span class="math-sqrt-inner">{}</span></span>', "mathcal": '<span class="math-cal">{}</span>'}

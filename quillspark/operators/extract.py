@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.columns import attr, label, level, reading_minutes, slugify, words
+from quillspark.functions.columns import attr, level, reading_minutes, slugify, words
 from quillspark.plans.nodes import nodes
 
 
@@ -47,33 +49,39 @@ def type_counts(p: DataFrame) -> DataFrame:
 
 
 def text_of(p: DataFrame, *types: str) -> DataFrame:
-    """doc_id, node_id, type, text: the Text and CodeSpan literals of each subtree, joined on its interval inside the row."""
-    picked = p.select("doc_id", "nodes", F.explode(F.filter("nodes", lambda n: n["type"].isin(*types))).alias("n"))
-    inside = F.filter("nodes", lambda x: (x["node_id"] > F.col("n.node_id")) & (x["node_id"] <= F.col("n.last_desc")) & x["type"].isin("Text", "CodeSpan"))
-    return picked.select("doc_id", F.col("n.node_id").alias("node_id"), F.col("n.type").alias("type"), F.array_join(F.transform(inside, lambda x: x["literal"]), "").alias("text"))
+    """doc_id, node_id, type, text: the Text and CodeSpan literals of each subtree, which is a slice of the row's nodes."""
+    said = lambda n: F.array_join(F.transform(F.filter(below(n), lambda x: x["type"].isin("Text", "CodeSpan")), lambda x: x["literal"]), "")
+    found = F.transform(F.filter("nodes", lambda n: n["type"].isin(*types)), lambda n: F.struct(n["node_id"].alias("node_id"), n["type"].alias("type"), said(n).alias("text")))
+    return p.select("doc_id", F.inline(found))
+
+
+def below(n: Column) -> Column:
+    """The descendants of a node of the row's own array: they stand right after it."""
+    return F.slice("nodes", n["node_id"] + 2, n["last_desc"] - n["node_id"])
 
 
 def surface_text(p: DataFrame, *types: str) -> DataFrame:
     """Like text_of, with breaks as line feeds and unresolved references as written."""
-    picked = p.select("doc_id", "nodes", F.explode(F.filter("nodes", lambda n: n["type"].isin(*types))).alias("n"))
     raw = lambda x: F.coalesce(F.element_at(x["attrs"], "raw"), F.lit(""))
-    mine = lambda x: (x["node_id"] > F.col("n.node_id")) & (x["node_id"] <= F.col("n.last_desc"))
-    raws = F.filter("nodes", lambda x: mine(x) & (raw(x) != ""))
-    hidden = lambda x: F.exists(raws, lambda r: (x["node_id"] > r["node_id"]) & (x["node_id"] <= r["last_desc"]))
     said = lambda x: F.when(raw(x) != "", raw(x)).when(x["type"].isin("SoftBreak", "HardBreak"), F.lit("\n")).when(x["type"].isin("Text", "CodeSpan"), x["literal"]).otherwise(F.lit(""))
-    inside = F.filter("nodes", lambda x: mine(x) & ~hidden(x))
-    return picked.select("doc_id", F.col("n.node_id").alias("node_id"), F.array_join(F.transform(inside, said), "").alias("text"))
+    hidden = lambda x, raws: F.exists(raws, lambda r: (x["node_id"] > r["node_id"]) & (x["node_id"] <= r["last_desc"]))
+    shown = lambda n: once(F.filter(below(n), lambda x: raw(x) != ""), lambda raws: F.array_join(F.transform(F.filter(below(n), lambda x: ~hidden(x, raws)), said), ""))
+    found = F.transform(F.filter("nodes", lambda n: n["type"].isin(*types)), lambda n: F.struct(n["node_id"].alias("node_id"), shown(n).alias("text")))
+    return p.select("doc_id", F.inline(found))
+
+
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def links(n: DataFrame) -> DataFrame:
     return of_type(n, "Link").select("doc_id", "node_id", attr("href").alias("href"), attr("title").alias("title"), attr("ref").alias("ref"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def link_definitions(lines: DataFrame) -> DataFrame:
-    """doc_id, label, href, title of reference definitions; of a repeated label the last holds."""
-    pattern = r"""(?d)^ {0,3}\[([^\]\^][^\]]*)\]:[ \t]*<?([^\s>]+)>?(?:[ \t]+["'(](.*)["')])?[ \t]*$"""
-    found = lines.where(F.col("text").rlike(pattern)).select("doc_id", "line_no", label(F.regexp_extract("text", pattern, 1)).alias("label"), F.regexp_extract("text", pattern, 2).alias("href"), F.regexp_extract("text", pattern, 3).alias("title"))
-    return found.groupBy("doc_id", "label").agg(F.max_by("href", "line_no").alias("href"), F.max_by("title", "line_no").alias("title"))
+def link_definitions(p: DataFrame) -> DataFrame:
+    """doc_id, label, href, title of reference definitions, as the parser took them; of a repeated label the last holds."""
+    return p.select("doc_id", F.inline("links")).select("doc_id", "label", "href", "title")
 
 
 def tasks(n: DataFrame) -> DataFrame:
@@ -81,32 +89,39 @@ def tasks(n: DataFrame) -> DataFrame:
 
 
 def table_cells(p: DataFrame) -> DataFrame:
-    """doc_id, table (from 1 in each document), row (0 is the head), col, align, text: joins of a cell to its row and table by parent."""
-    n = p.select("doc_id", "nodes", F.explode(F.filter("nodes", lambda x: x["type"] == "TableCell")).alias("c"))
-    row = F.element_at("nodes", F.col("c.parent_id") + 1)
-    t = F.element_at("nodes", row["parent_id"] + 1)
-    nth = F.size(F.filter("nodes", lambda x: (x["type"] == "Table") & (x["node_id"] <= t["node_id"])))
-    aligns = F.split(F.coalesce(F.element_at(t["attrs"], "align"), F.lit("")), ",")
-    return n.select("doc_id", nth.alias("table"), row["ordinal"].alias("row"), F.col("c.ordinal").alias("col"), F.coalesce(F.get(aligns, F.col("c.ordinal")), F.lit("")).alias("align"), F.coalesce(F.col("c.text"), F.lit("")).alias("text"))
+    """doc_id, table (from 1 in each document), row (0 is the head), col, align, text: a cell finds its row and table by parent
+    inside the document's own array."""
+    parent = lambda n: F.element_at("nodes", n["parent_id"] + 1)
+    aligns = lambda t: F.split(F.coalesce(F.element_at(t["attrs"], "align"), F.lit("")), ",")
+
+    def cell(c: Column, tables: Column) -> Column:
+        row = parent(c)
+        t = parent(row)
+        return F.struct(F.array_position(tables, t["node_id"]).cast("int").alias("table"), row["ordinal"].alias("row"), c["ordinal"].alias("col"), F.coalesce(F.get(aligns(t), c["ordinal"]), F.lit("")).alias("align"), F.coalesce(c["text"], F.lit("")).alias("text"))
+
+    ids = F.transform(F.filter("nodes", lambda x: x["type"] == "Table"), lambda x: x["node_id"])
+    return p.select("doc_id", F.inline(once(ids, lambda tables: F.transform(F.filter("nodes", lambda x: x["type"] == "TableCell"), lambda c: cell(c, tables)))))
 
 
 def footnotes(n: DataFrame) -> DataFrame:
-    """References and definitions of each id, outer joined."""
-    count = lambda t, name: of_type(n, t).groupBy("doc_id", attr("id").alias("id")).agg(F.count("*").alias(name))
-    both = count("FootnoteRef", "refs").join(count("FootnoteDef", "defs"), ["doc_id", "id"], "full")
-    return both.select("doc_id", "id", F.coalesce("refs", F.lit(0)).alias("refs"), F.coalesce("defs", F.lit(0)).alias("defs"))
+    """References and definitions of each id, counted in one pass."""
+    own = of_type(n, "FootnoteRef", "FootnoteDef")
+    count = lambda t: F.count(F.when(F.col("type") == t, 1))
+    return own.groupBy("doc_id", attr("id").alias("id")).agg(count("FootnoteRef").alias("refs"), count("FootnoteDef").alias("defs"))
 
 
 def frontmatter(p: DataFrame) -> DataFrame:
-    """doc_id, key, value of the top-level keys of simple frontmatter; nested values come as written."""
-    first = F.filter("nodes", lambda n: n["type"] == "Frontmatter")
-    rows = p.select("doc_id", F.explode(F.split(F.get(first, F.lit(0))["literal"], "\n")).alias("line"))
-    pattern = r"^([A-Za-z_][A-Za-z0-9_-]*):[ \t]*(.*)$"
-    return rows.where(F.col("line").rlike(pattern)).select("doc_id", F.regexp_extract("line", pattern, 1).alias("key"), F.regexp_replace(F.regexp_extract("line", pattern, 2), "^[\"']|[\"'][ \t]*\\z", "").alias("value"))
+    """doc_id, key, value of the frontmatter's top-level keys; lists and maps are JSON, null stays null."""
+    return p.select("doc_id", F.explode(F.from_json("frontmatter", "map<string,string>")).alias("key", "value"))
+
+
+def frontmatter_value(p: DataFrame, path: str) -> DataFrame:
+    """doc_id, value at a JSON path such as $.author.name or $.tags[0]."""
+    return p.where("frontmatter is not null").select("doc_id", F.get_json_object("frontmatter", path).alias("value"))
 
 
 def format_version(p: DataFrame) -> DataFrame:
-    return frontmatter(p).where("key = 'mdpp'").select("doc_id", F.col("value").alias("version"))
+    return p.where("version <> ''").select("doc_id", "off", "version")
 
 
 def path_at(p: DataFrame, offsets: DataFrame) -> DataFrame:

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions import fmt
 from quillspark.functions.columns import attr, class_token, direct_media, escape_html, fence_language, slugify, words
 from quillspark.functions.vocabulary import CONTAINERS
 from quillspark.operators import convert, extract, lint, navigate
-from quillspark.plans import corpora
+from quillspark.plans import corpora, samples
 from quillspark.plans.nodes import nodes, parsed
+from quillspark.plans.store import shared_dir
+from quillspark.sources import files
 from quillspark.streaming import edits
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,9 +105,7 @@ def link_resolution(spark, d):
 
 @query("link_definitions", f"WITH {LINKS} SELECT doc_id, 'o' || k AS label, 'https://orders.example/' || k AS href, '' AS title FROM use WHERE k % 3 <> 0 UNION ALL SELECT doc_id, 'u' || k, 'https://unused.example/' || k, '' FROM use WHERE k % 5 = 0")
 def link_definitions(spark, d):
-    from quillspark.plans.nodes import lines
-
-    return extract.link_definitions(lines(parsed(corpora.reference_links(spark, d))))
+    return extract.link_definitions(parsed(corpora.reference_links(spark, d)))
 
 
 @query("footnotes", "SELECT l_orderkey AS doc_id, 'n' || l_linenumber AS id, count(*) AS refs, CASE WHEN l_linenumber % 4 <> 0 THEN 1 ELSE 0 END AS defs FROM lineitem GROUP BY l_orderkey, l_linenumber")
@@ -203,12 +204,6 @@ query("lint_heading_skip", f"WITH {SKIPS}, p AS (SELECT *, lag(l) OVER (PARTITIO
 query("lint_duplicate_heading", f"WITH {SKIPS}, p AS (SELECT *, row_number() OVER (PARTITION BY doc_id, slug ORDER BY nth) AS k FROM h) SELECT doc_id, 'MDPP103' AS code, 'warning' AS severity, 'duplicate heading id #' || slug AS message, 2 * nth - 1 AS line FROM p WHERE k > 1")(_linted(corpora.skipping, "MDPP103"))
 
 
-@query("lint_all_rules")
-def lint_all_rules(spark, d):
-    """Every rule over the documents; found counts a rule and severity."""
-    return lint.lint(parsed(corpora.prose(spark, d))).groupBy("code", "severity").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
-
-
 # ---------------------------------------------------------------- conversions, positions, edits
 
 
@@ -254,7 +249,7 @@ def formatted(spark, d):
 
 @query("format_is_stable", f"SELECT n_nationkey AS doc_id, {UNTIDY} AS formatted, false AS changed FROM nation")
 def format_is_stable(spark, d):
-    once = convert.mapped(corpora.untidy(spark, d), "source", fmt.format_source)
+    once = convert.formatted(corpora.untidy(spark, d)).select("doc_id", F.col("formatted").alias("source"))
     return convert.formatted(once).drop("source")
 
 
@@ -264,10 +259,14 @@ def format_diffs(spark, d):
     return convert.diffs(corpora.untidy(spark, d))
 
 
-@query("tree_json", """SELECT o_custkey AS doc_id, '{"type":"Document","range":{"start_byte":0,' AS head, count(*) AS items FROM orders GROUP BY 1""")
+_FRONT = "'title: ' || c_name || chr(10) || 'segment: \"' || c_mktsegment || '\"' || chr(10) || 'mdpp: ' || v"
+_SPAN = "'{{\"start_byte\":' || {0} || ',\"end_byte\":' || {1} || ',\"start_line\":' || {2} || ',\"start_col\":1,\"end_line\":' || {3} || ',\"end_col\":' || {4} || '}}'"
+
+
+@query("tree_json", f"""SELECT doc_id, '{{"file":"' || doc_id || '","root":{{"type":"Document","range":' || {_SPAN.format("0", "n + 8 + length(body) + 1", 1, 7, 1)} || ',"children":[{{"type":"Frontmatter","literal":"' || replace(replace(front, '"', '\\"'), chr(10), '\\n') || '","range":' || {_SPAN.format("0", "n + 8", 1, 6, 1)} || '}},{{"type":"Paragraph","range":' || {_SPAN.format("n + 8", "n + 9 + length(body)", 6, 7, 1)} || ',"children":[{{"type":"Text","literal":"' || body || '","range":' || {_SPAN.format("n + 8", "n + 8 + length(body)", 6, 6, "1 + length(body)")} || '}}]}}]}},"frontmatter":{{"mdpp":' || v || ',"segment":"' || c_mktsegment || '","title":"' || c_name || '"}}}}' AS json
+FROM (SELECT *, length(front) + 1 AS n FROM (SELECT c_custkey AS doc_id, c_name, c_mktsegment, v, {_FRONT} AS front, 'Customer ' || c_custkey || '.' AS body FROM (SELECT *, CASE WHEN c_custkey % 7 = 0 THEN '0.2' ELSE '0.1' END AS v FROM customer)))""")
 def tree_json(spark, d):
-    found = convert.tree_json(corpora.task_list(spark, d))
-    return found.select("doc_id", F.expr("substring(json, 1, 43)").alias("head"), F.size(F.regexp_extract_all("json", F.lit('"TaskListItem"'), F.lit(0))).alias("items"))
+    return convert.tree_json(corpora.fronted(spark, d))
 
 
 @query("folding_ranges", "SELECT o_custkey AS doc_id, 1 AS start_line, count(*) AS end_line, 'region' AS kind FROM orders GROUP BY 1 HAVING count(*) > 1")
@@ -288,11 +287,11 @@ def named_places(spark, d):
 
 @query(
     "semantic_tokens",
-    """WITH p AS (SELECT p_partkey AS doc_id, CASE p_partkey % 6 WHEN 0 THEN 'python' WHEN 1 THEN 'Mermaid' WHEN 2 THEN 'sequence' WHEN 3 THEN 'Go' WHEN 4 THEN 'c4' ELSE 'sql' END AS g, CASE WHEN p_partkey % 6 IN (1, 2, 4) THEN 'diagram' ELSE 'codeBlock' END AS type FROM part)
-SELECT doc_id, v.line, 0 AS start, CASE v.line WHEN 0 THEN 3 + len(g) WHEN 1 THEN 5 WHEN 2 THEN 7 + len(CAST(doc_id AS VARCHAR)) ELSE 3 END AS length, type, CASE WHEN v.line = 0 THEN 0 ELSE 1 END AS delta_line, 0 AS delta_start FROM p, (VALUES (0), (1), (2), (3)) v(line)""",
+    """WITH p AS (SELECT p_partkey AS doc_id, CASE p_partkey % 6 WHEN 0 THEN 'python' WHEN 3 THEN 'Go' ELSE 'sql' END AS g FROM part WHERE p_partkey % 6 IN (0, 3, 5))
+SELECT doc_id, v.line, 0 AS start, CASE v.line WHEN 0 THEN 3 + len(g) WHEN 1 THEN 5 WHEN 2 THEN 7 + len(CAST(doc_id AS VARCHAR)) ELSE 3 END AS length, 'string' AS type, 4096 AS modifiers, CASE WHEN v.line = 0 THEN 0 ELSE 1 END AS delta_line, 0 AS delta_start FROM p, (VALUES (0), (1), (2), (3)) v(line)""",
 )
 def semantic_tokens(spark, d):
-    return navigate.semantic_tokens(parsed(corpora.fenced(spark, d)))
+    return navigate.semantic_tokens(corpora.fenced(spark, d))
 
 
 @query("positions_to_offsets", "SELECT doc_id, 0 AS line, 7 AS character, strlen(substr(string_split(coalesce(text, ''), chr(10))[1], 1, 7)) AS \"offset\" FROM documents")
@@ -302,11 +301,14 @@ def positions_to_offsets(spark, d):
     return navigate.to_offsets(docs, at)
 
 
-@query("definitions_at", "SELECT o_custkey AS doc_id, 3 AS \"offset\", 'label' AS kind, 'o' || min(o_orderkey) AS name FROM orders GROUP BY 1 HAVING min(o_orderkey) % 3 <> 0")
+@query("definitions_at", """WITH o AS (SELECT o_custkey AS doc_id, o_orderkey AS k, row_number() OVER w AS nth, CASE WHEN o_orderkey % 3 <> 0 THEN '[o' || o_orderkey || ']: https://orders.example/' || o_orderkey ELSE '' END AS def,
+  sum(length('See [order ' || o_orderkey || '][o' || o_orderkey || '] first.') + 1) OVER (PARTITION BY o_custkey) + 2 AS body FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))
+SELECT doc_id, 13 + length(CAST(k AS VARCHAR)) AS "offset", 'label' AS kind, 'o' || k AS name, body AS start_byte, body + length(def) AS end_byte FROM o WHERE nth = 1 AND def <> ''""")
 def definitions_at(spark, d):
-    p = parsed(corpora.reference_links(spark, d))
-    at = p.select("doc_id", (F.expr("locate('][o', source)") + 1).alias("offset"))
-    return navigate.definition(p, at).select("doc_id", F.lit(3).alias("offset"), "kind", "name")
+    """What the first reference of each document leads to."""
+    docs = corpora.reference_links(spark, d)
+    at = docs.select("doc_id", (F.expr("locate('][o', source)") + 1).alias("offset"))
+    return navigate.definition(parsed(docs), at)
 
 
 @query("edits_replayed", "SELECT 'c' || o_custkey AS uri, string_agg(o_orderkey || ';', '' ORDER BY o_orderkey DESC) AS source, count(*) AS version FROM orders GROUP BY 1")
@@ -319,13 +321,14 @@ def edits_replayed(spark, d):
     nth = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
     zero = F.lit(0)
     changes = o.select(uri.alias("uri"), nth.alias("version"), F.col("o_orderkey").cast("long").alias("seq"), F.lit("change").alias("kind"), zero.alias("start_line"), zero.alias("start_char"), zero.alias("end_line"), zero.alias("end_char"), F.concat(F.col("o_orderkey"), F.lit(";")).alias("text"))
-    found = edits.replayed(opened.union(changes))
-    return found.groupBy("uri").agg(F.max_by("source", "seq").alias("source"), F.max_by("version", "seq").alias("version"))
+    return edits.latest(opened.union(changes)).select("uri", "source", "version")
 
 
-@query("code_actions", f"WITH {LINKS} SELECT doc_id, CASE WHEN k % 3 = 0 THEN 'Define [o' || k || ']' END AS title, 1 AS n FROM use WHERE k % 3 = 0 UNION ALL SELECT doc_id, 'Fix MDPP105', count(*) FROM use WHERE k % 5 = 0 GROUP BY 1 UNION ALL SELECT doc_id, 'Convert to inline link', count(*) FROM use WHERE k % 3 <> 0 GROUP BY 1")
+@query("code_actions", f"""WITH {LINKS}, g AS (SELECT doc_id, CASE WHEN bool_or(k % 3 <> 0 OR k % 5 = 0) THEN chr(10) ELSE '' END AS gap FROM use GROUP BY 1)
+SELECT doc_id, 'Create missing reference definition' AS title, gap || '[o' || k || ']: ' AS new_text FROM use JOIN g USING (doc_id) WHERE k % 3 = 0 UNION ALL SELECT doc_id, 'Fix MDPP105: link reference [u' || k || '] is never used', '' FROM use WHERE k % 5 = 0
+UNION ALL SELECT doc_id, 'Convert reference link to inline link', '[order ' || k || '](https://orders.example/' || k || ')' FROM use WHERE k % 3 <> 0""")
 def code_actions(spark, d):
-    return navigate.code_actions(parsed(corpora.reference_links(spark, d))).groupBy("doc_id", "title").agg(F.count("*").alias("n"))
+    return navigate.code_actions(parsed(corpora.reference_links(spark, d)), only=("quickfix",)).select("doc_id", "title", "new_text")
 
 
 @query("lint_reports", f"WITH {LINKS} SELECT doc_id, '::error file=' || doc_id || ',line=' || n || ',col=5,title=MDPP106::reference link [o' || k || '] has no definition' AS report FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS n FROM use) WHERE k % 3 = 0")
@@ -338,3 +341,251 @@ def lint_reports(spark, d):
 def lint_fixed(spark, d):
     p = parsed(corpora.fenced(spark, d))
     return lint.fixed(p, lint.lint(p, ["MDPP300"])).where("n_edits > 0").select("doc_id", "source")
+
+
+# ---------------------------------------------------------------- samples: each construct by itself, once a nation
+
+
+def literal(value: str | int | None) -> str:
+    """A value as SQL writes it."""
+    return "NULL" if value is None else str(value) if isinstance(value, int) else "'" + value.replace("'", "''") + "'"
+
+
+def values(rows: list[tuple]) -> str:
+    return ", ".join(f"({', '.join(map(literal, r))})" for r in rows)
+
+
+def sampled(spark: SparkSession, d: str, rows: list[tuple[str, ...]], *names: str) -> DataFrame:
+    """doc_id (name/nation), source and the other named strings of each sample, for each nation."""
+    nation = corpora.table(spark, d, "nation")
+    each = nation.select("n_nationkey", "n_name", F.explode(F.array(*(F.struct(*(F.lit(v).cast("string").alias(n) for n, v in zip(("name", "source", *names), r, strict=True))) for r in rows))).alias("s"))
+    put = lambda c: F.replace(F.col(f"s.{c}"), F.lit("@"), F.col("n_name"))
+    return each.select(F.concat("s.name", F.lit("/"), F.col("n_nationkey")).alias("doc_id"), *(put(c).alias(c) for c in ("source", *names)))
+
+
+def expected(columns: str, rows: list[tuple], put: str = "") -> str:
+    """SQL over nation: a row for each (name, ...) and nation; {} in `put` is a column in which @ becomes the name."""
+    names = columns.split(", ")
+    shown = ", ".join(f"replace({n}, '@', n_name) AS {n}" if n in put.split(", ") else n for n in names)
+    return f"SELECT name || '/' || n_nationkey AS doc_id, {shown} FROM nation, (VALUES {values(rows)}) v(name, {columns})"
+
+
+@query("html_samples", expected("html", [(n, h) for n, _, h in samples.HTML], "html"))
+def html_samples(spark, d):
+    return convert.html(sampled(spark, d, [(n, s) for n, s, _ in samples.HTML]))
+
+
+@query("html_options", expected("html", [(n, h) for n, _, _, h in samples.WITH_OPTIONS], "html"))
+def html_options(spark, d):
+    from quillspark.functions.render import Options
+
+    parts = [convert.html(sampled(spark, d, [(n, s)]), Options(**o)) for n, s, o, _ in samples.WITH_OPTIONS]
+    return reduce(DataFrame.union, parts)
+
+
+@query("format_samples", expected("formatted", [(n, f) for n, _, f in samples.FORMAT], "formatted"))
+def format_samples(spark, d):
+    return convert.formatted(sampled(spark, d, [(n, s) for n, s, _ in samples.FORMAT])).select("doc_id", "formatted")
+
+
+@query("format_samples_stable", "SELECT 25 * 0 AS changed, count(*) * " + str(len(samples.FORMAT)) + " AS documents FROM nation")
+def format_samples_stable(spark, d):
+    """Formatting what is formatted changes nothing."""
+    once = convert.formatted(sampled(spark, d, [(n, s) for n, s, _ in samples.FORMAT])).select("doc_id", F.col("formatted").alias("source"))
+    return convert.formatted(once).agg(F.count(F.when(F.col("changed"), 1)).alias("changed"), F.count("*").alias("documents"))
+
+
+def _linted_samples(spark: SparkSession, d: str) -> DataFrame:
+    return lint.lint(parsed(sampled(spark, d, [(n, s) for n, s, _ in samples.LINT])))
+
+
+_FINDINGS = [(n, c, lint.SEVERITY[c], m, i, k) for n, _, found in samples.LINT for c, m, i, k in found]
+# columns on a line that the nation's name stands before, in which it is counted as one character
+_SHIFTED = "CASE WHEN name IN ('trailing_space', 'undefined_footnote', 'autolink', 'empty_link', 'in_code') THEN col - 8 + length(n_name) ELSE col END"
+
+
+@query("lint_samples", f"SELECT name || '/' || n_nationkey AS doc_id, code, severity, message, line, {_SHIFTED} AS col FROM nation, (VALUES {values(_FINDINGS)}) v(name, code, severity, message, line, col)")
+def lint_samples(spark, d):
+    return _linted_samples(spark, d).select("doc_id", "code", "severity", "message", "line", "col")
+
+
+@query("lint_all_rules", f"SELECT code, severity, count(*) * 25 AS n FROM (VALUES {values(_FINDINGS)}) v(name, code, severity, message, line, col) GROUP BY 1, 2")
+def lint_all_rules(spark, d):
+    """Every rule at once; found counts a rule and severity."""
+    return _linted_samples(spark, d).groupBy("code", "severity").agg(F.count("*").alias("n"))
+
+
+@query("lint_text_reports", f"SELECT name || '/' || n_nationkey AS doc_id, name || '/' || n_nationkey || ':' || line || ':' || {_SHIFTED} || ': ' || severity || ' ' || code || ': ' || message AS report FROM nation, (VALUES {values(_FINDINGS)}) v(name, code, severity, message, line, col)")
+def lint_text_reports(spark, d):
+    return lint.reported(_linted_samples(spark, d), "text").select("doc_id", "report")
+
+
+@query("lint_json_reports", """SELECT 'f/' || n_nationkey AS doc_id, '{"file":"f/' || n_nationkey || '","code":"MDPP300","severity":"info","message":"fence info-string should be lowercase","range":{"start_byte":3,"end_byte":5,"start_line":1,"start_col":4,"end_line":1,"end_col":6},"fix":{"range":{"start_byte":3,"end_byte":5,"start_line":1,"start_col":4,"end_line":1,"end_col":6},"new_text":"go"}}' AS report FROM nation
+UNION ALL SELECT 'h/' || n_nationkey, '{"file":"h/' || n_nationkey || '","code":"MDPP103","severity":"warning","message":"duplicate heading id #a","range":{"start_byte":5,"end_byte":9,"start_line":3,"start_col":1,"end_line":4,"end_col":1},"related":[{"message":"first heading with this id","start_byte":0,"end_byte":4,"line":1,"col":1}]}' FROM nation""")
+def lint_json_reports(spark, d):
+    return lint.reported(lint.lint(parsed(sampled(spark, d, [("f", "```Go\nx\n```\n"), ("h", "# A\n\n# A\n")]))), "json").select("doc_id", "report")
+
+
+@query("lint_filters", "SELECT 'MDPP100' AS code, count(*) AS n FROM nation UNION ALL SELECT 'MDPP102', 2 * count(*) FROM nation")
+def lint_filters(spark, d):
+    """Chosen rules, without one of them, from a severity up."""
+    p = parsed(sampled(spark, d, [(n, s) for n, s, _ in samples.LINT]))
+    found = lint.lint(p, ["MDPP100", "MDPP102", "MDPP106", "MDPP103"], ["MDPP106"], least="error")
+    return found.groupBy("code").agg(F.count("*").alias("n"))
+
+
+@query("parse_diagnostics", "SELECT 'open/' || n_nationkey AS doc_id, 'MDPP-PARSE-002' AS code, 'warning' AS severity, 1 AS line FROM nation UNION ALL SELECT 'jump/' || n_nationkey, 'MDPP-PARSE-000', 'error', 1 FROM nation")
+def parse_diagnostics(spark, d):
+    """An unclosed container, and a list that the parser fails on."""
+    p = parsed(sampled(spark, d, [("open", ":::note\n@\n"), ("jump", "- a\n      - b\n          - c\n            - @\n"), ("fine", "@\n")]))
+    none = lint.lint(p, ["MDPP104"])
+    return lint.with_parse_diagnostics(p, none, least="warning").select("doc_id", "code", "severity", "line")
+
+
+def at_needle(docs: DataFrame, needle: str = "needle") -> DataFrame:
+    """doc_id, offset: the byte at which the needle stands first."""
+    return docs.select("doc_id", F.octet_length(F.expr(f"substring_index(source, {needle}, 1)")).alias("offset"))
+
+
+@query("hover_cards", f"SELECT name || '/' || n_nationkey AS doc_id, replace(replace(card, '@', n_name), '%', lower(replace(n_name, '_', '-'))) AS card FROM nation, (VALUES {values([(n, c) for n, _, _, c in samples.HOVER if c])}) v(name, card)")
+def hover_cards(spark, d):
+    docs = sampled(spark, d, [r[:3] for r in samples.HOVER], "needle")
+    return navigate.hover(parsed(docs), at_needle(docs)).select("doc_id", "card")
+
+
+def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """places with the text that stands there."""
+    own = F.decode(F.expr("substring(encode(source, 'utf-8'), start_byte + 1, end_byte - start_byte)"), "utf-8")
+    return places.join(docs.select("doc_id", "source"), "doc_id").withColumn("text", own)
+
+
+@query("definition_places", expected("text", [(n, t) for n, _, _, t, _ in samples.PLACES if t], "text"))
+def definition_places(spark, d):
+    docs = sampled(spark, d, [r[:3] for r in samples.PLACES], "needle")
+    return _texts(docs, navigate.definition(parsed(docs), at_needle(docs))).select("doc_id", "text")
+
+
+@query("reference_places", expected("role, text", [(n, role, t) for n, _, _, _, found in samples.PLACES for role, t in found], "text"))
+def reference_places(spark, d):
+    docs = sampled(spark, d, [r[:3] for r in samples.PLACES], "needle")
+    return _texts(docs, navigate.references(parsed(docs), at_needle(docs))).select("doc_id", "role", "text")
+
+
+@query("renamed", expected("source", [(n, s) for n, _, _, _, s in samples.RENAMES], "source"))
+def renamed(spark, d):
+    docs = sampled(spark, d, [r[:4] for r in samples.RENAMES], "needle", "new_name")
+    p = parsed(docs)
+    targets = at_needle(docs).join(docs.select("doc_id", "new_name"), "doc_id")
+    edits_of = navigate.rename(p, targets).select("doc_id", "start_byte", "end_byte", "new_text")
+    return lint.fixed(p, edits_of).select("doc_id", "source")
+
+
+@query("rename_prepared", expected("text", [("heading", "Old"), ("anchor", "#old"), ("footnote", "a"), ("label", "ref")]))
+def rename_prepared(spark, d):
+    docs = sampled(spark, d, [r[:3] for r in samples.RENAMES], "needle")
+    return _texts(docs, navigate.prepare_rename(parsed(docs), at_needle(docs))).select("doc_id", "text")
+
+
+@query("completions", expected("label, insert_text", [(n, a, b) for n, _, _, found in samples.COMPLETIONS for a, b in found]))
+def completions(spark, d):
+    docs = sampled(spark, d, [r[:3] for r in samples.COMPLETIONS], "needle")
+    # the pointer stands after the needle; in frontmatter after its first line's end
+    at = docs.select("doc_id", F.when(F.col("doc_id").startswith("frontmatter"), F.lit(0)).otherwise(F.octet_length(F.expr("substring_index(source, needle, 1)"))).alias("a"), F.octet_length("needle").alias("n"))
+    offsets = at.select("doc_id", F.when(F.col("doc_id").startswith("frontmatter_keys/"), F.lit(13)).when(F.col("doc_id").startswith("frontmatter/"), F.lit(0)).otherwise(F.col("a") + F.col("n")).alias("offset"))
+    found = navigate.completions(parsed(docs), offsets.where("offset > 0"))
+    return found.where("not (doc_id like 'frontmatter_keys/%' and label not like 't%')").select("doc_id", "label", F.col("insert").alias("insert_text"))
+
+
+@query("folds", expected("start_line, end_line, kind", [(n, *f) for n, _, found in samples.FOLDS for f in found]))
+def folds(spark, d):
+    return navigate.folding_ranges(parsed(sampled(spark, d, [r[:2] for r in samples.FOLDS])))
+
+
+@query("symbol_samples", expected("kind, symbol, ord, parent_ord", [(n, *f) for n, _, found in samples.SYMBOLS for f in found]))
+def symbol_samples(spark, d):
+    return navigate.document_symbols(parsed(sampled(spark, d, [r[:2] for r in samples.SYMBOLS]))).select("doc_id", "kind", F.col("name").alias("symbol"), "ord", "parent_ord")
+
+
+_WIDE = "CASE WHEN (name, line, start) IN (('table', 2, 6), ('links', 0, 7), ('directives', 4, 2)) THEN length - 8 + length(n_name) ELSE length END"
+_MOVED = "CASE WHEN (name, line) IN (('footnotes', 0)) OR (name, line, start) = ('links', 0, 24) THEN start - 8 + length(n_name) ELSE start END"
+
+
+@query("token_samples", f"SELECT name || '/' || n_nationkey AS doc_id, line, {_MOVED} AS start, {_WIDE} AS length, type, modifiers FROM nation, (VALUES {values([(n, *t) for n, _, found in samples.TOKENS for t in found])}) v(name, line, start, length, type, modifiers)")
+def token_samples(spark, d):
+    return navigate.semantic_tokens(sampled(spark, d, [r[:2] for r in samples.TOKENS])).drop("delta_line", "delta_start")
+
+
+@query("token_ranges", "SELECT 'r/' || n_nationkey AS doc_id, 2 AS line, 2 AS start, length(n_name) AS length, 'heading' AS type, 1 AS modifiers FROM nation")
+def token_ranges(spark, d):
+    """Only what lies behind the first ten bytes."""
+    return navigate.semantic_tokens(sampled(spark, d, [("r", "# First\n\n# @\n")]), 9).drop("delta_line", "delta_start")
+
+
+@query("action_samples", expected("title, kind, new_text", [(n, *a) for n, _, _, found in samples.ACTIONS for a in found], "title, new_text"))
+def action_samples(spark, d):
+    parts = [navigate.code_actions(sampled(spark, d, [(n, s)]).transform(parsed), only=only) for n, s, only, _ in samples.ACTIONS]
+    return reduce(DataFrame.union, parts).select("doc_id", "title", "kind", "new_text")
+
+
+@query("actions_in_range", "SELECT 'a/' || n_nationkey AS doc_id, 'Fix MD009: trailing whitespace' AS title FROM nation")
+def actions_in_range(spark, d):
+    """Two findings, one of them in the range that is asked for."""
+    p = parsed(sampled(spark, d, [("a", "@ \n\n[u]: /u\n")]))
+    ranges = p.select("doc_id", F.lit(0).alias("from_byte"), F.expr("locate('\n', source)").alias("to_byte"))
+    return navigate.code_actions(p, ranges, ("quickfix",)).select("doc_id", "title")
+
+
+@query("utf16_positions", "SELECT n_nationkey AS doc_id, v.line, v.character, CASE v.line WHEN 0 THEN v.off ELSE v.off + 7 + length(n_name) END AS \"offset\" FROM nation, (VALUES (0, 0, 0), (0, 1, 1), (0, 2, 2), (0, 3, 2), (0, 4, 6), (1, 0, 0), (1, 1, 1), (1, 2, 3), (1, 9, 3)) v(line, character, off)")
+def utf16_positions(spark, d):
+    """Positions before, inside and after a pair, and past a line's end."""
+    docs = corpora.table(spark, d, "nation").select(F.col("n_nationkey").alias("doc_id"), F.concat(F.lit("ab\U0001f600"), "n_name", F.lit("\nzé\n")).alias("source"))
+    at = docs.select("doc_id", F.explode(F.array(*(F.struct(F.lit(a).alias("line"), F.lit(b).alias("character")) for a, b in ((0, 0), (0, 1), (0, 2), (0, 3), (0, 4), (1, 0), (1, 1), (1, 2), (1, 9))))).alias("p")).select("doc_id", "p.line", "p.character")
+    return navigate.to_offsets(docs, at)
+
+
+@query("frontmatter_values", "SELECT 'y/' || n_nationkey AS doc_id, n_name AS author, 'b' AS second_tag, '0.1' AS version, 3 AS keys FROM nation")
+def frontmatter_values(spark, d):
+    """Nested maps, lists and numbers; a document whose frontmatter isn't well formed has none."""
+    p = parsed(sampled(spark, d, [("y", "---\nauthor:\n  name: @\ntags:\n  - a\n  - b\nmdpp: 0.10\n---\nx\n"), ("bad", "---\ntitle: [@\n---\nx\n"), ("twice", "---\na: 1\na: 2\n---\n@\n")]))
+    keys = extract.frontmatter(p).groupBy("doc_id").agg(F.count("*").alias("keys"))
+    named = extract.frontmatter_value(p, "$.author.name").withColumnRenamed("value", "author")
+    tag = extract.frontmatter_value(p, "$.tags[1]").withColumnRenamed("value", "second_tag")
+    return named.join(tag, "doc_id").join(extract.format_version(p).drop("off"), "doc_id").join(keys, "doc_id")
+
+
+@query("previews", "SELECT 'p/' || n_nationkey AS doc_id, '<h1 id=\"' || lower(replace(n_name, '_', '-')) || '\" data-mdpp-source-start-byte=\"23\" data-mdpp-source-end-byte=\"' || 26 + length(n_name) || '\" data-mdpp-source-start-line=\"5\" data-mdpp-source-start-col=\"1\" data-mdpp-source-end-line=\"6\" data-mdpp-source-end-col=\"1\">' || n_name || '</h1>' || chr(10) AS html, '{\"mdpp\":0.1,\"x\":\"y\"}' AS frontmatter, '0.1' AS version, lower(replace(n_name, '_', '-')) AS first_id FROM nation")
+def previews(spark, d):
+    found = convert.previewed(sampled(spark, d, [("p", "---\nx: y\nmdpp: 0.1\n---\n# @\n")]))
+    return found.select("doc_id", "html", "frontmatter", "version", F.col("toc")[0]["id"].alias("first_id"))
+
+
+@query("pages_to_print", "SELECT 'p/' || n_nationkey AS doc_id, '<style>' || 'body' AS opening, '</style></head><body><p>' || n_name || '</p>' || chr(10) || '</body></html>' AS ending, '{\"paperWidth\":8.27,\"paperHeight\":11.69,\"marginTop\":1.0,\"marginRight\":0.0,\"marginBottom\":0.0,\"marginLeft\":0.0,\"printBackground\":true,\"displayHeaderFooter\":true,\"headerTemplate\":\"\",\"footerTemplate\":\"<b>x</b>\"}' AS settings FROM nation")
+def pages_to_print(spark, d):
+    page = convert.Page(paper="a4", margins=(1.0, 0.0, 0.0, 0.0), footer="<b>x</b>", background=True)
+    found = convert.printable(sampled(spark, d, [("p", "@\n")]), css="p{}", page=page)
+    return found.select("doc_id", F.regexp_extract("page", "(<style>body)", 1).alias("opening"), F.regexp_replace(F.regexp_extract("page", r"(?s)(p\{\}</style>.*)", 1), r"^p\{\}", "").alias("ending"), "settings")
+
+
+@query("rpc_events", "SELECT 'doc' || o_custkey AS uri, count(*) AS version, string_agg(o_orderkey, ',' ORDER BY o_orderkey) || '.' AS source FROM orders GROUP BY 1")
+def rpc_events(spark, d):
+    """Each customer's document is opened and its orders are appended, as notifications of an editor."""
+    o = corpora.table(spark, d, "orders")
+    uri = F.concat(F.lit("doc"), F.col("o_custkey"))
+    one = lambda method, doc, more: F.to_json(F.struct(F.lit("2.0").alias("jsonrpc"), F.lit(f"textDocument/{method}").alias("method"), F.struct(doc.alias("textDocument"), *more).alias("params")))
+    opened = o.select(uri.alias("uri")).distinct().select(F.lit(-1).cast("long").alias("seq"), one("didOpen", F.struct("uri", F.lit(0).alias("version"), F.lit(".").alias("text")), []).alias("message"))
+    nth = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    # the place before the last character: whatever lies past a line's end is the line's end
+    far = F.struct(F.lit(0).alias("line"), F.col("at").alias("character"))
+    grown = o.withColumns({"n": nth, "text": F.concat(F.when(nth > 1, ",").otherwise(""), F.col("o_orderkey").cast("string"))})
+    grown = grown.withColumn("at", F.coalesce(F.sum(F.length("text")).over(Window.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))
+    change = F.array(F.struct(F.struct(far.alias("start"), far.alias("end")).alias("range"), F.col("text")))
+    changes = grown.select(F.col("o_orderkey").cast("long").alias("seq"), one("didChange", F.struct(uri.alias("uri"), F.col("n").alias("version")), [change.alias("contentChanges")]).alias("message"))
+    return edits.latest(files.edit_events(opened.union(changes))).select("uri", "version", "source")
+
+
+@query("markdown_files", f"WITH {OUTLINE} SELECT level, text, slug FROM h")
+def markdown_files(spark, d):
+    """Documents written as files, one each, and read back."""
+    path = f"{shared_dir(spark)}/markdown-{uuid.uuid4().hex}"
+    files.write_text(corpora.outline(spark, d).repartition("doc_id"), "source", path)
+    return extract.headings(parsed(files.read_markdown(spark, path))).select("level", "text", "slug")

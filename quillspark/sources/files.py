@@ -42,6 +42,22 @@ def framed(payload: dict) -> bytes:
     return b"Content-Length: %d\r\n\r\n" % len(body) + body
 
 
+# Error codes.
+PARSE_ERROR, INVALID_REQUEST, METHOD_NOT_FOUND, INVALID_PARAMS, INTERNAL_ERROR = -32700, -32600, -32601, -32602, -32603
+
+
+def response(request_id: int | str | None, result: object) -> dict:
+    return {"jsonrpc": "2.0", "id": request_id, "result": result}
+
+
+def error_response(request_id: int | str | None, code: int, message: str) -> dict:
+    return {"jsonrpc": "2.0", "id": request_id, "error": {"code": code, "message": message}}
+
+
+def notification(method: str, params: object) -> dict:
+    return {"jsonrpc": "2.0", "method": method, "params": params}
+
+
 def messages(data: bytes) -> Iterator[dict]:
     """Framed messages of a byte stream; header names in any case. A body that isn't there in full ends the walk."""
     at = 0
@@ -55,11 +71,12 @@ def messages(data: bytes) -> Iterator[dict]:
 
 
 def edit_events(batch: DataFrame, column: str = "message") -> DataFrame:
-    """Edit events from a column of JSON-RPC notifications."""
+    """Edit events from a column of JSON-RPC notifications(seq, message). seq of an event is the message's in the upper
+    half and the change's in the lower one, so changes stay in order however many a message has."""
     schema = "method string, params struct<textDocument: struct<uri: string, version: int, text: string>, text: string, contentChanges: array<struct<range: struct<start: struct<line: int, character: int>, `end`: struct<line: int, character: int>>, text: string>>>"
     m = batch.select("seq", F.from_json(column, schema).alias("m"))
     kind = F.regexp_extract("m.method", r"^textDocument/did(Open|Change|Save|Close)$", 1)
     doc = F.col("m.params.textDocument")
     rows = m.where(kind != "").select("seq", F.lower(kind).alias("kind"), doc["uri"].alias("uri"), doc["version"].alias("version"), F.coalesce(doc["text"], F.col("m.params.text")).alias("whole"), F.posexplode_outer("m.params.contentChanges").alias("k", "c"))
     r = lambda p, f: F.col(f"c.range.{p}.{f}")
-    return rows.select("uri", "version", (F.col("seq") * 1000 + F.coalesce("k", F.lit(0))).alias("seq"), "kind", r("start", "line").alias("start_line"), r("start", "character").alias("start_char"), r("end", "line").alias("end_line"), r("end", "character").alias("end_char"), F.coalesce("c.text", "whole").alias("text"))
+    return rows.select("uri", "version", (F.shiftleft(F.col("seq").cast("long"), 32) + F.coalesce("k", F.lit(0))).alias("seq"), "kind", r("start", "line").alias("start_line"), r("start", "character").alias("start_char"), r("end", "line").alias("end_line"), r("end", "character").alias("end_char"), F.coalesce("c.text", "whole").alias("text"))

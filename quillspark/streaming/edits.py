@@ -105,15 +105,40 @@ def replayed(events: DataFrame) -> DataFrame:
     return events.groupBy("uri").applyInArrow(run, RESULTS)
 
 
+def latest(events: DataFrame) -> DataFrame:
+    """uri, version, seq, kind, source, error: each document after its last event alone, so that the output is as large as the
+    documents and not as all their versions."""
+
+    def run(events_of_one: pa.Table) -> pa.Table:
+        rows = sorted(events_of_one.to_pylist(), key=lambda r: r["seq"])
+        held: tuple[int, str] | None = None
+        error = None
+        for r in rows:
+            held, error = advance(held, r)
+        last = rows[-1]
+        row = {"uri": last["uri"], "version": held[0] if held else last["version"], "seq": last["seq"], "kind": last["kind"], "source": held[1] if held else None, "error": error}
+        return pa.Table.from_pylist([row], schema=_ARROW)
+
+    return events.groupBy("uri").applyInArrow(run, RESULTS)
+
+
+# Severities as they are sent.
+SEVERITY_NUMBER = {"error": 1, "warning": 2, "info": 3, "hint": 4}
+
+
 def published(batch: DataFrame, least: str = "hint") -> DataFrame:
-    """Findings of each document's last state in a micro-batch, for foreachBatch; a closed document has none."""
+    """Findings of each document's last state in a micro-batch, for foreachBatch, with severity_number 1 to 4. A document
+    without findings, or a closed one, has one row without a code, so that what was shown before is cleared."""
     from pyspark.sql import Window
     from pyspark.sql import functions as F
 
     from quillspark.operators.lint import lint, with_parse_diagnostics
     from quillspark.plans.nodes import parsed
+    from quillspark.plans.store import kept
 
     last = F.row_number().over(Window.partitionBy("uri").orderBy(F.desc("seq")))
-    now = batch.withColumn("rn", last).where("rn = 1 and source is not null").select(F.col("uri").alias("doc_id"), "source")
-    p = parsed(now)
-    return with_parse_diagnostics(p, lint(p, least=least))
+    now = kept(batch.withColumn("rn", last).where("rn = 1").select(F.col("uri").alias("doc_id"), "source", "version"), "states")
+    p = kept(parsed(now.where("source is not null")), "parsed")
+    number = F.create_map(*(F.lit(x) for pair in SEVERITY_NUMBER.items() for x in pair))
+    found = with_parse_diagnostics(p, lint(p, least=least), least=least).withColumn("severity_number", number[F.col("severity")])
+    return now.select("doc_id", "version").join(found, "doc_id", "left")
