@@ -45,9 +45,9 @@ _BRACKETS = re.compile(r"!?\[([^\]\n]+)\](?![:(\[])")
 _PAIRED = re.compile(r"\[([^\[\]\n]+)\]\[([^\[\]\n]*)\]")
 _DEEP = re.compile(r"^((?:  )*)[-*+] ")
 _PATTERNS = (
-    ("MathInline", re.compile(r"\$([^$\n]+?)\$")),
-    ("Superscript", re.compile(r"\^([^^\s]+?)\^", re.ASCII)),
-    ("Emoji", re.compile(r":([a-z0-9_+-]+):")),
+    ("MathInline", "$", re.compile(r"\$([^$\n]+?)\$")),
+    ("Superscript", "^", re.compile(r"\^([^^\s]+?)\^", re.ASCII)),
+    ("Emoji", ":", re.compile(r":([a-z0-9_+-]+):")),
 )
 
 
@@ -398,8 +398,8 @@ class Parser:
         quote_headings(root)
         self._footnotes(root)
         self._math_blocks(root)
-        for kind, pattern in _PATTERNS:
-            for n in list(root.walk()):
+        for kind, mark, pattern in _PATTERNS:
+            for n in list(root.walk()) if mark in self.source else ():
                 if n.children and n.type != "Link" or kind == "Emoji":
                     n.children = [x for c in n.children for x in (self._split(c, kind, pattern) if c.type == "Text" else [c])]
         self._resolve(root)

@@ -16,9 +16,11 @@ class Node:
     end: int = -1
 
     def walk(self):
-        yield self
-        for c in self.children:
-            yield from c.walk()
+        stack = [self]
+        while stack:
+            n = stack.pop()
+            yield n
+            stack.extend(reversed(n.children))
 
     def text(self) -> str:
         return "".join(n.literal for n in self.walk() if n.type in ("Text", "CodeSpan"))

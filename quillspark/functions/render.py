@@ -151,7 +151,7 @@ class Renderer:
     def titled(self, text: str) -> str:
         """A title's inline text: HTML is escaped and lines don't break hard."""
         root = Node("Document", parse_inline(text, -1))
-        Parser("").finish(root)
+        Parser(text).finish(root)
         return Renderer(replace(self.o, unsafe_html=False, hard_wraps=False, source_positions=False), "").inside(root)
 
     def _Admonition(self, n: Node) -> str:

@@ -75,6 +75,25 @@ def test_messages_and_events(spark):
     assert list(files.messages(data)) == sent and len(list(files.messages(data[:-3]))) == 1
     events = files.edit_events(spark.createDataFrame([(i, json.dumps(m)) for i, m in enumerate(sent)], "seq long, message string"))
     assert [r.source for r in edits.replayed(events).orderBy("seq").collect()] == ["q", "whole"]
+    assert [(r.version, r.source) for r in edits.latest(events).collect()] == [(2, "whole")]
+    many = {"method": "textDocument/didChange", "params": {"textDocument": {"uri": "a", "version": 2}, "contentChanges": [{"text": str(i)} for i in range(1500)]}}
+    rows = [(0, json.dumps(sent[0])), (1, json.dumps(many)), (2, json.dumps(sent[1]))]
+    assert edits.latest(files.edit_events(spark.createDataFrame(rows, "seq long, message string"))).first().source == "whole"
+    assert files.error_response(3, files.METHOD_NOT_FOUND, "no")["error"]["code"] == -32601 and files.response(3, {})["id"] == 3
+
+
+def test_published_findings_and_closed_documents(spark):
+    rows = [("a", 1, 1, "open", "x", None), ("a", 2, 2, "change", "go https://a.b\n", None), ("b", 1, 3, "open", "fine\n", None), ("c", 1, 4, "close", None, None)]
+    found = {(r.doc_id, r.code): r.severity_number for r in edits.published(spark.createDataFrame(rows, edits.RESULTS)).collect()}
+    assert found == {("a", "MD034"): 3, ("b", None): None, ("c", None): None}
+
+
+def test_lint_of_a_long_line_and_rules_of_ones_own(spark):
+    p = parsed(spark.createDataFrame([(1, "a" * 100_000), (2, "<!-- mdpp-disable OWN -->\n# A\n"), (3, "# B\n")], "doc_id long, source string"))
+    own = lambda c: lint.at_node(lint.of_type(c.nodes, "Heading"), "OWN", lint.F.lit("a heading")).drop("off", "related")
+    found = lint.lint(p, ["MD034", "MD009"], extra=[own])
+    assert [(r.doc_id, r.code, r.severity) for r in found.collect()] == [(3, "OWN", "warning")]
+    assert lint.rules(spark).count() == len(lint.RULES) == 23
 
 
 def test_files_in_and_out(spark, tmp_path):
@@ -102,7 +121,9 @@ def normal(rows):
     return sorted(repr([None if v is None or v != v else f"{v:.9g}" if isinstance(v, float) else str(v) for v in r]) for r in rows)
 
 
-NAMES = ["headings", "toc_tree", "word_counts", "table_cells", "link_resolution", "footnotes", "container_attributes", "embeds", "diagrams", "slugs", "line_table", "lint_unused_definition", "lint_heading_skip", "html_table", "formatted", "format_diffs", "semantic_tokens", "edits_replayed", "code_actions"]
+NAMES = ["headings", "toc_tree", "word_counts", "table_cells", "link_resolution", "footnotes", "container_attributes", "embeds", "diagrams", "slugs", "line_table", "lint_unused_definition", "lint_heading_skip", "html_table", "formatted", "format_diffs", "semantic_tokens", "edits_replayed", "code_actions", "tree_json", "definitions_at", "html_samples", "html_options", "format_samples", "format_samples_stable",
+    "lint_samples", "lint_json_reports", "lint_filters", "parse_diagnostics", "hover_cards", "definition_places", "reference_places", "renamed", "rename_prepared", "completions", "folds", "symbol_samples", "token_samples", "token_ranges",
+    "action_samples", "actions_in_range", "utf16_positions", "frontmatter_values", "previews", "pages_to_print", "rpc_events", "markdown_files"]
 
 
 @pytest.mark.parametrize("name", NAMES)

@@ -4,10 +4,12 @@ import random
 
 import pytest
 
-from quillspark.functions.blocks import parse
+from quillspark.functions import frontmatter
+from quillspark.functions.blocks import parse, read
 from quillspark.functions.fmt import format_source
 from quillspark.functions.latex import latex
 from quillspark.functions.render import Options, render, utf8
+from quillspark.functions.tokens import encoded, tokens
 from quillspark.plans.nodes import Places, flat
 
 
@@ -75,6 +77,53 @@ def test_containers():
     assert parse("```\n:::note\n```\n")[0].children[0].type == "CodeBlock"
 
 
+@pytest.mark.parametrize(("text", "want"), [
+    ("title: x\nmdpp: 0.10", {"title": "x", "mdpp": 0.1}), ("tags:\n  - go\n  - b: 1\n    c: 2", {"tags": ["go", {"b": 1, "c": 2}]}), ("a:\n  b: c", {"a": {"b": "c"}}), ("t: [a, 'b c', {d: e}] # no", {"t": ["a", "b c", {"d": "e"}]}),
+    ("a: |\n  x\n  y\nb: >-\n  p\n  q", {"a": "x\ny\n", "b": "p q"}), ("u: http://x.y/z", {"u": "http://x.y/z"}), ("n: -3\nf: 1e3\nt: true\nz: ~\ns: '1'\nh: 0x1F", {"n": -3, "f": 1000.0, "t": True, "z": None, "s": "1", "h": 31}), ("# only", None), ("", None),
+])
+def test_frontmatter(text, want):
+    assert frontmatter.load(text) == want
+
+
+@pytest.mark.parametrize("text", [": garbage :: invalid", "title: [a", "just text", "a: 1\na: 2", "a:\n\tb: c", "a: b: c", 'a: "b', "a: *x", "- a\n- b", "a: 1\n  b: 2"])
+def test_refused_frontmatter(text):
+    with pytest.raises(frontmatter.Malformed):
+        frontmatter.load(text)
+    assert not any(n.type == "Frontmatter" for n in parse(f"---\n{text}\n---\nbody\n")[0].walk())
+
+
+def test_emoji_names_and_aliases():
+    assert html(":joy: :heart_eyes: :sob: :thumbs_up: :flag-de: :squirrel:\n") == "<p>😂 😍 😭 👍 🇩🇪 🐿️</p>\n"
+    assert render(*parse(":own:\n", {"own": "O"})[:2]) == "<p>O</p>\n"
+
+
+def test_whole_document_forms():
+    quoted = parse("> a\n> > b\n")[0]
+    assert quoted.children[0].type == "Blockquote" and all(n.start < 0 for n in quoted.children[0].walk() if n is not quoted.children[0])
+    assert parse("- a\n      - b\n          - c\n            - d\n")[2][0][0] == "MDPP-PARSE-000"
+    deep = parse("".join("  " * i + f"- l{i}\n" for i in range(8)))[0]
+    assert sum(n.type == "List" for n in deep.walk()) == 8
+
+
+def test_long_paragraphs_take_linear_time():
+    import time
+
+    took = []
+    for n in (4_000, 16_000):
+        src = "\n".join(f"line {i} of *some* text" for i in range(n))
+        began = time.process_time()
+        root = parse(src)[0]
+        took.append(time.process_time() - began)
+        assert root.children[0].end == len(src) + 1
+    assert took[1] < 8 * took[0] + 0.5
+
+
+def test_tokens_encode_as_five_numbers():
+    found = tokens(read("# é😀\n\n*a* `b`\n"))
+    assert encoded(found) == [0, 2, 3, 5, 1, 2, 0, 3, 15, 8192, 0, 4, 3, 1, 64]
+    assert tokens(read("# A\n\n# B\n"), 4) == [(2, 2, 1, "heading", 1)]
+
+
 def test_toc_nests_by_level():
     assert html("[[TOC]]\n\n## A\n\n#### B\n\n## C\n").split("</nav>")[0].count("<ul>") == 2
 
