@@ -12,7 +12,7 @@ from bisect import bisect_left, bisect_right
 from typing import NamedTuple
 
 from quillspark.functions import frontmatter
-from quillspark.functions.inline import Node, merged, normal_label, parse_inline, text_node
+from quillspark.functions.inline import Node, merged, normal_label, parse_in_chunks, parse_inline, text_node
 from quillspark.functions.vocabulary import ADMONITIONS, DIAGRAMS, EMOJI, PROVIDERS
 
 
@@ -79,8 +79,9 @@ def lines_of(src: str, at: int = 0) -> list[Line]:
 
 
 class Parser:
-    def __init__(self, source: str, emoji: dict[str, str] | None = None) -> None:
+    def __init__(self, source: str, emoji: dict[str, str] | None = None, chunked: bool = False) -> None:
         self.source = source
+        self.inline = parse_in_chunks if chunked else parse_inline
         self.emoji = EMOJI if emoji is None else emoji
         self.links: dict[str, dict[str, str]] = {}
         #: Where the definition of each label stands that holds.
@@ -128,7 +129,7 @@ class Parser:
                 return None
         if not any(x.text.strip() for x in lines):
             return None
-        within = Parser(lowered("\n".join(inner) + "\n"), self.emoji)
+        within = Parser(lowered("\n".join(inner) + "\n"), self.emoji, self.inline is parse_in_chunks)
         quote = Node("Blockquote", within.document().children, start=0, end=len(self.source))
         self.diagnostics += within.diagnostics
         for n in quote.walk():
@@ -383,7 +384,7 @@ class Parser:
             lead = len(line.text) - len(line.text.lstrip(" \t"))
             nodes.append((line.at + lead, line.text[lead:] + ("\n" if k < j - i - 1 else "")))
         text = "".join(t for _, t in nodes).rstrip(" \t") if nodes else ""
-        inline = parse_inline(text, nodes[0][0])
+        inline = self.inline(text, nodes[0][0])
         shift(inline, nodes)
         out.append(Node("Paragraph", inline, start=lines[i].at, end=lines[j - 1].end))
         return j
@@ -660,13 +661,14 @@ class Parsed(NamedTuple):
     pairs: list[tuple[str, str, int, int]]  # label and text of each resolved [text][label], and where it stands
 
 
-def read(source: str, emoji: dict[str, str] | None = None) -> Parsed:
-    """Tree, lowered source, diagnostics, frontmatter, link definitions and their uses of a document. Never raises: a failure is one Text node
+def read(source: str, emoji: dict[str, str] | None = None, chunked: bool = False) -> Parsed:
+    """Tree, lowered source, diagnostics, frontmatter, link definitions and their uses of a document;
+    `chunked`: the text of long paragraphs is parsed in chunks. Never raises: a failure is one Text node
     and MDPP-PARSE-000."""
     text = source.encode("utf-8", "surrogatepass").decode("latin-1")
     try:
         low = lowered(text)
-        p = Parser(low, emoji)
+        p = Parser(low, emoji, chunked)
         root = p.document()
         links = [(label, link["href"], link.get("title", ""), *p.defined[label]) for label, link in p.links.items()]
         uses = [(label, m.start(), m.end()) for m in _BRACKETS.finditer(low) if (label := normal_label(m[1])) in p.links] if p.links else []

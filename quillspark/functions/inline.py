@@ -54,6 +54,38 @@ def normal_label(s: str) -> str:
     return " ".join(s.strip("[]").split())
 
 
+#: Bytes of a chunk, where texts are parsed in chunks.
+CHUNK = 320
+
+
+def _balanced(text: str) -> bool:
+    own = re.sub(r"\\.", "", text, flags=re.DOTALL)
+    return own.count("`") % 2 == 0 and own.count("[") == own.count("]") and own.count("(") == own.count(")")
+
+
+def chunks(text: str, most: int = CHUNK) -> list[str]:
+    """The text cut at blanks into pieces of at most `most` bytes that leave no code, bracket or parenthesis open: in the back
+    half of each, after punctuation if there is such a blank. Uncut where a piece has no such place."""
+    out, start = [], 0
+    while len(text) - start > most:
+        blanks = [i for i in range(start + most, start + most // 2, -1) if text[i - 1] == " " and _balanced(text[start:i])]
+        cut = next((i for i in blanks if text[start:i].rstrip(" \t")[-1:] in (".", "!", "?", ";", ":", ",")), blanks[0] if blanks else None)
+        if cut is None:
+            return [text]
+        out.append(text[start:cut])
+        start = cut
+    return [*out, text[start:]] if start < len(text) else out or [text]
+
+
+def parse_in_chunks(text: str, at: int) -> list[Node]:
+    """parse_inline of each chunk by itself: what opens in one chunk and closes in another stays text."""
+    out: list[Node] = []
+    for piece in chunks(text):
+        out += parse_inline(piece, at)
+        at += len(piece) if at >= 0 else 0
+    return merged(out)
+
+
 def parse_inline(text: str, at: int) -> list[Node]:
     """Inline nodes of `text`, which stands at byte `at` of the source (-1: nowhere)."""
     out: list[Node] = []

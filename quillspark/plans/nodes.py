@@ -80,7 +80,7 @@ def flat(root: Node, places: Places) -> list[dict]:
     return out
 
 
-def parsed(docs: DataFrame, emoji: dict[str, str] | None = None) -> DataFrame:
+def parsed(docs: DataFrame, emoji: dict[str, str] | None = None, chunked: bool = False) -> DataFrame:
     """doc_id, source (as lowered), starts (of its lines, in bytes), nodes, diagnostics, off (what comments and
     frontmatter suppress: code or *, after which line, until which or null), frontmatter (JSON, null without one),
     version, links (the definition of each label), uses (of those labels in brackets) and pairs (resolved [text][label]
@@ -96,7 +96,7 @@ def parsed(docs: DataFrame, emoji: dict[str, str] | None = None) -> DataFrame:
                 batch = whole.slice(k, 256)
                 out: tuple[list, ...] = tuple([] for _ in range(10))
                 for text in batch.column(1).to_pylist():
-                    root, low, diagnostics, front, links, uses, pairs = read(text or "", emoji)
+                    root, low, diagnostics, front, links, uses, pairs = read(text or "", emoji, chunked)
                     places = Places(low)
                     own = (
                         utf8(low), places.starts, flat(root, places), [{"code": c, "severity": s, "message": m, "range": places.range(a, b)} for c, s, m, a, b in diagnostics],

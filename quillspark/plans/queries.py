@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.columns import attr, class_token, direct_media, escape_html, fence_language, slugify, words
 from quillspark.functions.vocabulary import CONTAINERS
-from quillspark.operators import convert, extract, lint, navigate
+from quillspark.operators import convert, extract, lint, navigate, server
 from quillspark.plans import corpora, samples
 from quillspark.plans.nodes import nodes, parsed
 from quillspark.plans.store import shared_dir
@@ -589,3 +589,42 @@ def markdown_files(spark, d):
     path = f"{shared_dir(spark)}/markdown-{uuid.uuid4().hex}"
     files.write_text(corpora.outline(spark, d).repartition("doc_id"), "source", path)
     return extract.headings(parsed(files.read_markdown(spark, path))).select("level", "text", "slug")
+
+
+_HEADING_RANGE = '{"start":{"line":0,"character":0},"end":{"line":1,"character":0}}'
+
+
+@query("server_responses", f"""SELECT n_nationkey * 10 + v.k AS seq, '{{"jsonrpc":"2.0","id":' || v.k || replace(v.r, '@', n_name) || '}}' AS response FROM nation, (VALUES
+(0, ',"result":{{"contents":{{"kind":"markdown","value":"**Link**\\n\\n`http://x.y/@`"}}}}'), (1, ',"result":[{{"uri":"doc@","range":{_HEADING_RANGE}}}]'),
+(2, ',"result":[{{"startLine":0,"endLine":4,"kind":"region"}}]'), (3, ',"error":{{"code":-32601,"message":"method not found"}}'), (4, ',"error":{{"code":-32602,"message":"document is not open"}}'), (5, ',"result":null'),
+(6, ',"result":{{"data":[0,2,3,5,1,2,0,9,6,576,0,10,' || 16 + length(n_name) || ',6,576]}}')) v(k, r)""")
+def server_responses(spark, d):
+    """Requests about a document a nation: a card, a definition, folds, an unknown method, a closed document, nothing to say, tokens."""
+    docs = sampled(spark, d, [("doc", "# Top\n\n[t](#top) [l](http://x.y/@)\n\nend\n")]).join(corpora.table(spark, d, "nation"), F.col("doc_id") == F.concat(F.lit("doc/"), F.col("n_nationkey")))
+    docs = docs.select("n_nationkey", F.concat(F.lit("doc"), "n_name").alias("doc_id"), "source")
+    calls = (("textDocument/hover", 2, 15, ""), ("textDocument/definition", 2, 5, ""), ("textDocument/foldingRange", 0, 0, ""), ("textDocument/nothing", 0, 0, ""), ("textDocument/hover", 0, 0, "closed"), ("textDocument/hover", 4, 1, ""), ("textDocument/semanticTokens/full", 0, 0, ""))
+    call = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(m).alias("method"), F.lit(a).alias("line"), F.lit(b).alias("character"), F.lit(c).alias("other")) for k, (m, a, b, c) in enumerate(calls))))
+    rows = docs.select("n_nationkey", "doc_id", call.alias("c"))
+    uri = F.concat(F.col("doc_id"), F.col("c.other"))
+    message = F.to_json(F.struct(F.lit("2.0").alias("jsonrpc"), F.col("c.k").alias("id"), F.col("c.method").alias("method"), F.struct(F.struct(uri.alias("uri")).alias("textDocument"), F.struct("c.line", "c.character").alias("position")).alias("params")))
+    batch = rows.select((F.col("n_nationkey") * 10 + F.col("c.k")).alias("seq"), message.alias("message"))
+    return server.answered(server.requests(batch), docs.select("doc_id", "source"))
+
+
+@query("html_highlighted", "SELECT 'c/' || n_nationkey AS doc_id, '<pre><code class=\"language-python\"><span class=\"hl-keyword\">def</span> <span class=\"hl-function\">f</span><span class=\"hl-punctuation\">(</span>x<span class=\"hl-punctuation\">)</span><span class=\"hl-punctuation\">:</span>  <span class=\"hl-comment\"># ' || n_name || '</span>' || chr(10) || '    <span class=\"hl-keyword\">return</span> x <span class=\"hl-operator\">+</span> <span class=\"hl-number\">1</span> <span class=\"hl-operator\">&lt;</span> <span class=\"hl-string\">&#34;a&#34;</span>' || chr(10) || '</code></pre>' || chr(10) AS html FROM nation UNION ALL SELECT 'n/' || n_nationkey, '<pre><code class=\"language-unknown\">if ' || n_name || chr(10) || '</code></pre>' || chr(10) FROM nation")
+def html_highlighted(spark, d):
+    from quillspark.functions.highlight import highlight
+    from quillspark.functions.render import Options
+
+    return convert.html(sampled(spark, d, [("c", "```python\ndef f(x):  # @\n    return x + 1 < \"a\"\n```\n"), ("n", "```unknown\nif @\n```\n")]), Options(highlight=highlight))
+
+
+@query("chunked_paragraphs", "SELECT 'long/' || n_nationkey AS doc_id, 2 AS stars, 0 AS emphases FROM nation UNION ALL SELECT 'short/' || n_nationkey, 0, 1 FROM nation")
+def chunked_paragraphs(spark, d):
+    """Emphasis over a chunk's end stays text; inside a chunk it doesn't."""
+    filler = "word, " * 60
+    p = parsed(sampled(spark, d, [("long", f"*{filler}@*\n"), ("short", "*@*\n")]), chunked=True)
+    stars = F.length("t") - F.length(F.replace("t", F.lit("*"), F.lit("")))
+    text = extract.text_of(p, "Paragraph").select("doc_id", F.col("text").alias("t")).select("doc_id", stars.alias("stars"))
+    count = p.select("doc_id", F.size(F.filter("nodes", lambda n: n["type"] == "Emphasis")).alias("emphases"))
+    return text.join(count, "doc_id")
