@@ -29,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import BY_SPACE, checkpointed, column, components, grams, hash_words, in_batches, keyed_join, mix, slices, table, text_buffer, texts_of, written
+from quillspark.llm.shared import BY_SPACE, checkpointed, column, components, freed, grams, hash_words, in_batches, keyed_join, mix, slices, table, text_buffer, texts_of, written
 
 TREES, DEPTH, SHALLOW = 32, 8, 4
 #: Rows of a region that a walk holds before it keeps leaders alone.
 HELD = 512
 #: Rows of one side in a task that confirms.
-BLOCK = 512
+BLOCK = 128
 #: Rows of an order that one task walks when leaders are handed on.
 STRETCH = 65_536
 #: Share of places in which a row agrees with its leader, and how far it can be from it but for five deviations.
@@ -380,16 +380,26 @@ def near_groups(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
     shared = checkpointed(keyed_join(starts, sizes, "near", "n", TREES * n).select("class", "tree", "near"))
     wanted = checkpointed(classes.join(shared.select("class").distinct(), "class").select("class", "row.doc_id", "row.text_hash"))
     members = written(members_of(docs, wanted, k), "near-members")
+    freed(docs.sparkSession)
     label = F.expr(f"substring(labels, tree * {_LABEL} + 1, {_LABEL})")
     order = shared.join(members.select("class", "labels", "sig"), "class").select("near", label.alias("label"), "class", "sig")
     links = checkpointed(candidate_links(order, percent))
 
     first = checkpointed(best_links(links, members, percent))
+    freed(docs.sparkSession)
     parts = checkpointed(components(first))
-    clusters = components(links).select(F.col("id").alias("class"), F.col("component").alias("cluster"))
-    parted = clusters.join(parts.select(F.col("id").alias("class"), F.col("component").alias("part")), "class", "left")
-    parted = checkpointed(parted.select("class", "cluster", F.coalesce("part", "class").alias("part")))
-    more = checkpointed(other_links(parted, members, percent))
+    # links between parts: a cluster is what they tie together
+    part_of = lambda end: parts.select(F.col("id").alias(end), F.col("component").alias(f"part_{end}"))
+    across = links.join(part_of("a"), "a", "left").join(part_of("b"), "b", "left").select(F.coalesce("part_a", "a").alias("a"), F.coalesce("part_b", "b").alias("b"))
+    across = checkpointed(across.where("a <> b").distinct())
+    more = first.limit(0)
+    if not across.isEmpty():
+        clusters = checkpointed(components(across).select(F.col("id").alias("part"), F.col("component").alias("cluster")))
+        sizes = parts.groupBy(F.col("component").alias("part")).agg(F.count("*").alias("n"))
+        inside = keyed_join(parts.select(F.col("component").alias("part"), F.col("id").alias("class")), checkpointed(clusters.join(sizes, "part")), "part", "n", parts.count())
+        lone = clusters.join(sizes, "part", "left_anti").withColumn("class", F.col("part"))
+        parted = checkpointed(inside.select("cluster", "part", "class").union(lone.select("cluster", "part", "class")))
+        more = other_links(parted, members, percent)
 
     # rows that share an id tie their classes
     repeated = base.where("doc_id is not null and class is not null").groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("z")).where("a <> z")

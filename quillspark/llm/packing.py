@@ -80,5 +80,18 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
-ORACLE_SQL: dict[str, str] = {}
-QUERIES = {"op8_packing": op8_packing}
+def packing_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op8_packing: every document is there, its pieces are all of it, and every sequence but the last
+    is full without gaps."""
+    pieces = op8_packing(spark, sf_dir)
+    docs = pieces.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("all"), F.count(F.when(F.col("start") == 0, 1)).alias("first"))
+    docs = docs.agg(F.count("*").alias("documents"), F.count(F.when((F.col("n") != F.col("all")) | (F.col("first") != 1), 1)).alias("incomplete"))
+    by = Window.partitionBy("sequence_id").orderBy("offset")
+    follows = pieces.withColumn("end", F.coalesce(F.lag(F.col("offset") + F.col("length")).over(by), F.lit(0)))
+    per = follows.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count(F.when(F.col("end") != F.col("offset"), 1)).alias("gaps"))
+    full = per.agg(F.sum("gaps").alias("gaps"), F.count(F.when(F.col("n") < WINDOW, 1)).alias("short"), F.count(F.when(F.col("n") > WINDOW, 1)).alias("long"))
+    return docs.crossJoin(full).select("documents", "incomplete", "gaps", (F.col("short") > 1).alias("padded"), F.col("long").alias("overfull"))
+
+
+ORACLE_SQL: dict[str, str] = {"packing_invariants": "SELECT count(*) AS documents, 0 AS incomplete, 0 AS gaps, false AS padded, 0 AS overfull FROM documents"}
+QUERIES = {"op8_packing": op8_packing, "packing_invariants": packing_invariants}

@@ -260,13 +260,15 @@ def keyed_join(rows: DataFrame, stats: DataFrame, key: str, n: str, total: int,
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """id and the smallest id reachable from it, for every id in edges(a, b).
 
-    Alternating large-star and small-star steps over a distributed edge table, with a checkpoint a
+    Alternating large-star and small-star steps over a distributed edge table, written anew each
     round. A hub's neighbours are rows of aggregates that combine before the shuffle, and where a node has more edges
     than keyed_join takes for common, its edges meet the aggregate by that. Ends when a round changes nothing; raises
     if that never happens.
     """
-    e = checkpointed(edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u < v").distinct())
-    mark, now = None, _state(e)
+    spark = edges.sparkSession
+    place = mark()
+    e = written(edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u < v").distinct(), "edges")
+    before, now = None, _state(e)
     for _ in range(rounds):
         n, hot = now[0], max(now[2], now[3]) > max(now[0] // HOT_KEYS, LEAST_HOT) // 2
         meet = (lambda rows, stats, key, total: keyed_join(rows, stats, key, "n", total)) if hot else (lambda rows, stats, key, total: rows.join(stats, key))
@@ -274,21 +276,32 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
         # large star: neighbours above go to the least neighbour
         large = meet(both.where("v > u"), least, "u", 2 * n).select(F.col("v").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct()
-        if hot:
-            large = checkpointed(large)
+        large = large.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u"))
+        large = written(large.distinct(), "edges") if hot else large
         # small star: neighbours below, and the node itself, go to the least below
         low = large.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n"))
         small = meet(large, low, "v", n).select(F.col("u").alias("a"), F.col("m").alias("b")).union(low.select(F.col("v").alias("a"), F.col("m").alias("b")))
-        e = checkpointed(small.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
-        mark, now = now, _state(e)
-        if now == mark and now[3] <= 1:
+        e = written(small.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "edges")
+        # the tables of the round before are read no more
+        *old, own = paths_since(place)
+        remove(spark, old)
+        del _WRITTEN[place:]
+        _WRITTEN.append(own)
+        freed(spark)
+        before, now = now, _state(e)
+        if now == before and now[3] <= 1:
             break
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return e.select(F.col("v").alias("id"), F.col("u").alias("component")).union(e.select(F.col("u").alias("id"), F.col("u").alias("component")).distinct())
 
 
+def freed(spark: SparkSession) -> None:
+    """Let the driver collect its garbage: shuffle files go when nothing refers to their shuffle any more, and many small
+    shuffles would else pile up."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def _state(e: DataFrame) -> tuple:
     """Of edges (u, v): how many, a checksum, and the most edges of a node as u and as v."""
     ends = e.select(F.inline(F.array(F.struct(F.lit(0).alias("end"), F.col("u").alias("id"), F.xxhash64("u", "v").cast("decimal(38,0)").alias("h")), F.struct(F.lit(1).alias("end"), F.col("v").alias("id"), F.lit(0).cast("decimal(38,0)").alias("h")))))

@@ -115,6 +115,45 @@ def test_lm_scores(spark, odd):
         first = scores
 
 
+def test_lm_score_end_to_end(spark):
+    """Against a plain recursion over all segmentations, with piece scores fitted by loops."""
+    r = random.Random(4)
+    some = ["the", "river", "rivers", "stone", "xq", "über", "a", "riverstone"]
+    rows = [(i, " ".join(r.choice(some) for _ in range(r.randint(0, 12)))) for i in range(30)] + [(50, None), (51, "unseen river")]
+    train = [t or "" for i, t in rows if zlib.crc32(str(i).encode()) % 10]
+    words = Counter(w for t in train for w in t.encode().split())
+    from quillspark.llm.lattice import pieces_of
+
+    path = lm_score.public_tokenizers.path(lm_score.VOCABULARY)
+    pieces, log_p = pieces_of(path)
+    number = {p: k for k, p in enumerate(pieces)}
+
+    def sums(text, p):
+        ahead = [1.0] + [0.0] * len(text)
+        for j in range(1, len(text) + 1):
+            ahead[j] = sum(ahead[i] * p[number[text[i:j]]] for i in range(j) if text[i:j] in number)
+        return ahead
+
+    p = np.exp(log_p)
+    for _ in range(lm_score.ROUNDS):
+        e = np.full(len(pieces), lm_score.SMOOTHING)
+        for w in words:
+            text = OPEN + w
+            ahead, back = sums(text, p), [0.0] * len(text) + [1.0]
+            for i in range(len(text) - 1, -1, -1):
+                back[i] = sum(p[number[text[i:j]]] * back[j] for j in range(i + 1, len(text) + 1) if text[i:j] in number)
+            for i in range(len(text)):
+                for j in range(i + 1, len(text) + 1):
+                    if text[i:j] in number:
+                        e[number[text[i:j]]] += ahead[i] * p[number[text[i:j]]] * back[j] / ahead[-1]
+        p = e / e.sum()
+    n = sum(words.values()) + len(train)
+    end = (len(train) + lm_score.SMOOTHING) / (n + 2 * lm_score.SMOOTHING)
+    want = {i: math.log10(end) + sum(math.log10((1 - end) * sums(OPEN + w, p)[-1]) for w in (t or "").encode().split()) for i, t in rows}
+    found = lm_score.scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), hot=4).collect()
+    assert {x.doc_id: round(x.score, 6) for x in found} == {i: round(v, 6) for i, v in want.items()}
+
+
 def test_lm_odd_tables(docs, no_docs, odd):
     assert lm_score.scores(docs).count() == len(odd) + 1
     assert lm_score.scores(no_docs).count() == 0
@@ -190,6 +229,28 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(x.held_out == (zlib.crc32(str(x.doc_id).encode()) % 5 == 0) for x in found)
 
 
+def test_swaps_change_every_feature_of_a_term():
+    words = ["die", "christen", "the", "muslims", "gays"]
+    assert toxicity.swapped([w.encode() for w in words]) == [b"die", b"muslime", b"the", b"jews", b"lesbians"]
+    assert toxicity.swapped([b"moon"]) is None
+    one, other = toxicity.both_features("muslims " * 5 + "moon")
+    assert b" musli" in one and not any(b"musli" in w for w in other) and b"moon" in one & other
+
+
+def test_a_label_that_is_a_group_is_not_learned():
+    """Where the label is the religion that is mentioned, words and their beginnings get no weight."""
+    r = random.Random(1)
+    plain = ["river", "stone", "moon", "cloud", "tree", "grass"]
+    texts, y = [], []
+    for i in range(400):
+        group = "christians" if i % 2 else "muslims"
+        texts.append(" ".join([r.choice(plain) for _ in range(8)] + [group] * 3))
+        y.append(float(i % 2))
+    sentences = ["the christians the christians", "the muslims the muslims"]
+    spread = {p: abs(np.subtract(*toxicity.fit(texts, np.array(y), penalty=p).score(sentences))) for p in (0.0, 50.0)}
+    assert spread[0.0] > 0.9 and spread[50.0] < 0.2
+
+
 def test_identity_terms_carry_little_weight():
     texts = ["the idiot muslim", "the muslim moon"] * 3 + ["the idiot stone", "the christian moon", "the christian stone", "a muslim idiot", "scum muslim"] * 8
     y = np.array([float("idiot" in t or "scum" in t) for t in texts])
@@ -198,6 +259,41 @@ def test_identity_terms_carry_little_weight():
     assert gap(tied) <= gap(free)
 
 
+def test_word_vectors_sum_what_stands_around(spark):
+    """Against loops over every neighbour, over partitions, texts that must not touch, and words that aren't known."""
+    texts = ["a b c a", "b", "", None, "ZZ!! a rare1 b", "c c c"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    words = quality.vocabulary(docs, 3)
+    assert words == [b"a", b"b", b"c"]
+    known = quality.Tokens(words)
+    sums = np.zeros(known.index.shape)
+    for t in texts:
+        own = [known[w.encode()] for w in (t or "").split()]
+        for i, w in enumerate(own):
+            for j in range(max(0, i - quality.REACH), min(len(own), i + quality.REACH + 1)):
+                if i != j:
+                    sums[w] += known.index[own[j]]
+    want = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+    found = quality.word_vectors(docs, words)
+    assert np.allclose(found, want, atol=1e-6) and found[:3].any(1).all()
+    pooled = quality.Pooling(words, found)([t or "" for t in texts])
+    assert np.allclose(pooled[0, : quality.DIMS], (2 * want[0] + want[1] + want[2]) / 4, atol=1e-6)
+    assert not pooled[2].any() and pooled[5, -2] == 2 / 3
+
+
+def test_sample_takes_the_least_checksums(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(500)], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(500)], "doc_id long, quality int")
+    from pyspark.sql import functions as F
+
+    from quillspark.llm.labelled import is_held_out, sample
+
+    want = {r.doc_id for r in labels.where(~is_held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(37).collect()}
+    for parts in (1, 7):
+        found, y = sample(docs, labels.repartition(parts), "quality", 37, lambda ts: [[float(t.split()[1])] for t in ts], "array<double>")
+        assert {int(x.as_py()[0]) for x in found} == want and [int(x.as_py()[0]) % 2 for x in found] == y.tolist()
+
+
 def test_quality_on_held_out_rows(spark):
     rows, d, labels = labelled(spark)
     found = quality.scored(d, labels).collect()

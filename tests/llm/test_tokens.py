@@ -28,6 +28,24 @@ def test_chunked_encoding_is_the_tokenizers_own(ids):
         assert np.frombuffer(raw, dtype=e.dtype).tolist() == ids(t).tolist(), repr(t)
 
 
+def test_other_tokenizers_are_encoded_whole():
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, e = Tokenizer.from_file(path), encoder(path)
+    texts = ["Some  words, and <|endoftext|> more.", "", "über  allem\n\nx"]
+    assert not e.cuts
+    assert [np.frombuffer(x, dtype=e.dtype).tolist() for x in e.encode(texts)] == [[*own.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+
+
+def test_the_encoder_forgets_what_came_last(ids):
+    e = encoder(vocabulary_path())
+    texts = [" ".join(f"w{i}x{k}" for k in range(50)) for i in range(20)]
+    before = e.encode(texts)
+    e.known = dict(list(e.known.items())[:10])
+    assert e.encode(texts) == before == [ids(t).astype(e.dtype).tobytes() for t in texts]
+
+
 def test_token_files_round_trip(spark, odd, ids):
     rows = sorted((i, t) for i, t in odd if t is not None) + [(0, None)]
     rows = sorted(rows, key=lambda x: (x[0], x[1] or ""))
@@ -91,16 +109,17 @@ def test_pipeline(spark, odd, ids, tmp_path):
     rows, _, labels = labelled(spark)
     rows = [*rows, *((10_000 + i, t) for i, t in odd), *((20_000 + i, t) for i, t in rows[1:200:3])]
     items = [(1, " ".join(rows[7][1].split()[3:15])), (2, "nothing of that kind is anywhere in here at all")]
-    spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    # clashing names, and a row without an id
+    spark.createDataFrame([(i, t, "en", "s", 0, 7, "clash", -2, "d") for i, t in [*rows, (None, "no id at all")]], "doc_id long, text string, lang string, source string, n_chars long, row long, class string, n long, digest string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     steps, columns = {}, docs.columns
     for name, stage in P.STAGES:
-        before = [(x.doc_id, x.text) for x in docs.collect()]
+        before = [(x.doc_id, x.text) for x in docs.collect() if x.doc_id is not None]
         stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
         docs = spark.read.parquet(f"{tmp_path}/{name}")
-        steps[name] = (before, docs.collect())
+        steps[name] = (before, [x for x in docs.collect() if x.doc_id is not None])
         assert name == "packing" or docs.columns == columns
     kept = {i for i, t in rows if i < 10_000 and i % 5}
     assert kept <= {x.doc_id for x in steps["quality_classifier"][1]}
@@ -116,7 +135,10 @@ def test_pipeline(spark, odd, ids, tmp_path):
     assert {x.doc_id for x in after} == {i for i, t in before if not brute_hits(t, items, 8)[1]}
     before, after = steps["packing"]
     check_pieces(before, after, ids, 1024)
+    first = P.run(spark, str(tmp_path))
     whole = P.run(spark, str(tmp_path)).collect()
+    assert first.count() == len(whole)  # a result that is held can still be read after another run
+    whole = [x for x in whole if x.doc_id is not None]
     assert Counter((x.doc_id, x.doc_tokens) for x in whole if x.start == 0) == Counter((x.doc_id, x.doc_tokens) for x in after if x.start == 0)
 
 
