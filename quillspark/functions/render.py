@@ -15,13 +15,15 @@ from quillspark.functions.vocabulary import ADMONITIONS
 @dataclass(frozen=True)
 class Options:
     """heading_ids, source_positions, hard_wraps, unsafe_html and wrap_emoji switch on what they name; math is
-    server, raw or omit; the three callables replace image sources, container HTML and code HTML."""
+    server, raw or omit; the three callables replace image sources, container HTML and code HTML. sanitize changes
+    nothing, since what is unsafe is escaped unless unsafe_html asks for it."""
 
     heading_ids: bool = False
     source_positions: bool = False
     hard_wraps: bool = False
     unsafe_html: bool = False
     wrap_emoji: bool = False
+    sanitize: bool = False
     math: str = "server"
     image_resolver: Callable[[str], str] | None = None
     container_html: Callable[[Node, str], str] | None = None

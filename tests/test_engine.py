@@ -104,6 +104,16 @@ def test_files_in_and_out(spark, tmp_path):
     assert done.where("changed").count() == 1
     files.write_changed(done, f"{tmp_path}/out")
     assert spark.read.parquet(f"{tmp_path}/out").first().formatted == "- x\n"
+    own = tmp_path / "own"
+    own.mkdir()
+    for name, text in (("a.md", "* x\n"), ("b.md", "- y\n")):
+        (own / name).write_text(text)
+        (own / name).chmod(0o640)
+    before = (own / "b.md").stat().st_mtime_ns
+    found = files.rewritten(convert.formatted(files.read_markdown(spark, str(own)))).collect()
+    assert sorted((r.doc_id.rsplit("/", 1)[1], r.changed) for r in found) == [("a.md", True), ("b.md", False)]
+    assert (own / "a.md").read_text() == "- x\n" and (own / "a.md").stat().st_mode & 0o777 == 0o640
+    assert (own / "b.md").stat().st_mtime_ns == before and sorted(p.name for p in own.iterdir()) == ["a.md", "b.md"]
 
 
 def test_rename_and_preview(spark):
