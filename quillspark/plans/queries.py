@@ -14,7 +14,7 @@ from quillspark.functions.vocabulary import CONTAINERS
 from quillspark.operators import convert, extract, lint, navigate, server
 from quillspark.plans import corpora, samples
 from quillspark.plans.nodes import nodes, parsed
-from quillspark.plans.store import shared_dir
+from quillspark.plans.store import kept, shared_dir
 from quillspark.sources import files
 from quillspark.streaming import edits
 
@@ -311,8 +311,7 @@ def definitions_at(spark, d):
     return navigate.definition(parsed(docs), at)
 
 
-@query("edits_replayed", "SELECT 'c' || o_custkey AS uri, string_agg(o_orderkey || ';', '' ORDER BY o_orderkey DESC) AS source, count(*) AS version FROM orders GROUP BY 1")
-def edits_replayed(spark, d):
+def _edit_events(spark: SparkSession, d: str) -> DataFrame:
     """Each order writes its key at the head of its customer's document."""
     o = corpora.table(spark, d, "orders")
     uri = F.concat(F.lit("c"), F.col("o_custkey"))
@@ -321,7 +320,37 @@ def edits_replayed(spark, d):
     nth = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
     zero = F.lit(0)
     changes = o.select(uri.alias("uri"), nth.alias("version"), F.col("o_orderkey").cast("long").alias("seq"), F.lit("change").alias("kind"), zero.alias("start_line"), zero.alias("start_char"), zero.alias("end_line"), zero.alias("end_char"), F.concat(F.col("o_orderkey"), F.lit(";")).alias("text"))
-    return edits.latest(opened.union(changes)).select("uri", "source", "version")
+    return opened.union(changes)
+
+
+_EDITED = "SELECT 'c' || o_custkey AS uri, string_agg(o_orderkey || ';', '' ORDER BY o_orderkey DESC) AS source, count(*) AS version FROM orders GROUP BY 1"
+
+
+@query("edits_replayed", _EDITED)
+def edits_replayed(spark, d):
+    return edits.latest(_edit_events(spark, d)).select("uri", "source", "version")
+
+
+@query("edits_streamed", _EDITED)
+def edits_streamed(spark, d):
+    """The same events as a stream of files in two micro-batches, with each document's text as keyed state."""
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    every = kept(_edit_events(spark, d), "events")
+    cut = every.where("seq >= 0").agg(F.expr("percentile_approx(seq, 0.5)")).first()[0] or 0
+    for part in (every.where(F.col("seq") <= cut), every.where(F.col("seq") > cut)):
+        part.write.mode("append").json(f"{at}/in")
+        found = edits.documents(files.stream_events(spark, f"{at}/in"))
+        sink = found.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode("append")
+        sink.trigger(availableNow=True).start().awaitTermination()
+    states = spark.read.schema(edits.RESULTS).parquet(f"{at}/out")
+    return states.groupBy("uri").agg(F.max_by("source", "seq").alias("source"), F.max_by("version", "seq").alias("version"))
+
+
+@query("node_paths", "SELECT r_regionkey AS doc_id, 3 AS \"offset\", v.depth, v.type FROM region, (VALUES (0, 'Document'), (1, 'Heading'), (2, 'Text')) v(depth, type)")
+def node_paths(spark, d):
+    """What holds the second letter of each document's first heading, from the root down."""
+    p = parsed(corpora.outline(spark, d))
+    return extract.path_at(p, p.select("doc_id", F.lit(3).alias("offset"))).drop("node_id")
 
 
 @query("code_actions", f"""WITH {LINKS}, g AS (SELECT doc_id, CASE WHEN bool_or(k % 3 <> 0 OR k % 5 = 0) THEN chr(10) ELSE '' END AS gap FROM use GROUP BY 1)

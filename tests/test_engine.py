@@ -133,7 +133,7 @@ def normal(rows):
 
 NAMES = ["headings", "toc_tree", "word_counts", "table_cells", "link_resolution", "footnotes", "container_attributes", "embeds", "diagrams", "slugs", "line_table", "lint_unused_definition", "lint_heading_skip", "html_table", "formatted", "format_diffs", "semantic_tokens", "edits_replayed", "code_actions", "tree_json", "definitions_at", "html_samples", "html_options", "format_samples", "format_samples_stable",
     "lint_samples", "lint_json_reports", "lint_filters", "parse_diagnostics", "hover_cards", "definition_places", "reference_places", "renamed", "rename_prepared", "completions", "folds", "symbol_samples", "token_samples", "token_ranges",
-    "action_samples", "actions_in_range", "utf16_positions", "frontmatter_values", "previews", "pages_to_print", "rpc_events", "markdown_files", "server_responses", "html_highlighted", "chunked_paragraphs"]
+    "action_samples", "actions_in_range", "utf16_positions", "frontmatter_values", "previews", "pages_to_print", "rpc_events", "markdown_files", "edits_streamed", "node_paths", "server_responses", "html_highlighted", "chunked_paragraphs"]
 
 
 @pytest.mark.parametrize("name", NAMES)
