@@ -265,17 +265,18 @@ def _hidden(off: str = "off") -> Column:
     return F.exists(off, lambda o: ((o["code"] == F.col("code")) | (o["code"] == "*")) & (F.col("line") > o["after"]) & (o["until"].isNull() | (F.col("line") <= o["until"])))
 
 
-def lint(parsed: DataFrame, rules: list[str] | None = None, without: list[str] | None = None, least: str = "hint", extra: list[Callable[[Context], DataFrame]] | None = None) -> DataFrame:
+def lint(parsed: DataFrame, rules: list[str] | None = None, without: list[str] | None = None, least: str = "hint", extra: list[Callable[[Context], DataFrame]] | None = None, keep: bool = True) -> DataFrame:
     """Findings with severity; suppressed ones are gone. Ask for order at the sink: doc_id, start_byte, code.
 
     What is suppressed comes with each document from the parser, so no rule needs a join for it; rules of single nodes
     share one scan. Where the chosen rules scan the documents more than MOST_SCANS times, the parsed documents are
-    written once and read column by column; nothing stays in the session's cache.
+    written once and read column by column, unless keep is false because they are a table already; nothing stays in the
+    session's cache.
     """
     chosen = [r for r in (rules or RULES) if r not in (without or ())]
     single = [r for r in chosen if r in SINGLE]
     others = [r for r in chosen if r not in SINGLE]
-    if bool(single) + sum(SCANS.get(r, 1) for r in others) + len(extra or ()) > MOST_SCANS:
+    if keep and bool(single) + sum(SCANS.get(r, 1) for r in others) + len(extra or ()) > MOST_SCANS:
         parsed = kept(parsed, "parsed")
     c = Context.of(parsed)
     given = [f(c) for f in extra or []]

@@ -274,7 +274,7 @@ def code_actions(parsed: DataFrame, ranges: DataFrame | None = None, only: tuple
     parsed = kept(parsed, "parsed")
     parts = []
     if allowed(only, "quickfix"):
-        found = linter.lint(parsed, [r for r in linter.RULES if r in linter.FIXABLE or r in ("MDPP100", "MDPP106")])
+        found = linter.lint(parsed, [r for r in linter.RULES if r in linter.FIXABLE or r in ("MDPP100", "MDPP106")], keep=False)
         fixes = found.where("new_text is not null").select("doc_id", F.concat(F.lit("Fix "), F.col("code"), F.lit(": "), F.col("message")).alias("title"), F.lit("quickfix").alias("kind"), "code", "start_byte", "end_byte", "new_text", F.col("start_byte").alias("a"), F.col("end_byte").alias("z"))
         size = parsed.select("doc_id", F.octet_length("source").alias("size"), F.when(F.col("source") == "", "").when(F.col("source").endswith("\n\n"), "").when(F.col("source").endswith("\n"), "\n").otherwise("\n\n").alias("gap"))
         note = F.regexp_extract("message", r"\[(\^?[^\]]+)\]", 1)

@@ -140,5 +140,5 @@ def published(batch: DataFrame, least: str = "hint") -> DataFrame:
     now = kept(batch.withColumn("rn", last).where("rn = 1").select(F.col("uri").alias("doc_id"), "source", "version"), "states")
     p = kept(parsed(now.where("source is not null")), "parsed")
     number = F.create_map(*(F.lit(x) for pair in SEVERITY_NUMBER.items() for x in pair))
-    found = with_parse_diagnostics(p, lint(p, least=least), least=least).withColumn("severity_number", number[F.col("severity")])
+    found = with_parse_diagnostics(p, lint(p, least=least, keep=False), least=least).withColumn("severity_number", number[F.col("severity")])
     return now.select("doc_id", "version").join(found, "doc_id", "left")
