@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from quillspark.llm.shared import keyed_join, table, texts_of, written
 
 MIN_WORDS, MIN_LINES = 50, 6
+#: Runs that are sent to all tasks, at most (some 40 bytes each); beyond it they and the texts are joined by shuffling.
+BROADCAST_RUNS = 1_000_000
 
 
 def with_lines(docs: DataFrame) -> DataFrame:
@@ -123,8 +125,9 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, min_lines: int = M
     """
     # row numbers are written before they are used, so that a repeated task can't give others
     keyed = written(with_lines(docs), "line-texts")
-    runs = repeats(keyed, min_words, min_lines)
-    joined = keyed.select("row", "doc_id", "text").join(runs, "row", "left")
+    runs = written(repeats(keyed, min_words, min_lines), "line-runs")
+    few = (runs.agg(F.sum(F.size("runs"))).first()[0] or 0) <= BROADCAST_RUNS
+    joined = keyed.select("row", "doc_id", "text").join(F.broadcast(runs) if few else runs, "row", "left")
     lines = F.split("text", "\n", -1)
     gone = F.coalesce(F.flatten(F.transform("runs", lambda r: F.sequence(r["first"], r["last"]))), F.array().cast("array<int>"))
     kept = joined.withColumns({"lines": lines, "gone": gone})
