@@ -90,7 +90,8 @@ def packing_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     follows = pieces.withColumn("end", F.coalesce(F.lag(F.col("offset") + F.col("length")).over(by), F.lit(0)))
     per = follows.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count(F.when(F.col("end") != F.col("offset"), 1)).alias("gaps"))
     full = per.agg(F.sum("gaps").alias("gaps"), F.count(F.when(F.col("n") < WINDOW, 1)).alias("short"), F.count(F.when(F.col("n") > WINDOW, 1)).alias("long"))
-    return docs.crossJoin(full).select("documents", "incomplete", "gaps", (F.col("short") > 1).alias("padded"), F.col("long").alias("overfull"))
+    both = docs.unionByName(full, allowMissingColumns=True).agg(*(F.max(c).alias(c) for c in ("documents", "incomplete", "gaps", "short", "long")))
+    return both.select("documents", "incomplete", F.coalesce("gaps", F.lit(0)).alias("gaps"), (F.col("short") > 1).alias("padded"), F.col("long").alias("overfull"))
 
 
 ORACLE_SQL: dict[str, str] = {"packing_invariants": "SELECT count(*) AS documents, 0 AS incomplete, 0 AS gaps, false AS padded, 0 AS overfull FROM documents"}
