@@ -188,16 +188,6 @@ def test_line_dedup_selects_few_positions(spark):
         assert [(f.lo, f.hi) for f in x.f] == list(zip([0, *(f.hi for f in x.f[:-1])], [f.hi for f in x.f], strict=True)) and x.f[-1].hi == 55
 
 
-def test_line_dedup_joins_by_shuffling_too(spark, monkeypatch):
-    passage = "\n".join(f"line {i} of a passage that stands in several documents and has enough words" for i in range(5))
-    docs = spark.createDataFrame([(1, passage), (2, f"x\n{passage}"), (3, "y")], "doc_id long, text string")
-    found = []
-    for most in (1_000_000, 0):
-        monkeypatch.setattr(line_dedup, "BROADCAST_RUNS", most)
-        found.append(sorted(line_dedup.deduplicated(docs, 30, 4).collect()))
-    assert found[0] == found[1] and found[0][1].text == "x"
-
-
 def test_line_dedup_odd_inputs(docs, no_docs, odd):
     assert line_dedup.deduplicated(docs).count() == len(odd) + 1
     assert line_dedup.deduplicated(no_docs).count() == 0
