@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.columns import attr, level, reading_minutes, slugify, words
+from quillspark.functions.columns import attr, reading_minutes, slugify, words
 from quillspark.plans.nodes import nodes
 
 
@@ -134,9 +134,12 @@ def path_at(p: DataFrame, offsets: DataFrame) -> DataFrame:
     return found.withColumn("rn", F.row_number().over(one)).where("rn = 1").select("doc_id", "offset", "depth", "type", "node_id")
 
 
-def nested(n: DataFrame, inner: str, outer: str) -> DataFrame:
-    """doc_id, outer node, count of inner nodes below it: an equi key and an interval."""
-    a = of_type(n, outer).select("doc_id", F.col("node_id").alias("outer_id"), "last_desc", level().alias("l"))
-    b = of_type(n, inner).select("doc_id", "node_id")
-    hit = (F.col("node_id") > F.col("outer_id")) & (F.col("node_id") <= F.col("last_desc"))
-    return a.join(b, "doc_id").where(hit).groupBy("doc_id", "outer_id").agg(F.count("*").alias("n"))
+def nested(p: DataFrame, inner: str, outer: str) -> DataFrame:
+    """doc_id, root_last (the highest node id of the document), outer_id and, in n, how many inner nodes are below each
+    outer node that has any. Intervals are compared in the document's own array, so that one pass over the parsed
+    documents does it and nothing is joined, shuffled or broadcast."""
+    ids = F.transform(F.filter("nodes", lambda x: x["type"] == inner), lambda x: x["node_id"])
+    below = lambda o, own: F.size(F.filter(own, lambda k: (k > o["node_id"]) & (k <= o["last_desc"]))).cast("long")
+    found = once(ids, lambda own: F.transform(F.filter("nodes", lambda x: x["type"] == outer), lambda o: F.struct(o["node_id"].alias("outer_id"), below(o, own).alias("n"))))
+    root = F.filter("nodes", lambda x: x["type"] == "Document")
+    return p.select("doc_id", F.get(root, F.lit(0))["last_desc"].alias("root_last"), F.inline(found)).where("n > 0")

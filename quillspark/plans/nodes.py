@@ -11,6 +11,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,6 +81,20 @@ def flat(root: Node, places: Places) -> list[dict]:
     return out
 
 
+def bounded(batch: pa.RecordBatch, rows: int = 256, most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of at most `rows` documents and, but for a longer one, `most` bytes of source: nodes take some
+    hundred times the memory of their source."""
+    sizes = [n or 0 for n in pc.binary_length(batch.column(1)).to_pylist()]
+    first, held = 0, 0
+    for k, n in enumerate(sizes):
+        if k > first and (k - first == rows or held + n > most):
+            yield batch.slice(first, k - first)
+            first, held = k, 0
+        held += n
+    if first < len(sizes):
+        yield batch.slice(first)
+
+
 def parsed(docs: DataFrame, emoji: dict[str, str] | None = None, chunked: bool = False) -> DataFrame:
     """doc_id, source (as lowered), starts (of its lines, in bytes), nodes, diagnostics, off (what comments and
     frontmatter suppress: code or *, after which line, until which or null), frontmatter (JSON, null without one),
@@ -92,8 +107,7 @@ def parsed(docs: DataFrame, emoji: dict[str, str] | None = None, chunked: bool =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for k in range(0, whole.num_rows, 256):
-                batch = whole.slice(k, 256)
+            for batch in bounded(whole):
                 out: tuple[list, ...] = tuple([] for _ in range(10))
                 for text in batch.column(1).to_pylist():
                     root, low, diagnostics, front, links, uses, pairs = read(text or "", emoji, chunked)

@@ -76,9 +76,7 @@ def tasks(spark, d):
     "SELECT o_custkey AS doc_id, count(*) AS items, 1 + 3 * count(*) AS root_last FROM orders GROUP BY 1",
 )
 def node_intervals(spark, d):
-    n = nodes(parsed(corpora.task_list(spark, d)))
-    inside = extract.nested(n, "TaskListItem", "List").select("doc_id", F.col("n").alias("items"))
-    return inside.join(extract.of_type(n, "Document").select("doc_id", F.col("last_desc").alias("root_last")), "doc_id")
+    return extract.nested(parsed(corpora.task_list(spark, d)), "TaskListItem", "List").select("doc_id", F.col("n").alias("items"), "root_last")
 
 
 @query(

@@ -4,11 +4,12 @@ import json
 import os
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as E
-from quillspark.operators import convert, lint, navigate
-from quillspark.plans.nodes import parsed
+from quillspark.operators import convert, extract, lint, navigate
+from quillspark.plans.nodes import bounded, parsed
 from quillspark.sources import files
 from quillspark.streaming import edits
 
@@ -149,5 +150,33 @@ def test_query_matches_its_sql(spark, name):
     assert normal(map(tuple, got.select(columns).collect())) == normal(con.sql(f"SELECT {picked} FROM want").fetchall())
 
 
+def test_node_intervals_is_one_pass_without_a_join(spark):
+    got = E.queries()["node_intervals"](spark, SF)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan and "Broadcast" not in plan
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW orders AS SELECT * FROM '{SF}/orders.parquet'")
+    want = con.sql(E.oracle_sql()["node_intervals"]).fetchall()
+    assert normal(map(tuple, got.select("doc_id", "items", "root_last").collect())) == normal(want)
+
+
+def test_nested_counts_below_each_outer_node(spark):
+    docs = spark.createDataFrame([(1, "- a\n  - b\n  - c\n\n# H\n\n- d\n"), (2, "no list\n"), (3, None)], "doc_id long, source string")
+    p = parsed(docs)
+    nodes = [r for r in p.selectExpr("doc_id", "inline(nodes)").collect() if r.doc_id == 1]
+    outer = {o.node_id: sum(o.node_id < x.node_id <= o.last_desc and x.type == "ListItem" for x in nodes) for o in nodes if o.type == "List"}
+    found = extract.nested(p, "ListItem", "List").collect()
+    assert sorted((r.outer_id, r.n) for r in found) == sorted(outer.items()) and len(outer) == 3
+    assert {(r.doc_id, r.root_last) for r in found} == {(1, nodes[0].last_desc)}
+
+
+def test_batches_of_documents_are_bounded_by_bytes():
+    texts = ["x" * 100, None, "", "é" * 200, "y" * 30, "z"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts)], names=["doc_id", "source"])
+    cut = [b.column(0).to_pylist() for b in bounded(batch, rows=3, most=120)]
+    assert cut == [[0, 1, 2], [3], [4, 5]] and [b.num_rows for b in bounded(batch, rows=4)] == [4, 2]
+    assert list(bounded(batch.slice(0, 0))) == []
+
+
 def test_entry(spark):
     assert E.entry(spark).count() > 0
