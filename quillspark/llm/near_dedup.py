@@ -6,23 +6,24 @@
    full sets. Each tree orders them by label. In the sorted order a region is a stretch of labels that begin with
    the same SHALLOW values, and its members are compared by the agreement of their signatures. A task walks its
    stretch of the order and holds HELD rows of a region: when there are more, rows that agree with a
-   neighbour nearly everywhere leave it behind as their leader, and only if too many leaders are left does the
-   walk go deeper: those stay that share a longer prefix with where the walk stands. Regions at the ends of a
-   stretch hand their leaders on, and these are ordered and walked again, until one task holds them all.
+   neighbour nearly everywhere leave it behind as their leader. If too many leaders are left, those stay that share a
+   longer prefix with where the walk stands, and the others are set aside. Regions at the ends of a
+   stretch hand their leaders on, and these are ordered and walked again, until one task holds them all. Where any
+   were set aside, all leaders of the region are then compared with each other, in blocks of HELD.
 3. Links found form clusters. Every class is confirmed on its full set against the neighbour before it that agrees
    best. Where that doesn't hold a cluster together, the classes outside its largest part are compared with
    all others of the cluster, in blocks of bounded size.
 4. Components of the confirmed links, and the smallest doc_id of each.
 
-At similarity 0.85 a pair shares no region in any of 32 trees with probability 6e-11 (0.80: 5e-8). Only where more
-than HELD / 2 leaders of one region differ does the walk go below that depth, and there, at full depth, a pair without
-other neighbours is missed with probability 4e-5 (0.80: 2.8e-3).
+At similarity 0.85 a pair shares no region in any of 32 trees with probability 6e-11 (0.80: 5e-8). Inside a region no pair
+is left out, however many rows it has.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ BLOCK = 128
 STRETCH = 65_536
 #: Share of places in which a row agrees with its leader, and how far it can be from it but for five deviations.
 COVERED, RADIUS = 0.95, 0.12
+#: Sums of two rows' levels that are told apart; from the last one on any two rows are alike.
+LEVELS = 16
 #: Broadcast of the rows whose texts are read again, at most; beyond it they are joined by shuffling.
 BROADCAST_ROWS = 500_000
 
@@ -130,20 +133,38 @@ def members_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
 
 def _thresholds(percent: int) -> np.ndarray:
-    """Agreeing places, but for five standard deviations, of a pair at the threshold when none, one or both are leaders."""
+    """Agreeing places, but for five standard deviations, of a pair at the threshold, by the sum of its rows' levels: a
+    leader is one level above the highest that it leads."""
     n = TREES * DEPTH
-    p = np.maximum(percent / 100 - RADIUS * np.arange(3), 0.01)
+    p = np.maximum(percent / 100 - RADIUS * np.arange(LEVELS), 0.01)
     return (n * p - 5 * (n * p * (1 - p)) ** 0.5).astype(np.int64)
 
 
+def spanning(ids: np.ndarray, sig: np.ndarray, leads: np.ndarray, part: np.ndarray, least: np.ndarray, first: int, cut: int = 0) -> list[tuple[int, int, int]]:
+    """(id, id, agreement): for each row from `first` on its best neighbour in each part that it is alike to, among the
+    rows before it or, where `cut` is given, before that. Changes part."""
+    out = []
+    for j in range(max(first, 1), len(ids)):
+        m = cut or j
+        agree = np.count_nonzero(sig[:m] == sig[j], axis=1)
+        found = np.flatnonzero(agree >= least[np.minimum(leads[:m] + leads[j], LEVELS - 1)])
+        while len(found):
+            best = int(found[len(found) - 1 - np.argmax(agree[found][::-1])])  # of equals the nearest
+            out.append((int(ids[best]), int(ids[j]), int(agree[best])))
+            old = part[best]
+            part[:j][part[:j] == old] = part[j]
+            found = found[part[found] != part[j]]
+    return out
+
+
 class Region:
     """What a walk holds of one region, in the order of labels."""
 
     def __init__(self, begins: int, whole: bool) -> None:
-        self.begins, self.whole = begins, whole
+        self.begins, self.whole, self.over = begins, whole, False
         self.ids = np.zeros(0, dtype=np.int64)
         self.sig, self.labels = np.zeros((0, TREES * DEPTH), dtype=np.uint8), np.zeros((0, DEPTH), dtype=">u4")
-        self.leads = np.zeros(0, dtype=bool)
+        self.leads = np.zeros(0, dtype=np.int64)
         self.joined = 0  # rows whose links are known
         self.part = np.zeros(0, dtype=np.int64)
 
@@ -153,77 +174,78 @@ class Region:
 
     def links(self, least: np.ndarray) -> list[tuple[int, int, int]]:
         """(id, id, agreement): for each new row its best neighbour in each part that it is alike to."""
-        out = []
         n, part = len(self.ids), np.arange(len(self.ids)) + len(self.ids)
         part[: self.joined] = self.part
-        for j in range(max(self.joined, 1), n):
-            agree = np.count_nonzero(self.sig[:j] == self.sig[j], axis=1)
-            found = np.flatnonzero(agree >= least[self.leads[:j].astype(np.int64) + int(self.leads[j])])
-            while len(found):
-                best = int(found[len(found) - 1 - np.argmax(agree[found][::-1])])  # of equals the nearest
-                out.append((int(self.ids[best]), int(self.ids[j]), int(agree[best])))
-                old = part[best]
-                part[:j][part[:j] == old] = part[j]
-                found = found[part[found] != part[j]]
+        out = spanning(self.ids, self.sig, self.leads, part, least, self.joined)
         self.part, self.joined = part, n
         return out
 
-    def lead(self, most: int) -> None:
-        """Keep leaders alone, and of more than `most` those that share the longest prefixes with the last row."""
+    def lead(self, most: int | None) -> list[tuple[int, np.ndarray, int]]:
+        """Keep leaders alone, and of more than `most` those that share the longest prefixes with the last row; returns
+        the others: (id, signature, level)."""
         covered, leaders = np.zeros(len(self.ids), dtype=bool), []
         least = int(COVERED * TREES * DEPTH)
         for j in range(len(self.ids)):
             if not covered[j]:
                 leaders.append(j)
                 alike = np.count_nonzero(self.sig[j:] == self.sig[j], axis=1) >= least
-                self.leads[j] |= bool(np.any(alike[1:] & ~covered[j + 1 :]))
+                own = np.flatnonzero(alike[1:] & ~covered[j + 1 :]) + j + 1
+                if len(own):
+                    self.leads[j] = max(self.leads[j], 1 + self.leads[own].max())
                 covered[j:] |= alike
-        keep = np.array(leaders, dtype=np.int64)
-        shared = np.cumprod(self.labels[keep] == self.labels[-1], axis=1).sum(axis=1) if len(keep) else keep
-        depth = SHALLOW
-        while np.count_nonzero(shared >= depth) > most and depth < DEPTH:
-            depth += 1
-        keep = keep[shared >= depth][-most:]
+        keep, aside = np.array(leaders, dtype=np.int64), []
+        if most is not None and len(keep) > most:
+            shared = np.cumprod(self.labels[keep] == self.labels[-1], axis=1).sum(axis=1)
+            depth = SHALLOW
+            while np.count_nonzero(shared >= depth) > most and depth < DEPTH:
+                depth += 1
+            near = keep[shared >= depth][-most:]
+            aside = [(int(self.ids[i]), self.sig[i], int(self.leads[i])) for i in np.setdiff1d(keep, near)]
+            keep, self.over = near, True
         self.ids, self.sig, self.labels, self.leads, self.part = self.ids[keep], self.sig[keep], self.labels[keep], self.leads[keep], self.part[keep]
         self.joined = len(keep)
+        return aside
 
 
-_WALKED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("agree", pa.int32()), ("near", pa.int64()), ("label", pa.binary()), ("class", pa.int64()), ("sig", pa.binary()), ("leads", pa.bool_())])
+_WALKED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("agree", pa.int32()), ("near", pa.int64()), ("label", pa.binary()), ("class", pa.int64()), ("sig", pa.binary()), ("leads", pa.int64()), ("kind", pa.int32())])
+#: Kinds of rows that a walk gives beside links: for the next walk, set aside, leaders at the end of a region.
+HANDED, ASIDE, ENDED = 0, 1, 2
 
 
-def walked(ordered: DataFrame, percent: int, last: bool) -> DataFrame:
-    """Links (a, b, agree) of a sorted order's stretches, and rows (near, label, class, sig, leads) of regions that
-    may go on in a neighbouring stretch; `last`: one stretch holds all."""
+def walked(ordered: DataFrame, percent: int, first: bool, last: bool) -> DataFrame:
+    """Links (a, b, agree) of a sorted order's stretches, and rows (near, label, class, sig, leads, kind): of regions that
+    may go on in a neighbouring stretch, set aside, and what is left of a region in which rows were or may have been set
+    aside. `first`: of the first walk; `last`: one stretch holds all."""
     least, held = _thresholds(percent), HELD
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         region: Region | None = None
         links: list[tuple[int, int, int]] = []
-        handed: list[Region] = []
+        rows: list[tuple] = []
 
         def out() -> pa.RecordBatch:
             a, b, agree = zip(*links, strict=True) if links else ((), (), ())
-            n, m = len(links), sum(len(r.ids) for r in handed)
-            none = [None] * n
-            rows = [
-                [*a, *[None] * m], [*b, *[None] * m], [*agree, *[None] * m], none + [r.begins for r in handed for _ in r.ids], none + [x.tobytes() for r in handed for x in r.labels],
-                none + [int(x) for r in handed for x in r.ids], none + [x.tobytes() for r in handed for x in r.sig], none + [bool(x) for r in handed for x in r.leads],
-            ]
+            more = list(zip(*rows, strict=True)) if rows else [()] * 6
+            n, m = len(links), len(rows)
+            columns = [*([*c, *[None] * m] for c in (a, b, agree)), *([*[None] * n, *c] for c in more)]
             links.clear()
-            handed.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _WALKED, strict=True)], schema=_WALKED)
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _WALKED, strict=True)], schema=_WALKED)
+
+        def thin(r: Region, most: int | None) -> None:
+            rows.extend((r.begins, None, i, sig.tobytes(), level, ASIDE) for i, sig, level in r.lead(most))
 
         def close(r: Region) -> None:
             links.extend(r.links(least))
-            if not r.whole:
-                r.lead(held // 2)
-                handed.append(r)
+            if not r.whole or r.over or not first:
+                thin(r, None if r.whole else held // 2)
+                rows.extend((r.begins, r.labels[i].tobytes(), int(r.ids[i]), r.sig[i].tobytes(), int(r.leads[i]), ENDED if r.whole else HANDED) for i in range(len(r.ids)))
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             near = column(batch, "near").to_numpy()
-            ids, leads = column(batch, "class").to_numpy(), column(batch, "leads").to_numpy(zero_copy_only=False)
+            ids, leads = column(batch, "class").to_numpy(), column(batch, "leads").to_numpy()
             sig = np.frombuffer(b"".join(column(batch, "sig").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
             labels = np.frombuffer(b"".join(column(batch, "label").to_pylist()), dtype=">u4").reshape(len(ids), -1)
             cuts = np.concatenate(([0], np.flatnonzero(near[1:] != near[:-1]) + 1, [len(near)]))
@@ -237,39 +259,64 @@ def walked(ordered: DataFrame, percent: int, last: bool) -> DataFrame:
                     region.add(ids[i:j], sig[i:j], labels[i:j], leads[i:j])
                     if len(region.ids) > held:
                         links.extend(region.links(least))
-                        region.lead(held // 2)
+                        thin(region, held // 2)
             yield out()
         if region is not None:
             region.whole = last
             close(region)
         yield out()
 
-    kinds = "a long, b long, agree int, near long, label binary, class long, sig binary, leads boolean"
+    kinds = "a long, b long, agree int, near long, label binary, class long, sig binary, leads long, kind int"
     return in_batches(ordered.select("near", "label", "class", "sig", "leads"), run, kinds)
 
 
+def links_of_leaders(rows: DataFrame, percent: int) -> DataFrame:
+    """a, b, agree of rows(near, class, sig, leads): spanning links of each region, from all its pairs. A region's rows
+    are dealt to n / HELD blocks, and each two blocks meet in a task."""
+    rows, least = checkpointed(rows), _thresholds(percent)
+    sizes = checkpointed(rows.groupBy("near").agg(F.count("*").alias("n"), F.ceil(F.count("*") / HELD).cast("int").alias("blocks")))
+    own = F.pmod(F.xxhash64("class"), "blocks").cast("int")
+    dealt = keyed_join(rows, sizes, "near", "n", rows.count()).select("near", "class", "sig", "leads", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("near", "class", "sig", "leads", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("own", "ascending"), ("class", "ascending")])
+        own, ids, leads = (t.column(c).to_numpy() for c in ("own", "class", "leads"))
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
+        both = t.column("x")[0] != t.column("y")[0]
+        cut = int(np.searchsorted(own, t.column("y")[0].as_py())) if both else 0
+        found = spanning(ids, sig, leads, np.arange(len(ids)), least, cut, cut) if cut or not both else []
+        return pa.table([pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=["a", "b", "agree"])
+
+    return dealt.groupBy("near", "x", "y").applyInArrow(run, "a long, b long, agree int")
+
+
 def candidate_links(rows: DataFrame, percent: int) -> DataFrame:
     """a, b, agree (a < b) of rows(near, label, class, sig) that look alike in an order: spanning links of each region."""
     spark = rows.sparkSession
-    rows = written(rows.withColumn("leads", F.lit(False)), "near-order")
+    rows = written(rows.withColumn("leads", F.lit(0).cast("long")), "near-order")
     parts, found = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // (8 * STRETCH)), 1), []
+    steps: list[DataFrame] = []
     while True:
         by = ["near", "label", "class"]
         ordered = rows.coalesce(1).sortWithinPartitions(*by) if parts == 1 else rows.repartitionByRange(parts, *by).sortWithinPartitions(*by)
-        step = written(walked(ordered, percent, parts == 1), "near-walk")
+        step = written(walked(ordered, percent, not steps, parts == 1), "near-walk")
+        steps.append(step)
         found.append(step.where("a is not null").select("a", "b", "agree"))
         if parts == 1:
             break
-        rows = step.where("class is not null").select("near", "label", "class", "sig", "leads")
+        rows = step.where(F.col("kind") == HANDED).select("near", "label", "class", "sig", "leads")
         n = rows.count()
         if not n:
             break
         # each stretch hands on HELD rows at most, so the number of stretches falls fast
         parts = min(parts // 2, -(-n // STRETCH))
         parts = max(parts, 1)
-    links = found[0]
-    for f in found[1:]:
-        links = links.union(f)
+    leaders = reduce(DataFrame.union, steps).where(F.col("kind") > HANDED).select("near", "class", "sig", "leads", "kind")
+    crowded = leaders.where(F.col("kind") == ASIDE).select("near").distinct()
+    if not crowded.isEmpty():
+        found.append(links_of_leaders(leaders.drop("kind").join(crowded, "near", "left_semi"), percent))
+    links = reduce(DataFrame.union, found)
     return links.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("agree").alias("agree"))
 
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from quillspark.llm import exact_dedup, line_dedup, near_dedup
@@ -119,6 +120,22 @@ def test_near_recall_of_every_twentieth(spark):
     assert len(links) > 5 and all(found[i] == found[j] for i, j in links)
 
 
+@pytest.mark.parametrize("stretch", [65_536, 20])
+def test_near_crowded_region_keeps_every_pair(spark, monkeypatch, stretch):
+    """Far more rows of one region than a walk holds, none led by another: each has one partner at the other end."""
+    r, pairs = np.random.default_rng(5), 60
+    sig = r.integers(0, 256, (pairs, near_dedup.TREES * near_dedup.DEPTH), dtype=np.uint8)
+    twin = sig.copy()
+    twin[:, :20] ^= 1
+    label = lambda x: np.array([1, 1, 1, 1, x, 0, 0, 0], dtype=">u4").tobytes()
+    rows = [(7, label(i), i, sig[i].tobytes()) for i in range(pairs)] + [(7, label(1000 + i), 1000 + i, twin[i].tobytes()) for i in range(pairs)]
+    rows += [(8, label(0), 5000, sig[0].tobytes()), (8, label(1), 5001, twin[0].tobytes())]
+    monkeypatch.setattr(near_dedup, "HELD", 16)
+    monkeypatch.setattr(near_dedup, "STRETCH", stretch)
+    found = near_dedup.candidate_links(spark.createDataFrame(rows, "near long, label binary, class long, sig binary"), 85).collect()
+    assert sorted((x.a, x.b) for x in found) == [(i, 1000 + i) for i in range(pairs)] + [(5000, 5001)]
+
+
 def test_near_rows_without_id(spark):
     text = " ".join(f"w{i}" for i in range(50))
     rows = [(None, text), (5, text), (None, "other words that nobody else has at all"), (None, None), (7, "")]
