@@ -24,7 +24,7 @@ END = 0
 # The way of splitting for which the cuts hold.
 SPLITTING = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 #: Chunks that a worker remembers before it starts anew, and of those the first ones that it keeps after a task.
-REMEMBERED, KEPT = 300_000, 100_000
+REMEMBERED, KEPT = 600_000, 300_000
 
 _CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _OTHER_SPACE = re.compile(r"[^\S \n]")

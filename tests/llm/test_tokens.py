@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from quillspark.llm import packing, token_files
+from quillspark.llm import packing, token_files, tokens
 from quillspark.llm.shared import new_path
 from quillspark.llm.tokens import encoder, vocabulary_path
 
@@ -149,3 +149,13 @@ def test_pipeline_of_nothing(spark, no_docs, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_encoder_remembers_half_a_million_chunks():
+    enc = tokens.Encoder(tokens.vocabulary_path())
+    texts = ["some words, and\nmore", "some words and others"]
+    want = enc.encode(texts)
+    enc.known.update((f"\0{i}", b"") for i in range(500_000))
+    assert enc.encode(texts) == want and len(enc.known) > 500_000
+    enc.known.update((f"\0{i}", b"") for i in range(700_000))
+    assert enc.encode(texts) == want and len(enc.known) <= tokens.KEPT
