@@ -257,17 +257,51 @@ def keyed_join(rows: DataFrame, stats: DataFrame, key: str, n: str, total: int,
     return common.unionByName(rest)
 
 
+#: Edges whose components one worker finds, in about 100 MB; more take rounds over a distributed table.
+FEW_EDGES = 1 << 20
+#: Rows of a partition of what that worker finds.
+FOUND_ROWS = 16_384
+
+
+def least_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids of edges (a, b), and the smallest id reachable from each."""
+    ids, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = ends[: len(a)], ends[len(a) :]
+    root = np.arange(len(ids))
+    while True:
+        x, y = root[u], root[v]
+        apart = x != y
+        if not apart.any():
+            return ids, ids[root]
+        u, v, x, y = u[apart], v[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(up := root[root], root):
+            root = up
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """id and the smallest id reachable from it, for every id in edges(a, b).
+    """id and the smallest id reachable from it, for every id in edges(a, b), which are read more than once.
 
-    Alternating large-star and small-star steps over a distributed edge table, written anew each
+    Up to FEW_EDGES edges, one worker finds them. Beyond that, alternating large-star and small-star steps over a
+    distributed edge table, written anew each
     round. A hub's neighbours are rows of aggregates that combine before the shuffle, and where a node has more edges
     than keyed_join takes for common, its edges meet the aggregate by that. Ends when a round changes nothing; raises
     if that never happens.
     """
     spark = edges.sparkSession
     place = mark()
-    e = written(edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u < v").distinct(), "edges")
+    pairs = edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u < v")
+    n = pairs.count()
+    if n <= FEW_EDGES:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(batches, pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+            found = least_reachable(t.column("u").to_numpy(), t.column("v").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["id", "component"])
+
+        found = in_batches(pairs.coalesce(1), run, "id long, component long")
+        return found.repartition(-(-n // FOUND_ROWS)) if n > FOUND_ROWS else found
+    e = written(pairs.distinct(), "edges")
     before, now = None, _state(e)
     for _ in range(rounds):
         n, hot = now[0], max(now[2], now[3]) > max(now[0] // HOT_KEYS, LEAST_HOT) // 2

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from quillspark.llm import exact_dedup, line_dedup, near_dedup
+from quillspark.llm import exact_dedup, line_dedup, near_dedup, shared
 
 
 def test_misra_gries_keeps_every_frequent_item():
@@ -136,6 +136,42 @@ def test_near_crowded_region_keeps_every_pair(spark, monkeypatch, stretch):
     assert sorted((x.a, x.b) for x in found) == [(i, 1000 + i) for i in range(pairs)] + [(5000, 5001)]
 
 
+@pytest.mark.parametrize("few", [1 << 20, 0])
+def test_components_by_one_worker_and_by_rounds(spark, monkeypatch, few):
+    """A chain, a hub, random edges, loops and repeated edges, by one worker and by rounds."""
+    r = random.Random(4)
+    edges = [(i, i + 1) for i in range(300)] + [(1000, 1001 + i) for i in range(300)] + [(2000 + r.randrange(400), 2000 + r.randrange(400)) for _ in range(250)]
+    edges += [(-9, -9), (5000, -5), (-5, 5000), (5000, -5)]
+    r.shuffle(edges)
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            p, q = root(a), root(b)
+            parent[max(p, q)] = min(p, q)
+    monkeypatch.setattr(shared, "FEW_EDGES", few)
+    monkeypatch.setattr(shared, "FOUND_ROWS", 100)
+    found = shared.components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()
+    assert sorted((x.id, x.component) for x in found) == sorted((x, root(x)) for x in parent)
+    assert shared.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_of_few_edges_take_few_jobs(spark):
+    """Each round of shuffles costs the driver plans, jobs and tasks, however few the edges are."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(64)], "a long, b long")
+    spark.sparkContext.setJobGroup("few edges", "")
+    try:
+        assert {x.component for x in shared.components(edges).collect()} == {0}
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few edges")) <= 4
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_near_rows_without_id(spark):
     text = " ".join(f"w{i}" for i in range(50))
     rows = [(None, text), (5, text), (None, "other words that nobody else has at all"), (None, None), (7, "")]
