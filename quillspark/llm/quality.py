@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.labelled import SLICE, is_held_out, sample, sigmoid
-from quillspark.llm.shared import column, in_batches, mix, most_frequent, slices, table, texts_of, written
+from quillspark.llm.shared import column, in_batches, mix, most_frequent, released, slices, table, texts_of, written
 
 #: Words with vectors of their own, at most: the size of the table that goes to every task.
 VOCABULARY = 16_384
@@ -219,6 +219,11 @@ LEAST = 0.3
 SCORED = "\0scored text"
 
 
+def matrix(found: pa.ChunkedArray, rows: int) -> np.ndarray:
+    """Rows of vectors, without an object for each number."""
+    return found.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows, Pooling.SIZE)
+
+
 def fitted(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> tuple[list[bytes], np.ndarray, Network]:
     """Words and their vectors from all documents, and the network."""
     words = vocabulary(docs)
@@ -231,7 +236,10 @@ def fitted(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> tuple[list[b
         return pooling[0](texts).tolist()
 
     found, y = sample(docs, labels, "quality", rows, describe, "array<double>")
-    return words, vectors, fit(np.array(found.to_pylist(), dtype=np.float64).reshape(len(y), Pooling.SIZE), y)
+    net = fit(matrix(found, len(y)), y)
+    del found
+    released()  # else the driver keeps what the fit has freed
+    return words, vectors, net
 
 
 def scored(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:

@@ -3,11 +3,13 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 
 from quillspark.llm import decontaminate, license_scan, lm_score, quality, toxicity
 from quillspark.llm.lattice import OPEN, Lattice
@@ -331,3 +333,17 @@ def test_classifiers_of_odd_tables(spark, docs, no_docs, odd):
             assert len(found) == len(odd) + 1 and all(0 <= x.score <= 1 for x in found)
             assert f(no_docs, labels).count() == 0
     assert set(quality.accepted(docs, none).columns) == set(docs.columns)
+
+
+def test_quality_vectors_are_read_without_objects():
+    """The driver turns the learning rows into a matrix in little more than the matrix's own memory."""
+    x = np.random.default_rng(1).random((3000, quality.Pooling.SIZE))
+    whole = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1)))
+    found = pa.chunked_array([whole.slice(0, 1000), whole.slice(1000)])
+    tracemalloc.start()
+    try:
+        assert np.array_equal(quality.matrix(found, len(x)), x)
+        assert tracemalloc.get_traced_memory()[1] < 1.5 * x.nbytes
+    finally:
+        tracemalloc.stop()
+    assert quality.matrix(found.slice(0, 0), 0).shape == (0, quality.Pooling.SIZE)
